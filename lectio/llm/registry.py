@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from lectio.llm import quality_rules
+from lectio.llm import line_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op6_mixing": mixing.op6_mixing,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
+    "op6_mixing": mixing.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
