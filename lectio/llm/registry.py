@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lectio.llm import line_dedup, mixing, quality_rules
+from lectio.llm import line_dedup, mixing, packing, quality_rules
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op6_mixing": mixing.op6_mixing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
