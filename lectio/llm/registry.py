@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from lectio.llm import line_dedup, mixing, packing, quality_rules
+from lectio.llm import chat, line_dedup, mixing, packing, quality_rules, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op8_chat_template": chat.op8_chat_template,
     "op2_packing": packing.op2_packing,
     "op6_mixing": mixing.op6_mixing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
+    "op1_warc": warc.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
