@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lectio.llm import chat, line_dedup, mixing, packing, quality_rules, warc
+from lectio.llm import chat, line_dedup, mixing, packing, quality_rules, simhash, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op4_simhash": simhash.op4_simhash,
     "op8_chat_template": chat.op8_chat_template,
     "op2_packing": packing.op2_packing,
     "op6_mixing": mixing.op6_mixing,
