@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lectio.llm import chat, line_dedup, mixing, packing, quality_rules, simhash, warc
+from lectio.llm import chat, embeddings, line_dedup, mixing, packing, quality_model, quality_rules, simhash, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op3_quality_model": quality_model.op3_quality_model,
+    "op5_embeddings": embeddings.op5_embeddings,
     "op4_simhash": simhash.op4_simhash,
     "op8_chat_template": chat.op8_chat_template,
     "op2_packing": packing.op2_packing,
