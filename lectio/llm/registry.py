@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lectio.llm import chat, embeddings, line_dedup, mixing, packing, quality_model, quality_rules, simhash, warc
+from lectio.llm import chat, embeddings, line_dedup, mixing, packing, quality_model, quality_rules, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_quality_model": quality_model.op3_quality_model,
     "op5_embeddings": embeddings.op5_embeddings,
     "op4_simhash": simhash.op4_simhash,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_chat_template": chat.op8_chat_template,
     "op2_packing": packing.op2_packing,
     "op6_mixing": mixing.op6_mixing,
