@@ -64,6 +64,7 @@ def tiled(classes: DataFrame, turn: np.ndarray, n_tiles: int) -> DataFrame:
     @F.arrow_udf("array<double>")
     def lectio_lead(column: pa.Array) -> pa.Array:
         y = unit(matrix(column, d)) @ turn[:, :BOX]
+        y = np.pad(y, ((0, 0), (0, max(0, BOX - d))))
         return pa.array(list(y), pa.list_(pa.float64()))
 
     led = classes.withColumn("lead", lectio_lead("embedding")).withColumn("first", F.col("lead")[0])
