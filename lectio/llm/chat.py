@@ -277,36 +277,39 @@ def fold(node: Any, known: dict[str, Any]) -> Any:
 def fold_body(body: tuple, known: dict[str, Any]) -> tuple:
     """Statements with constants folded: neighbouring texts become one, decided branches go."""
     out: list = []
+
+    def push(s: Any) -> None:
+        if isinstance(s, Emit) and isinstance(s.of, Const):
+            text = str(s.of.value)
+            if out and isinstance(out[-1], Emit) and isinstance(out[-1].of, Const):
+                out[-1] = Emit(Const(out[-1].of.value + text))
+            elif text:
+                out.append(Emit(Const(text)))
+        else:
+            out.append(s)
+
     for s in body:
         if isinstance(s, Emit):
-            s = Emit(fold(s.of, known))
-            if isinstance(s.of, Const):
-                text = str(s.of.value)
-                if out and isinstance(out[-1], Emit) and isinstance(out[-1].of, Const):
-                    out[-1] = Emit(Const(out[-1].of.value + text))
-                elif text:
-                    out.append(Emit(Const(text)))
-                continue
+            push(Emit(fold(s.of, known)))
         elif isinstance(s, For):
             inner = {k: v for k, v in known.items() if k != s.name}
-            s = For(s.name, fold(s.over, known), fold_body(s.body, inner))
+            push(For(s.name, fold(s.over, known), fold_body(s.body, inner)))
         elif isinstance(s, Generation):
-            s = Generation(fold_body(s.body, known))
-        elif isinstance(s, If):
+            push(Generation(fold_body(s.body, known)))
+        else:
             branches, other = [], fold_body(s.other, known)
             for condition, inner in s.branches:
                 condition, inner = fold(condition, known), fold_body(inner, known)
-                if isinstance(condition, Const):
-                    if condition.value:
-                        other = inner
-                        break
-                    continue
-                branches.append((condition, inner))
-            if not branches:
-                out += other
-                continue
-            s = If(tuple(branches), other)
-        out.append(s)
+                if not isinstance(condition, Const):
+                    branches.append((condition, inner))
+                elif condition.value:
+                    other = inner
+                    break
+            if branches:
+                push(If(tuple(branches), other))
+            else:
+                for inner in other:
+                    push(inner)
     return tuple(out)
 
 
