@@ -21,8 +21,8 @@ WORD_NORM = ["NFC", "Replace", "Lowercase"]
 #: Words of these characters only: lower() and the pattern act on them as the tokenizer's own steps do.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
-REMEMBERED = 500_000
-SLICE_BYTES = 8 << 20
+REMEMBERED = 250_000
+SLICE_BYTES = 1 << 20
 
 
 def byte_letters() -> dict[int, str]:
