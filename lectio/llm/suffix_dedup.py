@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lectio.llm.common import table, written
 from lectio.llm.suffix import permuted_prefixes, suffix_array
 
-WINDOW, GRAM = 400, 32
+WINDOW, GRAM = 400, 96
 #: Texts are read in chunks of so many bytes, which overlap by a window.
 CHUNK_BITS = 21
 SHARD_SPANS, SHARD_BYTES = 4096, 1 << 20
