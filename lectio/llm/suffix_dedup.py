@@ -37,8 +37,8 @@ WINDOW, GRAM = 400, 96
 #: Texts are read in chunks of so many bytes, which overlap by a window.
 CHUNK_BITS = 21
 SHARD_SPANS, SHARD_BYTES = 4096, 1 << 20
-#: Up to so many rows (of some 50 bytes) are sent to all executors; with more of them the join is a shuffle.
-BROADCAST_SPANS = 200_000
+#: Up to so many anchors with several shards, 12 bytes each, are sent to all executors; with more the join is a shuffle.
+BROADCAST_ANCHORS = 200_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -146,10 +146,9 @@ def fetched(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """anchor, span, part, alone, and the text (bytes) of each wanted span (doc_id, text_id, start, windows and the rest)."""
     per_doc = wanted.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "windows", "anchor", "span", "part", "alone", "shards")).alias("spans"))
     per_doc = per_doc.select(F.col("doc_id").alias("w_doc"), F.col("text_id").alias("w_text"), "spans")
-    few = wanted.limit(BROADCAST_SPANS + 1).count() <= BROADCAST_SPANS
     with_id = docs.select("doc_id", text_id(F.col("text")).alias("text_id"), "text")
     on = F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_id") == F.col("w_text"))
-    joined = with_id.join(F.broadcast(per_doc) if few else per_doc, on).select("text", "spans")
+    joined = with_id.join(per_doc, on).select("text", "spans")
 
     def slice_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,10 +251,10 @@ def intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
     edges = all_.join(shared, "anchor").groupBy("anchor", "span").agg(F.count("*").alias("n"), rep)
     edges = written(edges.select("anchor", "span", "n", "rep.*"), "edges")
     large = written(edges.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > SHARD_SPANS).select(F.col("anchor").alias("large"), F.ceil(F.col("k") / SHARD_SPANS).cast("int").alias("shards")), "large")
-    n_large = large.limit(BROADCAST_SPANS + 1).count()
+    n_large = large.limit(BROADCAST_ANCHORS + 1).count()
     alone = F.col("n") == 1
     if n_large:
-        wanted = edges.join(F.broadcast(large) if n_large <= BROADCAST_SPANS else large, F.col("anchor") == F.col("large"), "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+        wanted = edges.join(F.broadcast(large) if n_large <= BROADCAST_ANCHORS else large, F.col("anchor") == F.col("large"), "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
         wanted = wanted.withColumn("part", F.pmod("span", "shards").cast("int"))
     else:
         wanted = edges.withColumn("shards", F.lit(1)).withColumn("part", F.lit(0))
@@ -286,9 +285,8 @@ def removed(lows: np.ndarray, highs: np.ndarray, window: int) -> tuple[np.ndarra
 def with_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs and the column lectio_repeats__ (null: none)."""
     found = written(found, "intervals").select(F.col("doc_id").alias("lectio_doc__"), F.col("text_id").alias("lectio_text__"), F.col("repeats").alias("lectio_repeats__"))
-    few = (found.agg(F.sum(F.size("lectio_repeats__") + 2)).first()[0] or 0) <= BROADCAST_SPANS
     on = docs["doc_id"].eqNullSafe(F.col("lectio_doc__")) & (text_id(docs["text"]) == F.col("lectio_text__"))
-    return docs.join(F.broadcast(found) if few else found, on, "left").drop("lectio_doc__", "lectio_text__")
+    return docs.join(found, on, "left").drop("lectio_doc__", "lectio_text__")
 
 
 def _kept(text: str | None, repeated, window: int) -> tuple[int, int, int, bytes]:
