@@ -69,7 +69,7 @@ def test_chunks_cover_and_overlap(spark):
 
 
 def test_hints(spark):
-    docs = texts(spark, "Se llama Polea a una rueda con ranura.\nEk = m * 2\nclave=valor sin carga\n# El índice\n## La Fuerza\n**Fuerza** y **la masa**", None, "")
+    docs = texts(spark, "Se llama Polea a una rueda con ranura.\nEk = m * 2\nclave=valor sin carga\n# Índice\n## La Fuerza\n**Fuerza** y **la masa**", None, "")
     assert extract.definitions(docs).select("term").collect() == [("Polea",)]
     assert [r.content for r in extract.formulas(docs).collect()] == ["Ek = m * 2"]
     assert [r.term for r in extract.key_terms(docs).orderBy("n").collect()] == ["Fuerza", "masa"]
