@@ -55,6 +55,7 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     """
     found = written(occurrences(docs, min_chars), "lines")
     facts = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("stays_in")).filter(F.col("n") >= min_docs)
+    facts = written(facts, "facts")  # so that both sides of the join come from a shuffle of their own, which can be split where a key is hot
     goes = found.join(facts, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("stays_in")))
     bits = goes.select("doc_id", "text_id", F.explode("positions").alias("pos")).select(
         "doc_id", "text_id", F.shiftright("pos", 6).alias("word"), F.expr("shiftleft(1L, pos & 63)").alias("bit")
