@@ -208,6 +208,8 @@ def from_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows = rows.withColumn("attributes", F.coalesce(*map(items, ("attributes", "atributos", "properties")))).withColumn("methods", F.coalesce(*map(items, ("methods", "metodos", "métodos", "operations"))))
             rows = rows.withColumn("description", F.coalesce("description", F.concat(F.lit("Ejemplo: "), F.col("name"))))
         if kind == "def":
+            parts = F.when(needs_split(F.col("term"), F.col("definition")), split_term(F.col("term")))
+            rows = rows.withColumn("lectio_p", parts).withColumn("term", F.coalesce("lectio_p.head", "term")).withColumn("definition", F.coalesce("definition", F.nullif("lectio_p.tail", F.lit(""))))
             rows = rows.withColumn("definition", F.coalesce("definition", F.concat(F.lit("Concepto: "), F.col("term"))))
         if kind == "fc":
             rows = rows.withColumn("fc_kind", F.when(F.lower("fc_kind").isin("formula", "code"), F.lower("fc_kind")).otherwise(code_or_formula(F.col("content"))))

@@ -32,6 +32,34 @@ def map_prompts(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("lectio_n", total).withColumn("prompt", filled(text, i=F.col("chunk_index") + 1, n=F.col("lectio_n"), text=F.col("text"))).drop("lectio_n")
 
 
+def knowledge_prompt(partials: Column, hints: Column) -> Column:
+    """A request for a document's atoms from the summaries of its chunks and its literal hints."""
+    text = (
+        "Reúne en un objeto JSON lo que dicen estos resúmenes: main_topic, definitions (term, definition), examples (name, description, "
+        "attributes, methods), formulas_code (content, kind), data (value, description), relations (source, target, kind).\n\n{hints}\n\n{partials}"
+    )
+    return filled(text, hints=hints, partials=partials)
+
+
+def question_prompt(atom: Column, level: Column, kind: Column) -> Column:
+    """A request for one question on an atom."""
+    text = (
+        "Escribe una pregunta de opción múltiple de nivel {level} y tipo {kind} sobre este concepto y responde en JSON con "
+        "bloom_level, question, options (A, B, C, D), correct_answer y justification.\n\n{atom}"
+    )
+    return filled(text, level=level, kind=kind, atom=atom)
+
+
+def bullets_prompt(title: Column, lines: Column) -> Column:
+    """A request for a slide's bullets from its atoms."""
+    return filled("Redacta de 3 a 5 viñetas completas para la diapositiva «{title}» y responde en JSON con bullets.\n\n{lines}", title=title, lines=lines)
+
+
+def conclusion_prompt(topic: Column, markdown: Column) -> Column:
+    """A request for a deck's conclusions from the whole knowledge base."""
+    return filled("Redacta de 3 a 5 conclusiones sobre «{topic}» y responde en JSON con bullets.\n\n{markdown}", topic=topic, markdown=markdown)
+
+
 def skeleton(criteria: tuple[str, ...]) -> Column:
     return F.to_json(F.struct(*(F.struct(F.lit(0).alias("score"), F.lit("").alias("comment")).alias(c) for c in criteria)))
 

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from lectio.functions.text import TOKEN3, entity, entity_in, humanized, slug, tokens, truncated
-from lectio.operators import chunking, deck, extract, knowledge, metrics, planning, prompts, quiz, review, runs, simjoin
+from lectio.operators import chunking, deck, extract, knowledge, metrics, package, planning, prompts, quiz, review, runs, simjoin
 from lectio.plans import registry
 from lectio.sources import documents, records
 from lectio.streaming import upserts
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["fixture_text", "fixture_markdown", "fixture_answer", "fixture_scores", "doc_token_top", "doc_key_terms", "doc_definitions", "doc_chunks", "doc_near_dup", "passage_containment", "page_topic", "page_sections", "kb_atoms", "quiz_questions", "run_upsert", "run_averages", "criteria_template", "conversation_last5", "label_means"]
+CHECKED = ["fixture_text", "fixture_markdown", "fixture_answer", "fixture_scores", "doc_token_top", "doc_key_terms", "doc_definitions", "doc_chunks", "doc_near_dup", "passage_containment", "page_topic", "page_sections", "kb_atoms", "quiz_questions", "run_upsert", "run_averages", "criteria_template", "conversation_last5", "label_means", "deck_metrics", "study_record"]
 
 
 def one(spark, column, *values):
@@ -190,3 +190,52 @@ def test_stream_upsert(spark, tmp_path):
         upserts.start(stream, str(tmp_path / "out"), str(tmp_path / "check"), ["model"], ["at"]).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out" / "v=1"))
     assert sorted((r.model, r.v) for r in got.collect()) == [("a", 3.0), ("b", 2.0), ("c", 4.0)]
+
+
+LESSON = """# Energía eólica
+**Turbina**: máquina que convierte el viento en electricidad útil.
+**Rotor**: parte giratoria que mueve el eje de la máquina principal.
+**Góndola**: caja que protege el generador y los engranajes de la torre.
+El parque Tramontana usa turbinas de tres palas.
+"""
+
+
+def test_study_without_a_model(spark):
+    docs = texts(spark, LESSON, None, "  ", "sin conceptos aquí")
+    m = package.study(docs)
+    record = {r["doc_id"]: r for r in m.record.collect()}
+    assert {k: (r["status"], r["error_kind"], r["kb_atoms"]) for k, r in record.items()} == {0: ("ok", None, 3), 1: ("error", "empty", 0), 2: ("error", "empty", 0), 3: ("error", "no_atoms", 0)}
+    asked = m.quiz.orderBy("question_id").collect()
+    assert [q["question_id"] for q in asked] == [1, 2, 3] and len({q["concept_id"] for q in asked}) == 3
+    assert review.quiz_issues(m.quiz, review.vocabulary(m.atoms, m.kb)).filter("severity = 'high'").count() == 0
+    assert record[0]["num_questions"] == 3 and record[0]["duplicate_pairs"] == 0 and record[0]["num_content_slides"] == m.deck.filter("section = 'content' AND line_no = 0").count() > 0
+    assert m.plan.orderBy("slide_index").first()["kind"] == "intro" and m.conclusions.count() == 0
+    assert package.study(docs.limit(0)).record.count() == 0
+
+
+def test_study_with_a_model(spark):
+    kb = json.dumps({"main_topic": "Viento", "definitions": [{"term": "Turbina", "definition": "máquina que convierte el viento"}], "examples": [{"name": "Tramontana", "description": "un parque", "attributes": ["palas", "coral"]}, {"name": "Marte"}]})
+    question = json.dumps({"bloom_level": "recordar", "question": "Según el texto, ¿qué mueve el viento?", "options": {x: f"La pieza número {x}" for x in "ABCD"}, "correct_answer": "b", "justification": "El viento mueve la pieza."})
+    said = lambda text: lambda c: F.when(F.length(c) > 0, F.lit(text))
+    bullets = json.dumps({"bullets": [f"El viento mueve la pieza {x} de la turbina en el parque." for x in ("primera", "segunda", "tercera")]})
+    ended = json.dumps({"bullets": ["El viento es una fuente de energía que no se agota."]})
+    m = package.study(texts(spark, LESSON), package.Models(said("resumen"), said(kb), said(question), said(bullets), said(ended)))
+    atoms = {r["atom_id"]: r for r in m.atoms.collect()}
+    assert set(atoms) == {"def:turbina", "ex:tramontana", "def:rotor", "def:gondola"} and atoms["ex:tramontana"]["attributes"] == ["palas"]
+    assert m.kb.first()["main_topic"] == "Viento"
+    asked = m.quiz.orderBy("question_id").collect()
+    # the answer is the same for all: one stays, three are written again without the model, one on the first concept tops up
+    assert [q["question"] for q in asked].count("¿Qué mueve el viento?") == 1 and len({q["question"] for q in asked}) == len(asked) == 5
+    assert [r["text"] for r in m.conclusions.collect()] == ["El viento es una fuente de energía que no se agota."]
+    assert m.deck.filter("section = 'conclusions'").count() == 1
+    # a model that never answers leaves what there is without one
+    silent = lambda c: F.lit(None).cast("string")
+    both = [package.study(texts(spark, LESSON), x).quiz.orderBy("question_id").collect() for x in (package.Models(), package.Models(*[silent] * 5))]
+    assert both[0] == both[1]
+
+
+def test_long_terms_are_split(spark):
+    term = "Fotosíntesis: proceso por el que las plantas convierten la luz en energía química que luego usan"
+    _, atoms = knowledge.from_answers(spark.createDataFrame([(1, json.dumps({"definitions": [{"term": term}]}))], "doc_id long, payload string"))
+    r = atoms.first()
+    assert r["term"] == "Fotosíntesis" and r["definition"].startswith("proceso por el que")
