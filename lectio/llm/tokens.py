@@ -2,7 +2,8 @@
 
 A tokenizer that drops white space gives a text the ids of its words, one after the other. Words repeat far more often
 than texts, so each batch is split and dictionary-encoded by Arrow, only words that the worker doesn't know yet are
-encoded, and the ids are put together by array operations. What a worker remembers is bounded.
+encoded, and the ids are put together by array operations. What a worker remembers is bounded; words met again since
+the last half was let go stay.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ WORD_NORM = ["NFC", "Replace", "Lowercase"]
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
 REMEMBERED = 250_000
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -38,6 +40,24 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Memory:
+    """A dictionary of at most `most` entries, in two halves: when the newer one is full, the older one goes."""
+
+    def __init__(self, most: int):
+        self.half, self.new, self.old = max(most // 2, 1), {}, {}
+
+    def get(self, key: str, make: Callable[[str], bytes]) -> bytes:
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = make(key)
+            if len(self.new) >= self.half:
+                self.old, self.new = self.new, {}
+            self.new[key] = found
+        return found
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,33 +78,20 @@ class Encoder:
             and spec["model"]["type"] == "BPE"
         )
         self.letters = {b: c for b, c in byte_letters().items()}
-        self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.any_special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
+        self.words, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED)
 
     def full(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            seen = piece.encode().decode("latin-1").translate(self.letters)
-            found = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(seen)], self.dtype).tobytes()
-        return found
+        seen = piece.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(seen)], self.dtype).tobytes()
 
     def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-                self.words[""] = b""
-            if PLAIN.fullmatch(word) and not any(s in word for s in self.special):
-                found = b"".join(map(self.piece, PIECE.findall(word.lower())))
-            else:
-                found = self.full(word)
-            self.words[word] = found
-        return found
+        if PLAIN.fullmatch(word) and not self.any_special.search(word):
+            return b"".join([self.pieces.get(p, self.piece) for p in PIECE.findall(word.lower())])
+        return self.full(word) if word else b""
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty), each followed by the id `end`; where each text starts, and the end."""
@@ -94,19 +101,24 @@ class Encoder:
             last = np.array([end], self.dtype).tobytes()
             ids = np.frombuffer(b"".join(x for p in parts for x in (p, last)), self.dtype)
             return ids, np.concatenate([[0], np.cumsum([len(p) // self.dtype.itemsize + 1 for p in parts])]).astype(np.int64)
+        # positions in 32 bits where the ids surely fit: at most one a byte of normalised text, three times as long at worst, and one a text
+        kind = np.int32 if (pc.sum(pc.binary_length(texts)).as_py() or 0) + len(texts) < 1 << 29 else np.int64
         split = pc.ascii_split_whitespace(texts)
         of_text = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        known = [self.word(w) for w in coded.dictionary.to_pylist()] + [np.array([end], self.dtype).tobytes()]
-        size = np.array([len(k) for k in known], np.int64) // self.dtype.itemsize
+        met = self.words.new.get
+        known = [met(w) or self.words.get(w, self.word) for w in coded.dictionary.to_pylist()] + [np.array([end], self.dtype).tobytes()]
+        size = (np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize).astype(kind)
         source = np.frombuffer(b"".join(known), self.dtype)
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(kind)
         ends = np.cumsum(of_text)
-        words = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(known) - 1)
+        words = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(known) - 1)
+        del split, coded, known
         n = size[words]
-        upto = np.cumsum(n)
-        ids = source[np.repeat(begin[words] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
-        return ids, np.concatenate([[0], upto[ends + np.arange(len(ends))]]) if len(ends) else np.zeros(1, np.int64)
+        upto = np.cumsum(n, dtype=kind)
+        at = np.repeat(begin[words] - (upto - n), n)
+        at += np.arange(len(at), dtype=kind)
+        return source[at], np.concatenate([[0], upto[ends + np.arange(len(ends))]]).astype(np.int64) if len(ends) else np.zeros(1, np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
