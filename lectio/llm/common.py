@@ -1,13 +1,11 @@
-"""Small helpers that the operators share: reading a table, the shared folder, written tables."""
+"""Small helpers that the operators share: reading a table, and from the library the shared folder and written tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lectio.functions.deploy import deployed
+from lectio.functions.tables import shared_dir, written  # noqa: F401  the operators take both from here
 
 #: The white space of every contract: space, \t, \n, \v, \f and \r. bytes.split() splits at exactly these.
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -16,25 +14,3 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return deployed(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the cluster names none (tests), a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectio-checkpoint-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet to the shared folder and reads it back.
-
-    A lost executor then costs the reread of a file, and what was decided once (partition numbers, offsets within a
-    partition) cannot change when a stage runs again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectio-{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
