@@ -11,8 +11,8 @@ Under a key, links are followed from one class to all others that are not yet re
 spanning tree and never all its pairs. Keys with more than BLOCK classes are cut into blocks, and each pair of blocks is
 a group of its own, so that no group grows with the data.
 
-wide() is the same for similarities that 64 bits can't tell: many segments, each of them a key, the ring's chains as a
-filter, the whole fingerprint as the decision.
+dedup(), the near-dedup of the pipeline, does not use fingerprints: no bound on their bits finds all pairs of a Jaccard
+similarity and only these. It compares the sets of shingles (jaccard.py).
 
 Defined results. A null text has no words, as an empty one; no words give fingerprint zero. Rows that repeat a doc_id
 are compared each. A null doc_id gets its fingerprint, links with nothing and has a null component. Other columns are
@@ -26,14 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectio.llm import jaccard
 from lectio.llm.common import table, written
 from lectio.llm.components import components
+from lectio.llm.jaccard import shingle_hashes
 
-SEED = 42
 BLOCK = 50_000
 #: So many heavy keys, or documents to drop, are sent to all executors; with more of them the join is a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -44,23 +44,6 @@ ROWS = "key bigint, probe boolean, fp binary, node bigint"
 # --- fingerprints --------------------------------------------------------------------------------------------------
 
 
-def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
-    """XXH64 of all shingles of so many words, in blocks; of the whole sequence if it is shorter; nothing without words."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z, ASCII white space
-    if not found:
-        return
-    joined = b" ".join(found)
-    size = np.fromiter(map(len, found), np.int64, len(found))
-    ends = np.cumsum(size + 1) - 1
-    starts = ends - size
-    n = max(1, len(found) - words + 1)
-    last = ends[min(words, len(found)) - 1 :]
-    digest = xxhash.xxh64_intdigest
-    for k in range(0, n, AT_ONCE):
-        pairs = zip(starts[k : min(n, k + AT_ONCE)].tolist(), last[k : k + AT_ONCE].tolist())
-        yield np.array([digest(joined[a:b], SEED) for a, b in pairs], np.uint64)
-
-
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -82,26 +65,19 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(text: str | None, words: int = 4, longs: int = 1, distinct: bool = False) -> bytes:
+def fingerprint(text: str | None, words: int = 4, longs: int = 1) -> bytes:
     """64 * longs bits, little-endian; bit set: set in over half the hashes."""
-    counts, n, seen = np.zeros((longs, 64), np.int64), 0, []
+    counts, n = np.zeros((longs, 64), np.int64), 0
     for h in shingle_hashes(text, words):
-        if distinct:
-            seen.append(np.unique(h))
-        else:
-            counts += [bit_counts(mixed(h, k)) for k in range(longs)]
-            n += len(h)
-    if seen:
-        h = np.unique(np.concatenate(seen)) if len(seen) > 1 else seen[0]
         counts += [bit_counts(mixed(h, k)) for k in range(longs)]
-        n = len(h)
+        n += len(h)
     return np.packbits(2 * counts > n, axis=1, bitorder="little").tobytes()
 
 
-def fingerprint_of(words: int, longs: int, distinct: bool) -> Column:
+def fingerprint_of(words: int, longs: int) -> Column:
     @F.arrow_udf("binary")
     def lectio_fingerprint(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t, words, longs, distinct) for t in texts.to_pylist()], pa.binary())
+        return pa.array([fingerprint(t, words, longs) for t in texts.to_pylist()], pa.binary())
 
     return lectio_fingerprint("text")
 
@@ -112,8 +88,8 @@ def fingerprint_of(words: int, longs: int, distinct: bool) -> Column:
 class Ring:
     """How fingerprints of `bits` bits are cut into segments, and which chains may differ how much."""
 
-    def __init__(self, bits: int, within: int, segments: int, chain: int = 4, pairs: bool = True):
-        self.bits, self.within, self.m, self.pairs = bits, within, segments, pairs
+    def __init__(self, bits: int, within: int, segments: int, chain: int = 4):
+        self.bits, self.within, self.m = bits, within, segments
         edges = [bits * k // segments for k in range(segments + 1)]
         self.width = [b - a for a, b in zip(edges, edges[1:])]
         self.start = edges[:-1]
@@ -146,9 +122,6 @@ class Ring:
         rows = np.arange(len(x))
         for k in range(self.m):
             first = (np.uint64(k) << np.uint64(56)) | self.segment(x, k)
-            if not self.pairs:
-                yield first, rows, False
-                continue
             width = np.uint64(self.width[(k + 1) % self.m])
             second = self.segment(x, k + 1)
             first = first << width
@@ -267,9 +240,9 @@ def links(classes: DataFrame, ring: Ring) -> DataFrame:
 # --- documents -----------------------------------------------------------------------------------------------------
 
 
-def grouped(docs: DataFrame, ring: Ring, words: int = 4, distinct: bool = False) -> DataFrame:
+def grouped(docs: DataFrame, ring: Ring, words: int = 4) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable), a row for each row of docs."""
-    found = docs.select("doc_id", fingerprint_of(words, ring.bits // 64, distinct).alias("fp"))
+    found = docs.select("doc_id", fingerprint_of(words, ring.bits // 64).alias("fp"))
     found = written(found, "fingerprints")
     classes = written(found.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("node")), "classes")
     reached = components(links(classes, ring))
@@ -281,15 +254,11 @@ def grouped(docs: DataFrame, ring: Ring, words: int = 4, distinct: bool = False)
 
 #: 64 bits, links within 4
 NARROW = Ring(64, 4, 5)
-#: 512 bits: a similarity (Jaccard) of 0.8 of sets of one size is a cosine of 1.6 / 1.8, of the angle's share of pi the bits differ
-SIMILARITY, WIDE_BITS = 0.8, 512
-WIDE = Ring(WIDE_BITS, round(WIDE_BITS * math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi), 32, pairs=False)
-
 
-def dedup(docs: DataFrame, ring: Ring = WIDE, words: int = 5) -> DataFrame:
+def dedup(docs: DataFrame, similarity: float = jaccard.SIMILARITY, words: int = jaccard.WORDS) -> DataFrame:
     """One document of each group of near duplicates (the smallest doc_id), with the columns that docs has. Rows of one
     doc_id stay or go together; rows without a doc_id stay."""
-    ids = grouped(docs, ring, words, distinct=True)
+    ids = jaccard.grouped(docs, similarity, words)
     drops = written(ids.filter("component_id <> doc_id").select(F.col("doc_id").alias("lectio_drop__")).distinct(), "drops")
     few = drops.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(drops) if few else drops, docs["doc_id"] == drops["lectio_drop__"], "left_anti")

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from lectio.llm import chat, components, embeddings, line_dedup, mixing, packing, quality_model, quality_rules, simhash, suffix, suffix_dedup, tokens, warc
+from lectio.llm import chat, components, embeddings, jaccard, line_dedup, mixing, packing, quality_model, quality_rules, simhash, suffix, suffix_dedup, tokens, warc
 from lectio.llm.tokens import Encoder, default_path
 
 rnd = random.Random(11)
@@ -226,6 +226,30 @@ def test_simhash_dedup(edge, nothing):
     assert simhash.dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("often", [4, 10_000])
+def test_simhash_dedup_by_exact_similarity(spark, monkeypatch, often):
+    """Pairs around a similarity of 0.8, chains of them, and a passage that many share, against all pairs of sets."""
+    monkeypatch.setattr(jaccard, "OFTEN", often)
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage, made = [word() for _ in range(40)], []
+    for k in range(120):
+        w = [word() for _ in range(r.randrange(20, 160))]
+        made.append(w)
+        for _ in range(r.choice([1, 1, 2, 6])):  # every changed word changes five shingles
+            w = list(w)
+            for at in r.sample(range(len(w)), max(1, round(len(w) * r.uniform(0.01, 0.035)))):
+                w[at] = word()
+            made.append(w)
+    made += [passage + [word() for _ in range(r.randrange(1, 30))] for _ in range(40)] + [["a", "b"], ["A", "b"], ["a", "c"], [], []]
+    sets = [{" ".join(w[i : i + 5]).lower() for i in range(max(1, len(w) - 4))} if w else set() for w in made]
+    alike = lambda x, y: x == y or 5 * len(x & y) >= 4 * len(x | y) > 0
+    linked = [(i, j) for j in range(len(made)) for i in range(j) if alike(sets[i], sets[j])]
+    want = {i for i, c in plain_components(range(len(made)), linked).items() if i == c}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in simhash.dedup(docs).collect()} == want
+
+
 # --- 5 -------------------------------------------------------------------------------------------------------------
 
 
