@@ -1,5 +1,6 @@
 """Operators of the study-material engine on small inputs, and queries against their SQL."""
 
+import hashlib
 import json
 import os
 import random
@@ -42,6 +43,19 @@ def test_query_against_sql(spark, name):
     pd.testing.assert_frame_equal(shown(a), shown(b))
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_last_turns_whole_against_sql(spark):
+    test_query_against_sql(spark, "conversation_last5_whole")
+
+
+def test_last_turns_are_whole(spark, tmp_path):
+    """Texts that differ after their first 40 characters give different results."""
+    rows = [(c, turn, "user", "x" * 60 + end) for c, end in ((1, "a"), (2, "b")) for turn in (0, 1)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.before_md5 for r in registry.QUERIES["conversation_last5_whole"](spark, str(tmp_path)).collect()}
+    assert got[1, 1] != got[2, 1] and got[1, 1] == hashlib.md5(("- [user] " + "x" * 60 + "a").encode()).hexdigest()
+
+
 def test_entry_names():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
