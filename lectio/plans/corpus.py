@@ -48,7 +48,7 @@ def doc_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different token sets with a similarity of 0.7 or more, and how many documents have each."""
+    """Pairs of different token sets with a similarity of 0.7 or more; doc_near_dup_members has the documents of each."""
     docs = table(spark, sf_dir, "documents")
     sets = docs.select(F.col("doc_id").alias("id"), metrics.metric_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     s = sets.select("id", F.array_sort("tokens").alias("tokens")).filter("size(tokens) > 0").groupBy("tokens").agg(F.min("id").alias("id"))
@@ -56,6 +56,14 @@ def doc_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("a", "b", F.bround("similarity", 6).alias("similarity"))
 
 
+def doc_near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the class of its token set (a and b of doc_near_dup), and how many documents have it."""
+    docs = table(spark, sf_dir, "documents")
+    sets = docs.select(F.col("doc_id").alias("id"), metrics.metric_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    found = simjoin.classes(sets)
+    return found.join(found.groupBy("class_id").agg(F.count("*").alias("n")), "class_id").select(F.col("id").alias("doc_id"), "class_id", "n")
+
+
 def passage_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.containing(table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -88,7 +96,7 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("page_id"), "pos", F.char_length("section").alias("n_chars"), F.md5(humanized(F.left(slug(first), F.lit(30)))).alias("title_md5"))
 
 
-QUERIES = {f.__name__: f for f in (doc_token_top, doc_key_terms, doc_definitions, doc_formulas, doc_chunks, doc_partials, doc_exact_dedup, doc_near_dup, passage_containment, page_markdown, page_headings, page_topic, page_subtopics, page_sections)}
+QUERIES = {f.__name__: f for f in (doc_token_top, doc_key_terms, doc_definitions, doc_formulas, doc_chunks, doc_partials, doc_exact_dedup, doc_near_dup, doc_near_dup_members, passage_containment, page_markdown, page_headings, page_topic, page_subtopics, page_sections)}
 
 TOKENS = r"list_filter(list_distinct(regexp_extract_all(lower(strip_accents({0})), '[a-z0-9áéíóúüñ]{{3,}}')), lambda t: NOT list_contains(['del','las','los','una','unos','unas','con','por','para','que','como','son','sus','les','este','esta','estos','estas','entre','sobre','sin','pero','mas','cual','cuando','donde','mismo','misma','tambien','tras','hasta'], t))"
 CLEAN_TERM = r"regexp_replace(trim(regexp_replace({0}, '\s+', ' ', 'g'), ' .,:;-—'), '^(?i:el|la|los|las|un|una|unos|unas)\s+', '')"
@@ -158,6 +166,7 @@ ORACLES = {
     "doc_partials": f"WITH {SLICES}, p AS (SELECT doc_id, string_agg('[Resumen parcial ' || (chunk_index + 1) || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY chunk_index) AS partials FROM chunks GROUP BY doc_id) SELECT doc_id, length(partials) AS n_chars, md5(partials) AS partials_md5 FROM p",
     "doc_exact_dedup": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, count(*) OVER (PARTITION BY text) AS n FROM documents",
     "doc_near_dup": f"WITH s AS MATERIALIZED (SELECT min(doc_id) AS id, t, len(t) AS n FROM (SELECT doc_id, list_sort({TOKENS.format('text')}) AS t FROM documents) WHERE len(t) > 0 GROUP BY t), p AS (SELECT x.id AS i, y.id AS j, len(list_intersect(x.t, y.t)) AS c, x.n + y.n AS m FROM s x JOIN s y ON x.id < y.id AND least(x.n, y.n) >= 0.7 * greatest(x.n, y.n)) SELECT i AS a, j AS b, round_even(c / (m - c), 6) AS similarity FROM p WHERE c / (m - c) >= 0.7 - 1e-9",
+    "doc_near_dup_members": f"WITH s AS (SELECT doc_id, list_sort({TOKENS.format("coalesce(text, '')")}) AS t FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS class_id, count(*) OVER (PARTITION BY t) AS n FROM s",
     "passage_containment": f"SELECT item_id, doc_id FROM (SELECT item_id, {ENTITY.format('text')} AS p FROM benchmark) JOIN (SELECT doc_id, {ENTITY.format('text')} AS d FROM documents) ON contains(' ' || d || ' ', ' ' || p || ' ') WHERE p <> ''",
     "page_markdown": f"WITH {PAGES} SELECT page_id, length(text) AS n_chars, md5(text) AS markdown_md5 FROM md",
     "page_headings": f"WITH {PAGES}, {HEADS} SELECT page_id, pos, level, title FROM heads",

@@ -56,6 +56,18 @@ def test_last_turns_are_whole(spark, tmp_path):
     assert got[1, 1] != got[2, 1] and got[1, 1] == hashlib.md5(("- [user] " + "x" * 60 + "a").encode()).hexdigest()
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_near_dup_members_against_sql(spark):
+    test_query_against_sql(spark, "doc_near_dup_members")
+
+
+def test_near_dup_members(spark, tmp_path):
+    """Every document is there: copies in other case, order or spacing, single ones, and those without tokens."""
+    texts(spark, "Perro gato", "gato  PERRO gato", "pájaro", "", None).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, registry.QUERIES["doc_near_dup_members"](spark, str(tmp_path)).select("doc_id", "class_id", "n").collect()))
+    assert got == [(0, 0, 2), (1, 0, 2), (2, 2, 1), (3, 3, 2), (4, 3, 2)]
+
+
 def test_entry_names():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
