@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 
 def deployed(spark: SparkSession) -> SparkSession:
-    """Adds the package to the session's Python files, once for a context."""
+    """Adds the package to the session's Python files, once for a context. The archive is the driver's, Spark sends it on."""
     context = spark.sparkContext
     if not getattr(context, "_lectio_deployed", False):
         root = Path(__file__).resolve().parents[1]
@@ -21,3 +21,8 @@ def deployed(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(archive))
         context._lectio_deployed = True
     return spark
+
+
+def ship() -> None:
+    """For operators, before they make a Python function: what it needs of this package goes along with it."""
+    deployed(SparkSession.active())

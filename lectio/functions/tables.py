@@ -7,13 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectio.functions.deploy import deployed
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the cluster names none (tests), a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share. Only where the cluster names none and driver and executors are one process
+    (tests), a folder of our own."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectio-checkpoint-"))
-        found = spark.sparkContext.getCheckpointDir()
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lectio-checkpoint-"))
+        found = context.getCheckpointDir()
     return found
 
 
@@ -21,10 +27,28 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it back.
 
     A lost executor then costs the reread of a file, and what was decided once (partition numbers, offsets within a
-    partition) cannot change when a stage runs again.
+    partition) cannot change when a stage runs again. The table stays until cleanup().
     """
-    spark = df.sparkSession
+    spark = deployed(df.sparkSession)
     path = f"{shared_dir(spark)}/lectio-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
+    _paths(spark).append(path)
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _paths(spark: SparkSession) -> list[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_lectio_tables"):
+        context._lectio_tables = []
+    return context._lectio_tables
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Deletes the tables that written() has made in this context, once the results that read them are saved. How many."""
+    paths, jvm = _paths(spark), spark.sparkContext._jvm
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
