@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectio.functions.deploy import deployed
+from lectio.functions.deploy import deployed, ship  # noqa: F401
 from lectio.functions.tables import shared_dir, written  # noqa: F401  the operators take both from here
 
 #: The white space of every contract: space, \t, \n, \v, \f and \r. bytes.split() splits at exactly these.

@@ -462,11 +462,11 @@ def test_small_memory_gives_the_same_ids():
     """What is let go is encoded again; both halves together stay within the bound."""
     made = ["uno dos, tres uno dos. cuatro", None, "", "  Ártico ﬁn él <|endoftext|> x", "a b c d e f g a b c 12345 it's " * 20]
     e = tokens.Encoder(tokens.default_path())
-    e.words, e.pieces = tokens.Memory(4), tokens.Memory(4)
+    e.words = tokens.Memory(4)
     ids, at = e.encode(pa.array(made, pa.string()), 1)
     for text, a, b in zip(made, at[:-1], at[1:]):
         assert ids[a:b].tolist() == e.tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
-    for m in (e.words, e.pieces):
+    for m in (e.words,):
         assert len(m.new) <= 2 and len(m.old) <= 2
     ids, at = e.encode(pa.array([], pa.string()), 1)
     assert not len(ids) and np.array_equal(at, [0])
