@@ -1,13 +1,15 @@
 """Chat formatting by compiled templates.
 
-A template is text with {{ expressions }} and {% for %}, {% if %} and {% generation %} blocks, in a language of its own
-that can do nothing but look up names, compare, join and filter. It is parsed into a syntax tree, its constants are
-folded (with the settings that don't change from one conversation to the next), and what is left becomes a tree of
-Python closures that yield text. Text inside a generation block is marked: it bears the loss.
+A template is text with {{ expressions }} and {% for %}, {% if %}, {% set %} and {% generation %} blocks, in a language of
+its own that can do nothing but look up names and items, compare, join and filter. It is parsed into a syntax tree, its
+constants are folded (with the settings that don't change from one conversation to the next), and what is left becomes a
+tree of Python closures that yield text. Text inside a generation block is marked: it bears the loss. A for block knows
+loop.first, loop.last, loop.index and loop.index0.
 
 The filter `escaped` puts a backslash before each backslash and before each control string inside a text, so that no
-text can look like a turn's marks; Reader takes that back. Rendering and reading both stream. A conversation is never
-held as a whole, however many turns it has.
+text can look like a turn's marks; Reader takes that back, and tells of each piece whether it was marked. A conversation
+is rendered once, as a whole. A template that names `messages` only in one for block gets them one by one, so that a
+conversation is never held as a whole, however many turns it has; others get a list.
 
 Defined results. Turns are ordered by turn, then role, then text, nulls first; repeated rows are turns of their own. A
 null text or role is the empty string. Rows with a null conv_id make one conversation. No rows give no conversations.
@@ -17,6 +19,7 @@ Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
@@ -24,8 +27,9 @@ from typing import Any, NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lectio.llm.common import table
+from lectio.llm.common import ship, table
 
 TURNS = (
     "{% for m in messages %}{{ turn_start }}{{ m.role | escaped }}{{ head_end }}"
@@ -58,6 +62,11 @@ class Attr(NamedTuple):
     name: str
 
 
+class Index(NamedTuple):
+    of: Any
+    at: Any
+
+
 class Filter(NamedTuple):
     of: Any
     name: str
@@ -77,6 +86,11 @@ class Emit(NamedTuple):
     of: Any
 
 
+class Set(NamedTuple):
+    name: str
+    of: Any
+
+
 class For(NamedTuple):
     name: str
     over: Any
@@ -102,15 +116,20 @@ FILTERS: dict[str, Callable[[Any], Any]] = {
 OPERATORS: dict[str, Callable[[Any, Any], Any]] = {
     "==": lambda a, b: a == b,
     "!=": lambda a, b: a != b,
+    "<": lambda a, b: a < b,
+    "<=": lambda a, b: a <= b,
+    ">": lambda a, b: a > b,
+    ">=": lambda a, b: a >= b,
+    "in": lambda a, b: a in b,
     "+": lambda a, b: a + b,
     "~": lambda a, b: f"{a}{b}",
 }
-TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[+~|.()]))")
+TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[<>+~|.()\[\]]))")
 TAG = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}|\{#.*?#\}", re.S)
 
 
 class _Expression:
-    """Recursive descent: or, and, not, comparison, + and ~, filters, attributes."""
+    """Recursive descent: or, and, not, comparison, + and ~, filters, attributes and items."""
 
     def __init__(self, text: str):
         self.tokens, at = [], 0
@@ -157,8 +176,13 @@ class _Expression:
             self.take()
             return Not(self.negation())
         node = self.sum()
-        if self.peek("==", "!="):
+        if self.peek("==", "!=", "<", "<=", ">", ">=", "in"):
             node = Binary(self.take(), node, self.sum())
+        elif self.peek("not"):
+            self.take()
+            if not self.peek("in"):
+                raise TemplateError("expected in")
+            node = Not(Binary(self.take(), node, self.sum()))
         return node
 
     def sum(self):
@@ -193,8 +217,13 @@ class _Expression:
             else:
                 name = self.take("name")
                 node = Const({"true": True, "false": False, "none": None}[name]) if name in ("true", "false", "none") else Name(name)
-        while self.peek("."):
-            self.take()
+        while self.peek(".", "["):
+            if self.take() == "[":
+                node = Index(node, self.disjunction())
+                if not self.peek("]"):
+                    raise TemplateError("expected ]")
+                self.take()
+                continue
             name = self.take("name")
             if name.startswith("_"):
                 raise TemplateError(f"no attribute {name!r}")
@@ -243,6 +272,11 @@ def parse(template: str) -> tuple:
                 body.append(If(tuple(branches), other))
             elif word == "generation":
                 body.append(Generation(block("endgeneration")[0]))
+            elif word == "set":
+                m = re.fullmatch(r"set\s+([A-Za-z]\w*)\s*=(?!=)\s*(.+)", text, re.S)
+                if not m:
+                    raise TemplateError(text)
+                body.append(Set(m[1], _Expression(m[2]).whole()))
             else:
                 raise TemplateError(f"unexpected {text!r}")
         if ends:
@@ -252,6 +286,16 @@ def parse(template: str) -> tuple:
     return block()[0]
 
 
+def nodes(tree: Any) -> Iterator[Any]:
+    """All nodes of a tree, itself included."""
+    if isinstance(tree, tuple):
+        if type(tree) is not tuple:
+            yield tree
+        if not isinstance(tree, Const):
+            for part in tree:
+                yield from nodes(part)
+
+
 def fold(node: Any, known: dict[str, Any]) -> Any:
     """An expression with what is known put in and computed."""
     if isinstance(node, Name):
@@ -263,6 +307,9 @@ def fold(node: Any, known: dict[str, Any]) -> Any:
         if isinstance(of, Const) and isinstance(node, Not):
             return Const(not of.value)
         return node._replace(of=of)
+    if isinstance(node, Index):
+        of, at = fold(node.of, known), fold(node.at, known)
+        return Const(of.value[at.value]) if isinstance(of, Const) and isinstance(at, Const) else Index(of, at)
     if isinstance(node, Binary):
         left, right = fold(node.left, known), fold(node.right, known)
         if node.op in ("and", "or"):
@@ -292,10 +339,12 @@ def fold_body(body: tuple, known: dict[str, Any]) -> tuple:
         if isinstance(s, Emit):
             push(Emit(fold(s.of, known)))
         elif isinstance(s, For):
-            inner = {k: v for k, v in known.items() if k != s.name}
+            inner = {k: v for k, v in known.items() if k not in (s.name, "loop")}
             push(For(s.name, fold(s.over, known), fold_body(s.body, inner)))
         elif isinstance(s, Generation):
             push(Generation(fold_body(s.body, known)))
+        elif isinstance(s, Set):
+            push(Set(s.name, fold(s.of, known)))
         else:
             branches, other = [], fold_body(s.other, known)
             for condition, inner in s.branches:
@@ -323,6 +372,8 @@ def closure(node: Any) -> Callable[[dict], Any]:
         return lambda scope, n=node.name: scope[n]
     if isinstance(node, Attr):
         return lambda scope, of=closure(node.of), n=node.name: of(scope)[n]
+    if isinstance(node, Index):
+        return lambda scope, of=closure(node.of), at=closure(node.at): of(scope)[at(scope)]
     if isinstance(node, Filter):
         return lambda scope, of=closure(node.of), f=FILTERS[node.name]: f(of(scope))
     if isinstance(node, Not):
@@ -354,26 +405,54 @@ def statement_closure(s: Any, marked: bool) -> Callable[[dict], Iterator[tuple[s
         branches = [(closure(c), body_closure(b, marked)) for c, b in s.branches]
         other = body_closure(s.other, marked)
         return lambda scope: next((b for c, b in branches if c(scope)), other)(scope)
+    if isinstance(s, Set):
+        return lambda scope, of=closure(s.of), n=s.name: scope.update({n: of(scope)}) or ()
     over, body = closure(s.over), body_closure(s.body, marked)
 
     def loop(scope: dict) -> Iterator[tuple[str, bool]]:
-        for item in over(scope):
-            yield from body({**scope, s.name: item})
+        items = iter(over(scope))
+        ahead, k = next(items, END), 0
+        while ahead is not END:
+            item, ahead = ahead, next(items, END)  # one ahead, for loop.last
+            yield from body({**scope, s.name: item, "loop": {"first": k == 0, "last": ahead is END, "index": k + 1, "index0": k}})
+            k += 1
 
     return loop
 
 
-def compiled(template: str, settings: dict[str, Any]) -> Callable[..., Iterator[tuple[str, bool]]]:
-    """render(messages=...) -> pieces of (text, whether it bears the loss)."""
-    run = body_closure(fold_body(parse(template), settings))
-    return lambda **scope: run(scope)
+END = object()
+
+
+class Template:
+    """render(messages=...): pieces of (text, whether it bears the loss)."""
+
+    def __init__(self, template: str, settings: dict[str, Any]):
+        tree = parse(template)
+        assigned = {n.name for n in nodes(tree) if isinstance(n, Set)}
+        self.tree = fold_body(tree, {k: v for k, v in settings.items() if k not in assigned})
+        self.run = body_closure(self.tree)
+
+    def __call__(self, **scope: Any) -> Iterator[tuple[str, bool]]:
+        return self.run(dict(scope))
+
+    def streams(self, name: str) -> bool:
+        """Whether the name is needed once only, to go through it; not inside another loop."""
+        uses = sum(isinstance(n, Name) and n.name == name for n in nodes(self.tree))
+        loops = [n for n in nodes(self.tree) if isinstance(n, For)]
+        own = [n for n in loops if n.over == Name(name)]
+        return uses == len(own) == 1 and not any(n is not own[0] and any(x is own[0] for x in nodes(n.body)) for n in loops)
+
+
+def compiled(template: str, settings: dict[str, Any]) -> Template:
+    return Template(template, settings)
 
 
 # --- reading back --------------------------------------------------------------------------------------------------
 
 
 class Reader:
-    """Reads formatted text back, piece by piece: events ("role" | "text" | "end", unescaped text)."""
+    """Reads formatted text back, piece by piece: events ("between" | "role" | "text" | "head" | "end", unescaped text,
+    whether it was marked)."""
 
     #: The escape or a mark; a mark's beginning at the end of what is there has to wait for more.
     SEEN = re.compile(r"\\(?:" + "|".join(map(re.escape, CONTROL)) + r")|###[ ]|: |</turn>\n", re.S)
@@ -381,130 +460,161 @@ class Reader:
 
     def __init__(self):
         self.rest, self.state = "", "between"
+        self.runs: list[list] = []  # of rest: [characters, marked]
 
-    def feed(self, text: str, last: bool = False) -> Iterator[tuple[str, str]]:
-        self.rest += text
+    def pieces(self, a: int, b: int) -> Iterator[tuple[str, str, bool]]:
+        """rest[a:b], cut where the marking changes."""
+        at = 0
+        for n, marked in self.runs:
+            low, high = max(a, at), min(b, at + n)
+            if low < high:
+                yield self.state, self.rest[low:high], marked
+            at += n
+
+    def drop(self, n: int) -> None:
+        self.rest = self.rest[n:]
+        while n:
+            take = min(n, self.runs[0][0])
+            self.runs[0][0] -= take
+            n -= take
+            if not self.runs[0][0]:
+                self.runs.pop(0)
+
+    def feed(self, text: str, marked: bool = False, last: bool = False) -> Iterator[tuple[str, str, bool]]:
+        if text:
+            self.rest += text
+            if self.runs and self.runs[-1][1] == marked:
+                self.runs[-1][0] += len(text)
+            else:
+                self.runs.append([len(text), marked])
         at = 0
         for m in self.SEEN.finditer(self.rest):
             if not last and m.start() > len(self.rest) - self.LONGEST:
                 break
-            if m.start() > at:
-                yield self.state, self.rest[at : m.start()]
+            yield from self.pieces(at, m.start())
             mark, at = m[0], m.end()
-            if mark[0] == "\\":
-                yield self.state, mark[1:]
+            if mark[0] == "\\":  # what the escape stands for is marked as the escape is
+                yield self.state, mark[1:], next(self.pieces(m.start(), m.end()))[2]
             elif self.state == "between" and mark == MARKS["turn_start"]:
                 self.state = "role"
             elif self.state == "role" and mark == MARKS["head_end"]:
                 self.state = "text"
-                yield "head", ""
+                yield "head", "", False
             elif self.state == "text" and mark == MARKS["turn_end"]:
                 self.state = "between"
-                yield "end", ""
+                yield "end", "", False
             else:
                 raise ValueError(f"a mark that doesn't belong here: {mark!r}")
         safe = len(self.rest) if last else max(at, len(self.rest) - self.LONGEST)
-        if safe > at:
-            yield self.state, self.rest[at:safe]
-        self.rest = self.rest[safe:]
+        yield from self.pieces(at, safe)
+        self.drop(safe)
         if last and self.state != "between":
             raise ValueError("the text ends within a turn")
 
 
 class Digest:
-    """What is read back of one conversation, turn by turn."""
+    """What is read back of one conversation, turn by turn; of the loss, all unescaped text that was marked."""
 
     def __init__(self):
         self.turns, self.loss, self.role = hashlib.sha256(), hashlib.sha256(), ""
-        self.n_turns = self.loss_chars = self.formatted = 0
+        self.n_turns = self.loss_chars = self.formatted = self.marked = 0
         self.reader = Reader()
 
-    def add(self, text: str, last: bool = False) -> None:
+    def add(self, text: str, marked: bool = False, last: bool = False) -> None:
         self.formatted += len(text)
-        for what, piece in self.reader.feed(text, last):
+        self.marked += marked * len(text)
+        for what, piece, loss in self.reader.feed(text, marked, last):
+            if loss:
+                self.loss.update(piece.encode("utf-8", "surrogatepass"))
+                self.loss_chars += len(piece)
             if what == "role":
                 self.role += piece
             elif what == "head":
                 self.turns.update(f"{self.role}\n".encode("utf-8", "surrogatepass"))
             elif what == "text":
-                data = piece.encode("utf-8", "surrogatepass")
-                self.turns.update(data)
-                if self.role == "assistant":
-                    self.loss.update(data)
-                    self.loss_chars += len(piece)
+                self.turns.update(piece.encode("utf-8", "surrogatepass"))
             elif what == "end":
                 self.turns.update(b"\n")
                 self.n_turns += 1
                 self.role = ""
 
+    def row(self) -> tuple:
+        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted, self.marked
+
 
 COLUMNS = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "marked_chars")
+ROWS_AT_ONCE, PART_CHARS = 1000, 1 << 20
 
 
 def ordered(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", "turn", "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+
+
+def rendered(batches: Iterator[pa.RecordBatch], template: str) -> Iterator[tuple[Any, Iterator[tuple[str, bool]]]]:
+    """conv_id and the pieces of each conversation; its rows stand next to each other."""
+    render = compiled(template, MARKS)
+    streams = render.streams("messages")
+    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))))
+    for id_, group in itertools.groupby(rows, key=lambda r: r[0]):
+        messages = ({"role": r[1] or "", "text": r[2] or ""} for r in group)
+        yield id_, render(messages=messages if streams else list(messages))
 
 
 def digests(conversations: DataFrame, template: str = TURNS) -> DataFrame:
-    """COLUMNS for each conversation, read back from what the template made of it. marked_chars: formatted characters
-    that the generation blocks marked."""
-    kind = conversations.schema["conv_id"].dataType.simpleString()
+    """COLUMNS for each conversation, read back from what the template made of it. loss: what the generation blocks marked,
+    unescaped; marked_chars: as many formatted characters."""
+    ship()
+    kind = conversations.schema["conv_id"].dataType
+    types = [to_arrow_type(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        render = compiled(template, MARKS)
         done: list[tuple] = []
-        now, id_, marked = None, None, 0
-
-        def close() -> None:
-            now.add("", True)
-            done.append((id_, now.n_turns, now.turns.hexdigest(), now.loss_chars, now.loss.hexdigest(), now.formatted, marked))
-
-        def flush() -> pa.RecordBatch:
-            types = [batch_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], list(COLUMNS))
-            done.clear()
-            return out
-
-        for batch in batches:
-            batch_type = batch.column("conv_id").type
-            for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
-                if now is None or row[0] != id_:
-                    if now is not None:
-                        close()
-                    now, id_, marked = Digest(), row[0], 0
-                for text, loss in render(messages=({"role": row[1] or "", "text": row[2] or ""},)):
-                    now.add(text)
-                    marked += loss * len(text)
-            if done:
-                yield flush()
-        if now is not None:
-            close()
-            yield flush()
-
-    schema = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, marked_chars bigint"
-    return ordered(conversations).select("conv_id", "role", "text").mapInArrow(run, schema)
+        for id_, pieces in rendered(batches, template):
+            now = Digest()
+            for text, loss in pieces:
+                now.add(text, loss)
+            now.add("", last=True)
+            done.append((id_, *now.row()))
+            if len(done) == ROWS_AT_ONCE:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], list(COLUMNS))
+                done = []
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], list(COLUMNS))
+
+    schema = f"conv_id {kind.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, marked_chars bigint"
+    return ordered(conversations).mapInArrow(run, schema)
 
 
 def formatted(conversations: DataFrame, template: str = TURNS) -> DataFrame:
-    """conv_id, turn, formatted and spans (start and end of what bears the loss, within the turn), a row for each turn:
-    a conversation's text is its rows, joined in the order of digests()."""
-
-    @F.arrow_udf("struct<formatted: string, spans: array<struct<start: int, end: int>>>")
-    def lectio_formatted(roles: pa.Array, texts: pa.Array) -> pa.Array:
-        render, out = compiled(template, MARKS), []
-        for role, text in zip(roles.to_pylist(), texts.to_pylist()):
-            pieces, spans, at = [], [], 0
-            for piece, loss in render(messages=({"role": role or "", "text": text or ""},)):
-                if loss and piece:
-                    spans.append({"start": at, "end": at + len(piece)})
-                pieces.append(piece)
-                at += len(piece)
-            out.append({"formatted": "".join(pieces), "spans": spans})
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.array(out, pa.struct([("formatted", pa.string()), ("spans", span)]))
-
-    return conversations.select("conv_id", "turn", lectio_formatted("role", "text").alias("f")).select("conv_id", "turn", "f.*")
+    """conv_id, part, formatted and spans (start and end of what bears the loss, within the part). A conversation's text is
+    its parts, joined in order; a part has PART_CHARS characters or one piece more."""
+    ship()
+    kind = conversations.schema["conv_id"].dataType
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    types, names = [to_arrow_type(kind), pa.int64(), pa.string(), span], ["conv_id", "part", "formatted", "spans"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for id_, pieces in rendered(batches, template):
+            texts, spans, at, part = [], [], 0, 0
+            for text, loss in itertools.chain(pieces, [(None, False)]):
+                if at >= PART_CHARS or (text is None and (at or not part)):
+                    rows.append((id_, part, "".join(texts), spans))
+                    texts, spans, held, at, part = [], [], held + at, 0, part + 1
+                    if held >= PART_CHARS or len(rows) == ROWS_AT_ONCE:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                        rows, held = [], 0
+                if text:
+                    if loss:
+                        spans.append({"start": at, "end": at + len(text)})
+                    texts.append(text)
+                    at += len(text)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return ordered(conversations).mapInArrow(run, f"conv_id {kind.simpleString()}, part bigint, formatted string, spans array<struct<start: int, end: int>>")
 
 
 PROBE = "\\### Assistant: </turn> ok"
