@@ -2,16 +2,19 @@
 
 The documents of a source stand in a shuffled order, up to three times over. A copy's virtual finish time is the words
 that its source has sent once it is through, divided by the source's target. The mix is all copies in the order of their
-finish times, cut where the total budget is used up. Finish times are never sorted in one place: totals over fixed
-ranges of finish times find the range in which the budget ends, totals over its sub-ranges find the sub-range, and only
-the copies of that one are put in order. Within a source the copies that are taken are then those up to one key for each
-pass, so that the decision on a document needs a row for its source, not a shuffle of texts.
+finish times, cut where the total budget is used up: targets sum up to the budget, so that is at time 1, where each source
+has sent its target. The document that a source is sending then is taken in part, by its first words.
+
+Cumulative sizes are prefix sums over fixed ranges of the shuffled order and windows within a range, so that no source is
+ever in one task. In virtual time words come evenly: equal ranges of time are equal shares of the mix, and the global sort
+is by range of time, then within the range.
 
 The shuffled order is that of md5 over the doc_id, hence the same at every rerun and for any partitioning.
 
 Defined results. A null text has size 0. A null source is a source, and the last. Rows that repeat a doc_id are
-documents of their own; equal rows come next to each other. Sources without words have target 0. A null doc_id is
-shuffled as the empty string. Columns besides doc_id, text and source are ignored by plan() and kept by mix().
+documents of their own; equal rows come next to each other. Documents without words are never taken; sources without
+words have target 0. A null doc_id is shuffled as the empty string. Columns besides doc_id, text and source are ignored by
+plan() and kept by mix().
 """
 
 from __future__ import annotations
@@ -24,9 +27,8 @@ from lectio.llm.common import WORD, table, written
 
 MAX_COPIES = 3
 BUCKET_DIGITS = 3
-RANGES = 1024
-#: Cuts of so many sources are sent to all executors; with more of them the join is a shuffle.
-BROADCAST_SOURCES = 10_000
+#: A range of time of the mix has about so many words; beyond so many ranges they grow instead.
+RANGE_WORDS, MOST_RANGES = 4 << 20, 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -59,81 +61,74 @@ def targets(sized: DataFrame) -> DataFrame:
     )
 
 
-def plan(docs: DataFrame) -> DataFrame:
-    """source, source_size, target, cuts: for each pass over the source the last key (mix_key, doc_id, size) that is taken."""
-    sized = sizes(docs)
-    by_source = written(targets(sized), "targets")
-    budget = by_source.agg(F.sum("source_size")).first()[0] or 0
+def plan(sized: DataFrame) -> DataFrame:
+    """sized (source, mix_key, doc_id, size and others) with source_size, target and sent: the words that the source has
+    sent once the document is through, the first time."""
+    columns = sized.columns
+    by_source = written(targets(sized), "targets").withColumnRenamed("source", "t_source")
     bucketed = sized.withColumn("bucket", F.substring("mix_key", 1, BUCKET_DIGITS))
     starts = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     starts = starts.withColumn("start", F.sum("in_bucket").over(W.partitionBy("source").orderBy("bucket")) - F.col("in_bucket"))
+    starts = starts.join(by_source, F.col("source").eqNullSafe(F.col("t_source"))).select(F.col("source").alias("s_source"), F.col("bucket").alias("s_bucket"), "start", "source_size", "target")
     within = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("mix_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
-    sent = bucketed.withColumn("sent", within).alias("b").join(
-        starts.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source")) & (F.col("b.bucket") == F.col("s.bucket"))
-    ).select("b.source", "b.mix_key", "b.doc_id", "b.size", (F.col("b.sent") + F.col("s.start")).alias("sent"))
-    copies = sent.alias("c").join(by_source.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).filter("target > 0")
-    copies = copies.select("c.*", "t.source_size", "t.target", F.explode(F.array(*map(F.lit, range(MAX_COPIES)))).alias("pass"))
-    copies = copies.select("source", "mix_key", "doc_id", "size", "pass", ((F.col("pass") * F.col("source_size") + F.col("sent")).cast("double") / F.col("target")).alias("finish"))
-    copies = written(copies.filter(F.col("finish") < 4), "copies")  # the budget is used up by 1, but for a document a source
-    taken = cut_at(copies, budget)
-    keys = F.struct("mix_key", "doc_id", "size")
-    cuts = taken.groupBy("source").agg(*(F.max(F.when(F.col("pass") == e, keys)).alias(f"cut{e}") for e in range(MAX_COPIES)))
-    return by_source.alias("t").join(cuts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.*", *(f"c.cut{e}" for e in range(MAX_COPIES)))
-
-
-def cut_at(copies: DataFrame, budget: int) -> DataFrame:
-    """The copies whose sizes, in the order of finish, sum up to the budget at most."""
-    order = ["finish", "mix_key", "doc_id", "size", "pass"]
-    low, width, used = 0.0, 4.0, 0
-    for _ in range(2):  # a range, then its sub-range
-        width /= RANGES
-        inside = copies.filter((F.col("finish") >= low) & (F.col("finish") < low + width * RANGES))
-        totals = inside.groupBy(F.floor((F.col("finish") - low) / width).alias("k")).agg(F.sum("size").alias("n"))
-        running = totals.withColumn("upto", F.sum("n").over(W.orderBy("k")) + used)  # RANGES rows
-        end = running.filter(F.col("upto") > budget).orderBy("k").first()
-        if end is None:
-            return copies.filter(F.col("finish") < low + width * RANGES)
-        used = end["upto"] - end["n"]
-        low += end["k"] * width
-    last = copies.filter((F.col("finish") >= low) & (F.col("finish") < low + width))
-    running = last.withColumn("upto", F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) + used)
-    end = running.filter(F.col("upto") <= budget).orderBy(*(F.col(c).desc() for c in order)).first()
-    if end is None:
-        return copies.filter(F.col("finish") < low)
-    cut = F.struct(*(F.lit(end[c]).cast(copies.schema[c].dataType).alias(c) for c in order))
-    return copies.filter((F.col("finish") < low) | (F.struct(*order) <= cut))
-
-
-def sizes(docs: DataFrame) -> DataFrame:
+    found = bucketed.withColumn("within", within).join(starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("bucket") == F.col("s_bucket")))
+    return found.select(*columns, "source_size", "target", (F.col("within") + F.col("start")).alias("sent"))
+
+
+def words_of(copy: int) -> Column:
+    """How many words of a copy (of plan()) come before the end of the mix."""
+    begins = copy * F.col("source_size") + F.col("sent") - F.col("size")
+    return F.greatest(F.lit(0).cast("long"), F.least("size", F.floor("target").cast("long") - begins))
+
+
+def finish(sent: Column) -> Column:
+    return F.when(F.col("target") > 0, sent.cast("double") / F.col("target"))
+
+
+def sizes(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, source, size and the shuffled order's key of each document, written once."""
-    return written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), shuffle_key(F.col("doc_id")).alias("mix_key")), "sizes")
+    return written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), shuffle_key(F.col("doc_id")).alias("mix_key"), *more), "sizes")
+
 
+def shares(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words that the mix takes), copies (that it takes words of) and finish (of
+    the first copy; null: the source has no words)."""
+    each = [words_of(e) for e in range(MAX_COPIES)]
+    return plan(sizes(docs)).select(
+        "doc_id", "size", "source_size", "target", sum(each[1:], each[0]).alias("taken"),
+        sum(((w > 0).cast("long") for w in each[1:]), (each[0] > 0).cast("long")).alias("copies"), finish(F.col("sent")).alias("finish"),
+    )
 
-def with_copies(docs: DataFrame, cuts: DataFrame) -> DataFrame:
-    """docs, with source_size, target and the number of copies that the mix takes in columns named lectio_..__."""
-    cuts = written(cuts.select(F.col("source").alias("lectio_source__"), F.col("source_size").alias("lectio_source_size__"), F.col("target").alias("lectio_target__"), *(f"cut{e}" for e in range(MAX_COPIES))), "cuts")
-    small = cuts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = docs.join(F.broadcast(cuts) if small else cuts, docs["source"].eqNullSafe(cuts["lectio_source__"]))
-    key = F.struct(shuffle_key(F.col("doc_id")).alias("mix_key"), F.col("doc_id"), size_of(F.col("text")).alias("size"))
-    n = sum((F.coalesce((key <= cuts[f"cut{e}"]).cast("int"), F.lit(0)) for e in range(MAX_COPIES)), F.lit(0))
-    return joined.withColumn("lectio_copies__", n).drop("lectio_source__", *(f"cut{e}" for e in range(MAX_COPIES)))
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"(?s)[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0)), F.lit(1), n.cast("int")), "")
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix: the rows of docs, each as often as the mix takes it, with the columns that docs has."""
+    """The mix in its order (partitions follow each other in time): the rows of docs, each as often as the mix takes it, with
+    the columns that docs has. Of the last document of each source the text may end before its end."""
     columns = docs.columns
-    found = with_copies(docs, plan(docs)).filter("lectio_copies__ > 0")
-    return found.withColumn("lectio_copy__", F.explode(F.expr("sequence(1, lectio_copies__)"))).select(*columns)
+    ids = [F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias(f"lectio_id{seed}__") for seed in (1, 2)]
+    by = ["lectio_id1__", "lectio_id2__"]
+    planned = plan(sizes(docs, *ids))
+    copies = F.filter(F.array(*(F.struct(words_of(e).alias("words"), finish(e * F.col("source_size") + F.col("sent")).alias("finish"), F.lit(e).alias("copy")) for e in range(MAX_COPIES))), lambda c: c["words"] > 0)
+    taken = written(planned.withColumn("copies", copies).filter(F.size("copies") > 0).select(*by, "sent", "mix_key", "size", "copies"), "copies")
+    budget = taken.select(F.explode("copies").alias("c")).agg(F.sum("c.words")).first()[0] or 0
+    ranges = min(MOST_RANGES, 1 + budget // RANGE_WORDS)
+    # equal rows are dealt to the copies of each other by number
+    dealt = taken.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("sent", "mix_key", "size", "copies"))).alias("lectio_rows__"))
+    numbered = docs.withColumns({c: i for c, i in zip(by, ids)}).withColumn("lectio_no__", F.row_number().over(W.partitionBy(*by).orderBy(F.lit(1))))
+    found = numbered.join(dealt, by).withColumn("lectio_row__", F.get("lectio_rows__", F.col("lectio_no__") - 1))
+    found = found.withColumn("lectio_copy__", F.explode("lectio_row__.copies"))
+    text = F.when(F.col("lectio_copy__.words") < F.col("lectio_row__.size"), first_words(F.col("text"), F.col("lectio_copy__.words"))).otherwise(F.col("text"))
+    found = found.withColumn("text", text)
+    time = F.least(F.floor(F.col("lectio_copy__.finish") * ranges).cast("int"), F.lit(ranges - 1))
+    return found.repartitionById(ranges, time).sortWithinPartitions("lectio_copy__.finish", "lectio_row__.mix_key", "lectio_copy__.copy", *by).select(*columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = with_copies(docs, plan(docs))
-    size = size_of(F.col("text"))
-    return found.select(
-        "doc_id", size.alias("size"), F.col("lectio_source_size__").alias("source_size"), F.col("lectio_target__").alias("target"),
-        (size * F.col("lectio_copies__")).alias("taken"), F.col("lectio_copies__").cast("long").alias("copies"),
-    )
+    return shares(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
 ORACLE = r"""
@@ -146,10 +141,9 @@ p AS (SELECT *, total - coalesce(sum(3 * s) OVER before, 0) AS num, sum(w) OVER
 c AS (SELECT *, num * w > 3 * s * den AS stops FROM p),
 t AS (SELECT source, s AS source_size, total, CASE WHEN stops THEN (3 * s)::DOUBLE
         ELSE ((total - coalesce(sum(3 * s) FILTER (stops) OVER (), 0)) * w)::DOUBLE / (sum(w) FILTER (NOT stops) OVER ())::DOUBLE END AS target FROM c),
-q AS (SELECT d.*, t.source_size, t.target, t.total, sum(size) OVER (PARTITION BY d.source ORDER BY mix_key, doc_id, size, r ROWS UNBOUNDED PRECEDING) AS sent
+q AS (SELECT d.*, t.source_size::BIGINT AS source_size, t.target, (sum(size) OVER (PARTITION BY d.source ORDER BY mix_key, doc_id NULLS FIRST, size, r ROWS UNBOUNDED PRECEDING))::BIGINT AS sent
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT r, size, total, mix_key, doc_id, k, (k * source_size + sent)::DOUBLE / target AS finish FROM q, (VALUES (0), (1), (2)) AS x(k) WHERE target > 0),
-u AS (SELECT r, sum(size) OVER (ORDER BY finish, mix_key, doc_id, size, k, r ROWS UNBOUNDED PRECEDING) <= total AS yes FROM e),
-n AS (SELECT r, count(*) FILTER (yes) AS copies FROM u GROUP BY r)
-SELECT doc_id, size, source_size, target, (size * coalesce(copies, 0))::BIGINT AS taken, coalesce(copies, 0) AS copies FROM q LEFT JOIN n USING (r)
+e AS (SELECT r, greatest(0, least(size, floor(target)::BIGINT - (k * source_size + sent - size))) AS words FROM q, (VALUES (0), (1), (2)) AS x(k)),
+n AS (SELECT r, sum(words)::BIGINT AS taken, count(*) FILTER (words > 0) AS copies FROM e GROUP BY r)
+SELECT doc_id, size, source_size, target, taken, copies, CASE WHEN target > 0 THEN sent::DOUBLE / target END AS finish FROM q JOIN n USING (r)
 """
