@@ -1,7 +1,8 @@
 """Embedding near-dedup by PCA-ordered tiles.
 
 Equal vectors form a class, and only classes are compared. They are turned into the basis of their principal components,
-the largest first, put in the order of the first and cut into tiles of at most TILE. Tiles whose boxes over the leading
+the largest first, put in the order of the first and cut into tiles of TILE, whatever the partitions are. Vectors of
+different lengths never link; each length has a basis and tiles of its own. Tiles whose boxes over the leading
 components are too far from each other are never paired. Within a pair of tiles the products of the leading components
 are accumulated first; the rest of a product is at most the product of the two suffix norms, and where both together
 can't reach the threshold the comparison ends. What is left is decided in double precision on the vectors as given.
@@ -9,23 +10,26 @@ can't reach the threshold the comparison ends. What is left is decided in double
 The basis is from at most SAMPLE vectors; any orthonormal basis gives the same result. A pair of tiles gives counts and
 a spanning forest of its links, never all its pairs.
 
-Defined results. Null and zero vectors, vectors with null or non-finite components, and vectors of another length than
-most have, link with nothing. Rows without a vec_id are not compared and get a null component. Rows that repeat a vec_id
+Defined results. Null and zero vectors and vectors with null or non-finite components link with nothing, vectors of
+different lengths not with each other. Rows without a vec_id are not compared and get a null component. Rows that repeat a vec_id
 are one vertex. Only vec_id and embedding are read.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectio.llm.common import table, written
+from lectio.llm.common import ship, table, written
 from lectio.llm.components import components
 
 THRESHOLD = 0.95
@@ -56,45 +60,63 @@ def basis(classes: DataFrame, d: int) -> np.ndarray:
     return np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()
 
 
-def tiled(classes: DataFrame, turn: np.ndarray, n_tiles: int) -> DataFrame:
-    """classes in the order of the first component, with the tile and the leading components (lead)."""
-    d = len(turn)
+def bases(classes: DataFrame) -> dict[int, np.ndarray]:
+    """The basis of each length that vectors have."""
+    lengths = sorted(r.d for r in classes.select(F.size("embedding").alias("d")).distinct().collect())
+    return {d: basis(classes.filter(F.size("embedding") == d), d) for d in lengths}
+
+
+def tiled(classes: DataFrame, turns: dict[int, np.ndarray]) -> DataFrame:
+    """classes in the order of length and first component, with the tile and the leading components (lead)."""
+    ship()
     kind = classes.schema["embedding"].dataType.simpleString()
 
     @F.arrow_udf("array<double>")
     def lectio_lead(column: pa.Array) -> pa.Array:
-        y = unit(matrix(column, d)) @ turn[:, :BOX]
-        y = np.pad(y, ((0, 0), (0, max(0, BOX - d))))
-        return pa.array(list(y), pa.list_(pa.float64()))
+        length = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        out = np.zeros((len(column), BOX))
+        for d in np.unique(length).tolist():
+            rows = np.flatnonzero(length == d)
+            y = unit(matrix(column.take(pa.array(rows)), d)) @ turns[d][:, :BOX]
+            out[rows, : y.shape[1]] = y
+        return pa.array(list(out), pa.list_(pa.float64()))
 
-    led = classes.withColumn("lead", lectio_lead("embedding")).withColumn("first", F.col("lead")[0])
+    led = classes.withColumn("lead", lectio_lead("embedding")).withColumns({"first": F.col("lead")[0], "d": F.size("embedding")})
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
+        part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            tile = (n + np.arange(batch.num_rows)) // TILE + (part << 32)
-            n += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(tile), *(batch.column(c) for c in ("node", "n", "embedding", "lead"))], ["tile", "node", "n", "embedding", "lead"])
-
-    ranged = led.repartitionByRange(n_tiles, "first", "node").sortWithinPartitions("first", "node")
-    return ranged.select("node", "n", "embedding", "lead").mapInArrow(number, f"tile bigint, node bigint, n bigint, embedding {kind}, lead array<double>")
+            d, place = batch.column("d").to_numpy(), np.zeros(batch.num_rows, np.int64)
+            for x in np.unique(d).tolist():
+                place[d == x] = seen[x] + np.arange((d == x).sum())
+                seen[x] += int((d == x).sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part)), pa.array(place), *(batch.column(c) for c in names[2:])], names)
+
+    names = ["part", "place", "d", "node", "n", "embedding", "lead"]
+    ranged = led.repartitionByRange("d", "first", "node").sortWithinPartitions("d", "first", "node")
+    found = ranged.select(*names[2:]).mapInArrow(number, f"part bigint, place bigint, d int, node bigint, n bigint, embedding {kind}, lead array<double>")
+    found = written(found, "placed")
+    totals = found.groupBy("d", "part").agg(F.count("*").alias("rows"))  # a row a partition and length
+    starts = totals.select("d", "part", (F.sum("rows").over(W.partitionBy("d").orderBy("part")) - F.col("rows")).alias("before"))
+    tile = F.shiftleft(F.col("d").cast("long"), 40) + F.floor((F.col("before") + F.col("place")) / TILE)
+    return found.join(starts, ["d", "part"]).select(tile.alias("tile"), "d", "node", "n", "embedding", "lead")
 
 
 def paired(tiles: DataFrame, threshold: float) -> DataFrame:
     """p, q and a row of tiles for each pair of tiles near enough that the row belongs to."""
     box = [F.array(*(f(F.col("lead")[k]) for k in range(BOX))).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
-    boxes = tiles.groupBy("tile").agg(*box)
+    boxes = tiles.groupBy("tile", "d").agg(*box)
     reach = math.sqrt(2 * (1 - threshold)) + SLACK  # how far apart linked unit vectors are at most
     cells = lambda low, high: F.explode(F.sequence(F.floor(low / reach).cast("int"), F.floor(high / reach).cast("int"))).alias("cell")
     a = boxes.select("*", cells(F.col("low")[0] - reach, F.col("high")[0] + reach)).alias("a")
     b = boxes.select("*", cells(F.col("low")[0], F.col("high")[0])).alias("b")
     gap = lambda k: F.greatest(F.lit(0.0), F.col("b.low")[k] - F.col("a.high")[k], F.col("a.low")[k] - F.col("b.high")[k])
     near = sum((gap(k) * gap(k) for k in range(BOX)), F.lit(0.0)) <= reach * reach
-    meet = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.tile") <= F.col("b.tile")) & near)
+    meet = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.tile") <= F.col("b.tile")) & near)
     pairs = meet.select(F.col("a.tile").alias("p"), F.col("b.tile").alias("q")).distinct()
     pairs = written(pairs, "pairs")
     of = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("tile"))
-    return tiles.select("tile", "node", "n", "embedding").join(of, "tile")
+    return tiles.select("tile", "d", "node", "n", "embedding").join(of, "tile")
 
 
 def near(p: np.ndarray, q: np.ndarray, yp: np.ndarray, yq: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -151,18 +173,18 @@ def forest(linked: np.ndarray, same: bool) -> Iterator[tuple[int, int]]:
                 todo += [(r, True) for r in new.tolist()]
 
 
-def links(tiles: DataFrame, turn: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+def links(tiles: DataFrame, turns: dict[int, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
     """u, v, n: where v is null, n other vectors that u links with in one pair of tiles; else a link."""
-    d = len(turn)
+    ship()
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        p, q = key[0].as_py(), key[1].as_py()
+        p, q, d = key[0].as_py(), key[1].as_py(), rows.column("d")[0].as_py()
         tile = rows.column("tile").to_numpy()
         order = np.argsort(rows.column("node").to_numpy(), kind="stable")
         tile, rows = tile[order], rows.take(pa.array(order))
         node, n = rows.column("node").to_numpy(), rows.column("n").to_numpy()
         x = unit(matrix(rows.column("embedding").combine_chunks(), d))
-        y = x @ turn
+        y = x @ turns[d]
         a, b = np.flatnonzero(tile == p), np.flatnonzero(tile == q)
         linked = np.zeros((len(a), len(b)), bool)
         for k, hit in near(x[a], x[b], y[a], y[b], threshold):
@@ -183,15 +205,12 @@ def links(tiles: DataFrame, turn: np.ndarray, threshold: float = THRESHOLD) -> D
 def grouped(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links and component_id, a row for each row of vectors."""
     good = valid(vectors)
-    length = good.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     everything = vectors.select("vec_id", F.col("embedding").alias("e"))
-    if length is None:
+    classes = written(good.groupBy("embedding").agg(F.min("vec_id").cast("bigint").alias("node"), F.count("*").alias("n")), "classes")
+    turns = bases(classes)
+    if not turns:
         return everything.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    classes = good.filter(F.size("embedding") == length["d"]).groupBy("embedding").agg(F.min("vec_id").cast("bigint").alias("node"), F.count("*").alias("n"))
-    classes = written(classes, "classes")
-    turn = basis(classes, length["d"])
-    tiles = written(tiled(classes, turn, max(1, -(-classes.count() // TILE))), "tiles")
-    found = written(links(tiles, turn, threshold), "links")
+    found = written(links(written(tiled(classes, turns), "tiles"), turns, threshold), "links")
     reached = components(found.filter("v IS NOT NULL").select("u", "v"))
     counts = found.filter("v IS NULL").groupBy("u").agg(F.sum("n").alias("others"))
     named = classes.join(counts, F.col("node") == F.col("u"), "left").drop("u").join(reached, "node", "left")
