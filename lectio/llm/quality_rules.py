@@ -11,14 +11,16 @@ columns there are.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectio.llm.common import table
+from lectio.llm.common import ship, table, written
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_shouted")
 SYMBOLS = b"#*$%&|<>"
@@ -86,6 +88,7 @@ def repeated(words: list) -> int:
 
 def measures() -> Column:
     """A struct of MEASURES of the column `text`."""
+    ship()
 
     @F.arrow_udf("struct<" + ", ".join(f"{m}: bigint" for m in MEASURES) + ">")
     def lectio_measures(texts: pa.Array) -> pa.Array:
@@ -95,11 +98,24 @@ def measures() -> Column:
     return lectio_measures("text")
 
 
+FAILURES = " | ".join(f"IF({rule}, {BIT[name]}L, 0L)" for name, rule in RULES.items())
+
+
 def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, MEASURES and failure_bits (long, bit k: rule k of RULES failed), a row for each row of docs."""
+    """doc_id, MEASURES and failure_bits (long, bit k: rule k of RULES failed), a row for each row of docs; stored."""
     measured = docs.select("doc_id", measures().alias("m")).select("doc_id", "m.*")
-    bits = " | ".join(f"IF({rule}, {BIT[name]}L, 0L)" for name, rule in RULES.items())
-    return measured.withColumn("failure_bits", F.expr(bits))
+    return written(measured.withColumn("failure_bits", F.expr(FAILURES)), "ledger")
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """docs with their row of the ledger in the column lectio_ledger__ (MEASURES and failure_bits), stored, so that any
+    policy can be applied to it later."""
+    bits = FAILURES
+    for name in MEASURES:
+        bits = re.sub(rf"\b{name}\b", f"lectio_m__.{name}", bits)
+    found = docs.withColumn("lectio_m__", measures())
+    row = F.struct(*(F.col(f"lectio_m__.{m}").alias(m) for m in MEASURES), F.expr(bits).alias("failure_bits"))
+    return written(found.withColumn("lectio_ledger__", row).drop("lectio_m__"), "judged")
 
 
 def verdict(bits: Column, policy: str | Iterable[str]) -> Column:
@@ -126,11 +142,15 @@ def ablation(of: DataFrame, policy: str | Iterable[str]) -> DataFrame:
 
 
 def keep(docs: DataFrame, policy: str | Iterable[str] = PRODUCTION) -> DataFrame:
-    """The rows of docs that the policy keeps, with the columns that docs has."""
-    bits = " | ".join(f"IF({rule}, {BIT[name]}L, 0L)" for name, rule in RULES.items() if BIT[name] & policy_mask(policy))
-    for name in MEASURES:
-        bits = bits.replace(name, f"lectio_m__.{name}")
-    return docs.withColumn("lectio_m__", measures()).filter(f"({bits}) = 0").drop("lectio_m__")
+    """The rows of docs that the policy keeps, with the columns that docs has: the policy applied to the ledger."""
+    return judged(docs).filter(verdict(F.col("lectio_ledger__.failure_bits"), policy)).drop("lectio_ledger__")
+
+
+def quality_rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """policy, rule, n_failed and n_failed_alone for all policies, from one ledger."""
+    of = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = [ablation(of, p).select(F.lit(p).alias("policy"), "rule", "n_failed", "n_failed_alone") for p in POLICIES]
+    return reduce(DataFrame.unionByName, found)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,3 +189,10 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failure_bits & 3 <> 0 AS base_failed,
        failure_bits & 55 = 0 AS kept, failure_bits FROM b
 """
+ABLATION_ORACLE = f"""
+WITH bits AS (SELECT failure_bits AS f FROM ({ORACLE})),
+p(policy, mask) AS (VALUES {", ".join(f"('{p}', {policy_mask(p)})" for p in POLICIES)}),
+r(rule, bit) AS (VALUES {", ".join(f"('{k}', {b})" for k, b in BIT.items())})
+SELECT policy, rule, count(f) FILTER (f & bit <> 0) AS n_failed, count(f) FILTER (f & mask = bit) AS n_failed_alone
+FROM p JOIN r ON mask & bit <> 0 LEFT JOIN bits ON true GROUP BY policy, rule
+"""

@@ -15,10 +15,12 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "quality_rules_ablation": quality_rules.quality_rules_ablation,
 }
 ORACLES = {
     "op1_warc": warc.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "quality_rules_ablation": quality_rules.ABLATION_ORACLE,
 }
