@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.common import written
+from lectio.llm.common import ship, written
 from lectio.llm.components import components
 
 SEED = 42
@@ -73,6 +73,7 @@ def shingle_set(text: str | None, words: int) -> bytes:
 
 
 def sets_of(words: int) -> Column:
+    ship()
     @F.arrow_udf("struct<set: binary, digest: binary>")
     def lectio_shingles(texts: pa.Array) -> pa.Array:
         sets = [shingle_set(t, words) for t in texts.to_pylist()]
@@ -88,6 +89,7 @@ def prefix_size(n: int, t: float) -> int:
 
 def common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many sets of a sample have, in order, and how many."""
+    ship()
     share = max(1, sets.count() // SAMPLE)
     taken = sets.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0)
 
@@ -165,6 +167,7 @@ def possible(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, t: f
 
 def shared(keys: DataFrame, t: float) -> DataFrame:
     """The rows of keys under which classes meet that can be similar. Of keys with few classes, only these classes."""
+    ship()
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches):
@@ -220,6 +223,7 @@ def pairs(met: DataFrame, t: float, turn: int | None) -> DataFrame:
 
 def similar(found: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """Those of the pairs whose sets (node, set) have the similarity."""
+    ship()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectio.llm.common import table, written
+from lectio.llm.common import ship, table, written
 from lectio.llm.tokens import default_path, encoder, slices
 
 LENGTH, END = 2048, 1
@@ -31,6 +31,7 @@ BROADCAST_PARTITIONS = 1_000_000
 
 def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """part, start (in the partition), doc_id, n, ids (little-endian, as wide as the vocabulary needs), width."""
+    ship()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,6 +65,7 @@ def placed(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
 def cut(found: DataFrame, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """The pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids where asked for."""
+    ship()
     kind = found.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectio.llm import jaccard
-from lectio.llm.common import table, written
+from lectio.llm.common import ship, table, written
 from lectio.llm.components import components
 from lectio.llm.jaccard import shingle_hashes
 
@@ -75,6 +75,7 @@ def fingerprint(text: str | None, words: int = 4, longs: int = 1) -> bytes:
 
 
 def fingerprint_of(words: int, longs: int) -> Column:
+    ship()
     @F.arrow_udf("binary")
     def lectio_fingerprint(texts: pa.Array) -> pa.Array:
         return pa.array([fingerprint(t, words, longs) for t in texts.to_pylist()], pa.binary())
@@ -137,6 +138,7 @@ def longs_of(column: pa.Array, longs: int) -> np.ndarray:
 
 def emitted(classes: DataFrame, ring: Ring, probes: bool = True) -> DataFrame:
     """key, probe, fp, node: where each class (fp, node) is indexed and looked up."""
+    ship()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,6 +169,7 @@ def spread(rows: DataFrame, classes: DataFrame, ring: Ring) -> DataFrame:
 
 def links(classes: DataFrame, ring: Ring) -> DataFrame:
     """u, v: links between classes, enough of them to connect what is linked under each key."""
+    ship()
     longs = ring.bits // 64
     rows = spread(emitted(classes, ring), classes, ring)
     ordered = rows.repartition("key", "part").sortWithinPartitions("key", "part", "probe")

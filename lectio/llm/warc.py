@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectio.llm.common import table, written
+from lectio.llm.common import ship, table, written
 
 ARCHIVE_BYTES, SEGMENT_BYTES, CHUNK_BYTES = 4 << 20, 16 << 10, 4 << 10
 DATE = "2024-01-01T00:00:00Z"
@@ -141,6 +141,7 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def archives(pages: DataFrame, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """name and content of gzipped archives of about archive_bytes that hold a record (and its continuations) for each page."""
+    ship()
     again = revisits(pages, min_bytes).select(F.col("page_id").alias("again_id"), F.col("sha1").alias("again_sha1"), "refers_to")
     rows = pages.select("page_id", "url", "html").withColumn("sha1", F.unhex(F.sha1(F.coalesce("html", F.lit("")))))
     rows = rows.join(again, rows["page_id"].eqNullSafe(again["again_id"]) & (rows["sha1"] == again["again_sha1"]), "left")
@@ -196,6 +197,7 @@ def _decoded(row: dict, block: bytes, with_payload: bool) -> dict:
 def read(found: DataFrame, with_payload: bool = False) -> DataFrame:
     """record_id, record_type, target_uri, refers_to, stated_digest, payload_bytes, payload_digest, payload (where asked
     for) and error, a row for each response, resource or revisit record of the archives (name, content)."""
+    ship()
     sql = "record_id string, record_type string, target_uri string, refers_to string, stated_digest string, segment int, total_length bigint, block binary, payload_bytes bigint, payload_digest string, payload binary, error string"
     empty = dict.fromkeys(FOUND.names)
 
