@@ -261,12 +261,15 @@ def test_embeddings(spark, monkeypatch, tile, d):
     near = np.concatenate([x[:20] + r.normal(size=(20, d)) * s for s in (0.05, 0.2, 0.3)])
     data = [list(map(float, np.float32(v))) for v in np.concatenate([x, near, near[:3], near[:2] * 2])]
     data += [None, [0.0] * d, [float("nan")] + [1.0] * (d - 1), [float("inf")] * d, [1.0] * (d + 1), [], [None] * d]
+    data += [[1.0, 1.0], [1.0, 1.01], [2.0, 2.0], [1.0, -1.0], [0.0], [3.0], [5.0], [-1.0], *(list(map(float, np.float32(v))) for v in np.repeat(r.normal(size=(3, d + 3)), 4, axis=0) + r.normal(size=(12, d + 3)) * 0.1)]
     rows = [(i, v, 1) for i, v in enumerate(data)] + [(None, data[0], 1)]
     got = {q.vec_id: q for q in embeddings.grouped(spark.createDataFrame(rows, "vec_id long, embedding array<float>, n int").repartition(3)).collect()}
-    ok = [i for i, v in enumerate(data) if v is not None and len(v) == d and None not in v and np.isfinite(v).all() and any(v)]
-    m = np.array([data[i] for i in ok], np.float64)
-    m /= np.sqrt((m * m).sum(axis=1))[:, None]
-    link = [(ok[i], ok[j]) for i, j in zip(*np.nonzero(m @ m.T >= 0.95)) if i != j]
+    link = []
+    for length in {len(v) for v in data if v}:  # vectors of each length with each other
+        ok = [i for i, v in enumerate(data) if v is not None and len(v) == length and None not in v and np.isfinite(v).all() and any(v)]
+        m = np.array([data[i] for i in ok], np.float64).reshape(-1, length)
+        m /= np.sqrt((m * m).sum(axis=1))[:, None]
+        link += [(ok[i], ok[j]) for i, j in zip(*np.nonzero(m @ m.T >= 0.95)) if i != j]
     n, comp = Counter(i for i, _ in link), plain_components(range(len(data)), link)
     assert len(link) > 20
     for i in range(len(data)):
@@ -281,13 +284,74 @@ def test_embeddings(spark, monkeypatch, tile, d):
 
 def test_mixing(edge, nothing):
     df, pdf = edge
-    found = mixing.with_copies(df, mixing.plan(df))
-    size = mixing.size_of(found["text"])
-    got = found.select("doc_id", size.alias("n"), "lectio_source_size__", "lectio_target__", (size * found["lectio_copies__"]).alias("taken"), found["lectio_copies__"].cast("long"))
-    assert by_sql(mixing.ORACLE, documents=pdf)[1] == rows_of(got)
+    got = mixing.shares(df).select("doc_id", "size", "source_size", "target", "taken", "copies", "finish")
+    columns, want = by_sql(mixing.ORACLE, documents=pdf)
+    assert list(columns) == got.columns and want == rows_of(got)
+    for source in set(pdf.source):
+        mine = [r for r, s in zip(plain_mix(pdf), pdf.source) if s == source]
+        assert sum(r[1] for r in mine) == int(mine[0][0])  # each source takes its target
     mixed = mixing.mix(df)
-    assert mixed.columns == df.columns and mixed.count() == sum(r[5] for r in rows_of(got))
-    assert mixing.mix(nothing).count() == 0
+    assert mixed.columns == df.columns
+    sent = Counter()
+    for r in mixed.collect():
+        sent[r.source] += len((r.text or "").encode().split())
+    assert sent == +Counter({s: int(t[0]) for s, t in zip(pdf.source, plain_mix(pdf))})
+    assert mixing.mix(nothing).count() == mixing.shares(nothing).count() == 0
+
+
+def plain_mix(pdf):
+    """(target, taken, copies, finish times of the copies) of each row."""
+    size = [len((t or "").encode().split()) for t in pdf.text]
+    sources = sorted(set(pdf.source), key=lambda s: (s is None, s or ""))
+    weight = {s: k % 3 + 1 for k, s in enumerate(sources)}
+    total = {s: sum(n for n, x in zip(size, pdf.source) if x == s) for s in sources}
+    left, free, target = sum(size), set(sources), {}
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * total[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 3.0 * total[s]
+            left -= 3 * total[s]
+        free -= over
+    target |= share
+    out = [None] * len(pdf)
+    for s in sources:
+        key = lambda i: (hashlib.md5(f"mix:{'' if pd.isna(pdf.doc_id[i]) else int(pdf.doc_id[i])}".encode()).hexdigest(), size[i])
+        rows, at = sorted((i for i in range(len(pdf)) if pdf.source[i] == s or (s is None and pdf.source[i] is None)), key=key), 0
+        sent = Counter()
+        done = {i: [] for i in rows}
+        for _ in range(3):
+            for i in rows:
+                take = min(size[i], int(target[s]) - at)
+                at += size[i]
+                if take > 0:
+                    sent[i] += take
+                    done[i].append(at / target[s])
+        for i in rows:
+            out[i] = (target[s], sent[i], len(done[i]), done[i])
+    return out
+
+
+def test_mix_is_in_the_order_of_finish_times(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_WORDS", 200)
+    texts = [prose(rnd.randrange(1, 60)) for _ in range(90)] + ["x"] * 4
+    df = spark.createDataFrame([(i, t, "abc"[min(i % 7, 2)]) for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(4)
+    pdf = df.toPandas()
+    plain = plain_mix(pdf)
+    want = sorted((t, hashlib.md5(f"mix:{i}".encode()).hexdigest(), k, i) for i, r in zip(pdf.doc_id, plain) for k, t in enumerate(r[3]))
+    mixed = mixing.mix(df)
+    assert mixed.rdd.getNumPartitions() > 5
+    assert [r.doc_id for r in mixed.collect()] == [x[3] for x in want]
+    assert mixing.mix(df.repartition(2)).collect() == mixed.collect()
+
+
+def test_first_words(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("  a b\n\nc d ", 3), ("a", 1), ("a b", 0)], "t string, n long")
+    assert [r[0] for r in df.select(mixing.first_words(F.col("t"), F.col("n"))).collect()] == ["  a b\n\nc", "a", ""]
 
 
 # --- 7 -------------------------------------------------------------------------------------------------------------
@@ -311,9 +375,48 @@ def test_suffix_dedup(spark, edge, nothing, monkeypatch, spans, window, gram):
     df, pdf = edge
     got = rows_of(suffix_dedup.digests(df, window, gram), ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
     assert got == sorted(plain_repeats(pdf.text, window), key=repr)
+    flags = [r.shares_passage for r in sorted(suffix_dedup.digests(df, window, gram).collect(), key=lambda r: (r.n_bytes, r.kept_sha256, r.passages))]
+    assert any(flags) and not all(flags)
     assert suffix_dedup.digests(nothing, window, gram).count() == 0
 
 
+def test_suffix_dedup_short_periods(spark):
+    """A run of equal spans is one row, and the result is still that of brute force."""
+    texts = ["=" * 20_000, "ab" * 9_000 + prose(30), "=" * 500 + prose(100) + "=" * 450, prose(90), "abcdefghij" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert suffix_dedup.occurrences(docs).count() < 300
+    got = [tuple(r)[1:5] for r in sorted(suffix_dedup.digests(docs).collect())]
+    assert got == list(plain_repeats(texts, 400))
+
+
+def test_passages_of_words(spark):
+    """Every passage of 50 words that another document has is seen, whatever its bytes; nothing shorter than 40 words is."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 5)))
+    texts = [[word() for _ in range(r.randrange(100, 300))] for _ in range(60)]
+    shared = {}
+    for k in range(0, 40, 2):
+        n = (50, 51, 90, 39, 20)[k // 2 % 5]
+        at, to = r.randrange(len(texts[k]) - n), r.randrange(len(texts[k + 1]))
+        texts[k + 1][to:to] = texts[k][at : at + n]
+        shared[k] = shared[k + 1] = n >= 50
+    texts[50] = texts[50][:30] * 3  # a passage that only one document has, twice
+    made = [(" \n"[i % 2]).join(w).upper() if i % 3 == 0 else "  ".join(w) for i, w in enumerate(texts)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    for row in suffix_dedup.digests(docs).collect():
+        assert row.shares_passage == (row.passages > 0) == shared.get(row.doc_id, False), row
+
+
+def test_word_parts():
+    text = " ".join(f"w{i}" for i in range(5000)).encode()
+    parts = list(suffix_dedup.word_parts(text, 3000, 50))
+    assert all(len(p) <= 3000 for p in parts) and len(parts) > 5
+    windows = {tuple(p.split()[i : i + 50]) for p in parts for i in range(len(p.split()) - 49)}
+    words = text.split()
+    assert {tuple(words[i : i + 50]) for i in range(len(words) - 49)} <= windows
+    assert b"".join(suffix_dedup.word_parts(b"x" * 10_000, 3000, 50)) == b"x" * 10_000
+
+
 def test_suffix_dedup_long_text_in_chunks(spark):
     """A text of several chunks, as the smallest chunk can be."""
     text = prose(60_000)
@@ -326,7 +429,8 @@ def test_suffix_dedup_long_text_in_chunks(spark):
         parts = [b[k : k + (1 << 16)] for k in range(0, len(b) - 400 + 1, (1 << 16) - 400 + 1)]
         starts = []
         for k, p in enumerate(parts):
-            s, n, *_ = suffix_dedup.spans_in(p, np.array([0, len(p)]), 400, 96)
+            s, n, _, _, _, run = suffix_dedup.spans_in(p, np.array([0, len(p)]), 400, 96)
+            assert (run == 1).all()
             starts += [k * ((1 << 16) - 399) + a + i for a, m in zip(s.tolist(), n.tolist()) for i in range(m)]
         assert starts == list(range(len(b) - 399))
     finally:
@@ -364,7 +468,42 @@ def test_chat(spark):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert r.formatted_chars >= len(said) and r.marked_chars >= r.loss_chars
     assert chat.digests(df.limit(0)).count() == 0
-    assert chat.formatted(df).count() == len(rows)
+    for part in chat.formatted(df).collect():
+        assert part.part == 0 and len(part.formatted) == got[part.conv_id].formatted_chars
+        assert sum(s.end - s.start for s in part.spans) == got[part.conv_id].marked_chars
+
+
+def test_chat_loss_is_what_the_template_marks(spark):
+    rows = [(1, 0, "user", "a ### b"), (1, 1, "assistant", "c: \\d"), (1, 2, "assistant", "### "), (2, 0, "user", "only")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    result = lambda template: {r.conv_id: (r.n_turns, r.loss_chars, r.loss_sha256) for r in chat.digests(df, template).collect()}
+    loss = "c: \\d### "
+    assert result(chat.TURNS) == {1: (3, len(loss), sha(loss)), 2: (1, 0, sha(""))}
+    unmarked = chat.TURNS.replace("{% generation %}", "").replace("{% endgeneration %}", "")
+    assert result(unmarked) == {1: (3, 0, sha("")), 2: (1, 0, sha(""))}
+    users = chat.TURNS.replace("'assistant'", "'user'")
+    assert result(users) == {1: (3, 7, sha("a ### b")), 2: (1, 4, sha("only"))}
+    last = "<s>" + chat.TURNS.replace("m.role == 'assistant'", "m.role == 'assistant' and loop.last") + "<e>"
+    assert result(last) == {1: (3, 4, sha("### ")), 2: (1, 0, sha(""))}
+    texts = {r.conv_id: r.formatted for r in chat.formatted(df, last).collect()}
+    assert texts[2] == "<s>### user: only</turn>\n<e>" and texts[1].count("<s>") == texts[1].count("<e>") == 1
+
+
+def test_chat_marks_across_pieces():
+    """However the marked text is cut into pieces, the loss is the same."""
+    r = random.Random(2)
+    for _ in range(300):
+        turns = [(r.choice(["user", "assistant"]), "".join(r.choice(["#", "###", ": ", "\\", "</turn>", "x", "\n"]) for _ in range(r.randrange(6)))) for _ in range(4)]
+        now = chat.Digest()
+        for text, loss in chat.compiled(chat.TURNS, chat.MARKS)(messages=[{"role": a, "text": b} for a, b in turns]):
+            while text:
+                n = r.randrange(1, 4)
+                now.add(text[:n], loss)
+                text = text[n:]
+        now.add("", last=True)
+        said = "".join(b for a, b in turns if a == "assistant")
+        assert (now.n_turns, now.loss_chars, now.loss.hexdigest()) == (4, len(said), hashlib.sha256(said.encode()).hexdigest())
 
 
 def test_templates():
@@ -374,7 +513,11 @@ def test_templates():
     assert folded == (chat.Emit(chat.Const("abcd")),)
     marked = list(chat.compiled("u{% generation %}{{ x }}{% endgeneration %}v", {})(x="T"))
     assert marked == [("u", False), ("T", True), ("v", False)]
-    for bad in ("{{ a.__class__ }}", "{{ a | eval }}", "{% for x in %}{% endfor %}", "{% if a %}", "{{ a( }}", "{% import os %}"):
+    more = chat.compiled("{% set k = 'x' %}{% if 'b' in a and not c and 2 <= n %}{{ ms[0].k ~ k }}{% endif %}{% for m in ms %}{% if loop.first %}<{% endif %}{{ loop.index }}{{ m['k'] }}{% if not loop.last %},{% else %}>{% endif %}{% endfor %}{{ a not in 'abc' }}", {"a": "b", "k": "folded?"})
+    assert "".join(p for p, _ in more(c=False, n=2, ms=[{"k": "1"}, {"k": "2"}])) == "1x<11,22>False"
+    assert chat.compiled(chat.TURNS, chat.MARKS).streams("messages") and not more.streams("ms")
+    assert not chat.compiled("{% for a in x %}{% for m in messages %}{{ m.k }}{% endfor %}{% endfor %}", {}).streams("messages")
+    for bad in ("{% set a %}", "{{ a[0 }}", "{{ a not b }}", "{{ a.__class__ }}", "{{ a | eval }}", "{% for x in %}{% endfor %}", "{% if a %}", "{{ a( }}", "{% import os %}"):
         with pytest.raises(chat.TemplateError):
             chat.parse(bad)
 
@@ -396,6 +539,16 @@ def test_line_dedup(edge, nothing):
     assert line_dedup.dedup(df).columns == df.columns and line_dedup.dedup(nothing).count() == 0
 
 
+def test_line_dedup_repeated_rows(spark):
+    """Rows with the same id and text are documents of their own; a line that a text has twice is still of one document."""
+    line = "This one line is long enough to count."
+    docs = pd.DataFrame({"doc_id": [1, 1, 2, 3, 3, 5, 6], "text": [line, line, line, "b" + line, "b" + line, f"c{line}\nc{line}\nc{line}", f"c{line}"], "source": "s"})
+    df = spark.createDataFrame(list(docs.itertuples(index=False)), "doc_id long, text string, source string").repartition(3)
+    got = line_dedup.with_bitmaps(df, line_dedup.drop_bitmaps(df)).selectExpr("doc_id", "coalesce(aggregate(lectio_words__, 0L, (a, w) -> a + bit_count(w.bits)), 0L) n").collect()
+    want = sorted((r[0], r[2]) for r in by_sql(line_dedup.ORACLE, documents=docs)[1])
+    assert sorted(map(tuple, got)) == want == [(1, 1), (1, 1), (2, 0), (3, 0), (3, 0), (5, 0), (6, 0)]
+
+
 def test_line_dedup_many_lines(spark):
     """Bitmaps of several words."""
     texts = ["\n".join(f"line number {i % 150} of all of them" for i in range(300)), "\n".join(f"line number {i} of all of them" for i in range(0, 150, 2)), "\n".join(f"LINE number {i} of all of them " for i in range(0, 150, 3))]
@@ -417,6 +570,10 @@ def test_quality_rules(edge, nothing):
         for r in quality_rules.ablation(found, policy).collect():
             b = quality_rules.BIT[r.rule]
             assert (r.n_failed, r.n_failed_alone) == (sum(x & b > 0 for x in bits), sum(x == b for x in bits))
+    columns_, ablations = by_sql(quality_rules.ABLATION_ORACLE, documents=pdf)
+    assert ablations == sorted(((p, *r) for p in quality_rules.POLICIES for r in quality_rules.ablation(found, p).select("rule", "n_failed", "n_failed_alone").collect()), key=repr)
+    judged = quality_rules.judged(df)
+    assert rows_of(judged.select("doc_id", "lectio_ledger__.*"), found.columns) == rows_of(found)
     kept = quality_rules.keep(df)
     assert kept.columns == df.columns and kept.count() == sum(r[list(columns).index("kept")] for r in want)
     assert quality_rules.keep(nothing).count() == quality_rules.ledger(nothing).count() == 0
@@ -447,6 +604,7 @@ def test_pipeline(spark, edge):
         elif name == "mixing":
             _, rows = by_sql(f"SELECT doc_id, copies FROM ({mixing.ORACLE})", documents=before)
             assert Counter(int(i) for i in after.doc_id.dropna()) == +Counter({r[0]: r[1] for r in rows if r[0] is not None})
+            assert (after.n_chars == after.text.str.len()).all() if "n_chars" in after else True
         else:
             check_pieces(after, list(before.text), 2048)
 
@@ -470,3 +628,31 @@ def test_small_memory_gives_the_same_ids():
         assert len(m.new) <= 2 and len(m.old) <= 2
     ids, at = e.encode(pa.array([], pa.string()), 1)
     assert not len(ids) and np.array_equal(at, [0])
+
+
+def test_operators_reach_workers_that_cannot_import_the_package(tmp_path):
+    """Each operator on the caller's own frame, from a process whose workers don't see the repository."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from lectio.functions.tables import cleanup
+from lectio.llm import chat, embeddings, jaccard, line_dedup, mixing, packing, quality_model, quality_rules, simhash, suffix_dedup, warc
+docs = spark.createDataFrame([(i, "some words to read " * 20, "a") for i in range(4)], "doc_id long, text string, source string")
+pages = spark.createDataFrame([(1, "u", "<p>")], "page_id long, url string, html string")
+turns = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.01])], "vec_id long, embedding array<float>")
+labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+found = [warc.read(warc.archives(pages)), packing.pack(docs), packing.sequences(docs), quality_model.score(docs, quality_model.train(docs, labels)), simhash.grouped(docs, simhash.NARROW), simhash.dedup(docs),
+    embeddings.grouped(vectors), mixing.mix(docs), suffix_dedup.digests(docs), suffix_dedup.dedup(docs), chat.digests(turns), chat.formatted(turns), line_dedup.dedup(docs), quality_rules.ledger(docs), quality_rules.keep(docs)]
+print("ROWS", [len(f.collect()) for f in found], cleanup(spark) > 10)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable, "PYTHONSAFEPATH": "1"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "ROWS [1, 4, 1, 4, 4, 1, 2, 4, 4, 4, 1, 1, 4, 4, 0] True" in run.stdout, run.stdout + run.stderr[-3000:]
