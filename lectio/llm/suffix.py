@@ -5,7 +5,7 @@ Puglisi: Permuted Longest-Common-Prefix Array, 2009.) Suffixes are classified as
 neighbour. The leftmost-smaller substrings are sorted by inducing from their first bytes, named by rank, and the string
 of names is sorted by recursion; from the order of the leftmost-smaller suffixes one pass each from the left and from
 the right induces all others. On bytes, a bucket is induced by array operations at once; the names, of which there are
-too many for that, take a loop.
+too many for that, are classified, counted and named by array operations and induced by a loop.
 """
 
 from __future__ import annotations
@@ -107,60 +107,53 @@ def _names(t: np.ndarray, order: np.ndarray, lms: np.ndarray) -> tuple[np.ndarra
     return name[lms], int(rank[-1]) + 1
 
 
-def _sorted_names(s: list[int], letters: int) -> list[int]:
-    """The suffix array of a list of names that ends in its only 0."""
-    n = len(s)
+def _sorted_names(t: np.ndarray, letters: int) -> np.ndarray:
+    """The suffix array of a string of names that ends in its only 0."""
+    n = len(t)
     if n == 1:
-        return [0]
-    is_s = [False] * n
-    is_s[-1] = True
-    for i in range(n - 2, -1, -1):
-        is_s[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and is_s[i + 1])
-    lms = [i for i in range(1, n) if is_s[i] and not is_s[i - 1]]
-    size = [0] * letters
-    for c in s:
-        size[c] += 1
-    begin, total = [0] * letters, 0
-    for c, k in enumerate(size):
-        begin[c] = total
-        total += k
-
-    def induced(order: list[int]) -> list[int]:
-        sa = [-1] * n
-        tail = [b + k - 1 for b, k in zip(begin, size)]
-        for i in reversed(order):
-            sa[tail[s[i]]] = i
-            tail[s[i]] -= 1
-        head = begin[:]
-        for i in range(n):
-            j = sa[i] - 1
-            if j >= 0 and not is_s[j]:
+        return np.zeros(1, np.int64)
+    is_s = smaller(t)
+    lms = leftmost(is_s)
+    size = np.bincount(t, minlength=letters)
+    end = np.cumsum(size)
+    s = t.tolist()
+    # the suffix to the left, if it is a larger one (a smaller one); nothing for what is not there yet (-1)
+    before = np.arange(-1, n)
+    before[0] = before[n] = -1
+    larger, lesser = before.copy(), before.copy()
+    larger[1:n][is_s[:-1]] = -1
+    lesser[1:n][~is_s[:-1]] = -1
+    larger, lesser = larger.tolist(), lesser.tolist()
+
+    def induced(order: np.ndarray) -> np.ndarray:
+        sa = np.full(n, -1, np.int64)
+        _place(sa, end - 1, order[::-1], t[order[::-1]], -1)
+        sa = sa.tolist()
+        head = (end - size).tolist()
+        for i in sa:
+            j = larger[i]
+            if j >= 0:
                 c = s[j]
-                sa[head[c]] = j
-                head[c] += 1
-        tail = [b + k - 1 for b, k in zip(begin, size)]
-        for i in range(n - 1, -1, -1):
-            j = sa[i] - 1
-            if j >= 0 and is_s[j]:
+                at = head[c]
+                sa[at] = j
+                head[c] = at + 1
+        tail = (end - 1).tolist()
+        for i in reversed(sa):
+            j = lesser[i]
+            if j >= 0:
                 c = s[j]
-                sa[tail[c]] = j
-                tail[c] -= 1
-        return sa
-
-    if not lms:
-        return induced([])
-    up_to = dict(zip(lms, [*lms[1:], n - 1]))
-    name, last, names = {}, None, -1
-    for i in induced(lms):
-        if i in up_to:
-            if last is None or s[last : up_to[last] + 1] != s[i : up_to[i] + 1]:
-                names += 1
-            name[i] = names
-            last = i
-    if names + 1 == len(lms):
-        order = sorted(lms, key=name.__getitem__)
-    else:
-        order = [lms[k] for k in _sorted_names([name[i] for i in lms], names + 1)]
+                at = tail[c]
+                sa[at] = j
+                tail[c] = at - 1
+        return np.array(sa, np.int64)
+
+    sa = induced(lms)
+    is_lms = np.zeros(n, bool)
+    is_lms[lms] = True
+    order = sa[is_lms[sa]]
+    names, k = _names(t, order, lms)
+    if k < len(lms):
+        order = lms[_sorted_names(names, k)]
     return induced(order)
 
 
@@ -177,27 +170,40 @@ def suffix_array(data: bytes) -> np.ndarray:
     order = sa[is_lms[sa]]
     names, n = _names(t, order, lms)
     if n < len(lms):
-        order = lms[np.array(_sorted_names(names.tolist(), n), np.int64)]
+        order = lms[_sorted_names(names, n)]
     return _induce(t, is_s, order, 257)[1:]
 
 
+#: Prefixes are measured at every so many places first, of which the others follow but for the last few bytes
+STEPS = (64, 8, 1)
+
+
 def permuted_prefixes(data: bytes, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each suffix in sa, by its place in the text: the length of the prefix, up to `most`, that it has in common
-    with the one before it in sa; 0 for others. All are compared at once, eight bytes a step."""
+    """For each suffix, by its place in the text: the length of the prefix, up to `most`, that it has in common with the one
+    before it in the suffix array; 0 for the first. From one place to the next it falls by one at most. Eight bytes a step."""
     n = len(data)
-    padded = np.frombuffer(data + bytes(most + 16), np.uint8)
-    out = np.zeros(n, np.int64)
-    u, v = sa[1:], sa[:-1]
-    for k in range(0, most, 8):
-        if not len(u):
-            break
-        a = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[u + k]).view("<u8").ravel()
-        b = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[v + k]).view("<u8").ravel()
-        x = a ^ b
-        equal = x == 0
-        low = x[~equal] & (~x[~equal] + np.uint64(1))  # the lowest bit that differs
-        out[u[~equal]] = k + (np.bitwise_count(low - np.uint64(1)) >> 3).astype(np.int64)
-        u, v = u[equal], v[equal]
-        out[u] = k + 8
-    out[sa[1:]] = np.minimum(out[sa[1:]], np.minimum(most, n - np.maximum(sa[1:], sa[:-1])))
+    octets = np.frombuffer(data + bytes(most + 16), np.uint8)
+    eight = np.ndarray((n + most + 8,), "<u8", octets.tobytes(), strides=(1,)).copy()
+    out, other = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    other[sa[1:]] = sa[:-1]
+    known = 0
+    for step in STEPS:
+        at = np.arange(0, n, step)
+        if known:
+            at = at[at % known != 0]
+        at = at[other[at] >= 0]
+        k = np.maximum(out[at - at % known] - at % known, 0) if known else np.zeros(len(at), np.int64)
+        v = other[at]
+        u = at
+        while len(u):
+            x = eight[u + k] ^ eight[v + k]
+            equal = x == 0
+            low = x[~equal] & (~x[~equal] + np.uint64(1))  # the lowest bit that differs
+            out[u[~equal]] = k[~equal] + (np.bitwise_count(low - np.uint64(1)) >> 3).astype(np.int64)
+            u, v, k = u[equal], v[equal], k[equal] + 8
+            over = k >= most
+            out[u[over]] = most
+            u, v, k = u[~over], v[~over], k[~over]
+        out[at] = np.minimum(out[at], np.minimum(most, n - np.maximum(at, other[at])))
+        known = step
     return out
