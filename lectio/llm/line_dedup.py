@@ -7,7 +7,7 @@ documents it is, the largest doc_id that has it) are pre-aggregated in each rang
 is to go comes back as a sparse bitmap for each document, never as text: 64 lines a word, only words with a dropped line.
 
 Defined results. A null or empty text is one empty line. Each input row counts as a document and gives one row of the
-result; rows with the same doc_id and the same text get the same bitmap. A null doc_id is smaller than any other. Other
+result; rows with the same doc_id and the same text count each and get the same bitmap. A null doc_id is smaller than any other. Other
 columns of the input are ignored, whatever their names.
 """
 
@@ -39,13 +39,16 @@ def text_id(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1, h2, doc_id, text_id, positions: for each key of min_chars code points or more in each document."""
+    """h1, h2, doc_id, text_id, positions, copies: for each key of min_chars code points or more in each document; copies:
+    how many rows have that doc_id and text. The hashes are written first, since ranges are found by a pass over a sample."""
     lines = docs.select("doc_id", text_id(F.col("text")).alias("text_id"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
     keyed = lines.select("doc_id", "text_id", "pos", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
     hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "text_id", "pos")
     by = ["h1", "h2", "doc_id", "text_id"]
+    hashed = written(hashed, "hashes")
     ranged = hashed.repartitionByRange(*by).sortWithinPartitions(*by, "pos")
-    return ranged.groupBy(*by).agg(F.collect_set("pos").alias("positions"))
+    found = ranged.groupBy(*by).agg(F.collect_set("pos").alias("positions"), F.count("*").alias("lines"))
+    return found.select(*by, "positions", F.expr("lines div size(positions)").alias("copies"))  # each place once a row
 
 
 def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -54,7 +57,7 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     words: array of (word, bits); line p is dropped where bit p % 64 of the word p / 64 is set. All other lines are kept.
     """
     found = written(occurrences(docs, min_chars), "lines")
-    facts = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("stays_in")).filter(F.col("n") >= min_docs)
+    facts = found.groupBy("h1", "h2").agg(F.sum("copies").alias("n"), F.max("doc_id").alias("stays_in")).filter(F.col("n") >= min_docs)
     facts = written(facts, "facts")  # so that both sides of the join come from a shuffle of their own, which can be split where a key is hot
     goes = found.join(facts, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("stays_in")))
     bits = goes.select("doc_id", "text_id", F.explode("positions").alias("pos")).select(
@@ -73,7 +76,8 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 def kept_text(text: str = "text", words: str = "lectio_words__") -> Column:
     """The lines that the bitmap keeps, joined by \\n; the text itself where there is no bitmap."""
-    dense = f"transform(sequence(0, {words}[size({words}) - 1].word), w -> coalesce(map_from_entries({words})[w], 0L))"
+    gap = f"x.word - if(i = 0, 0, coalesce(get({words}, i - 1).word, 0) + 1)"
+    dense = f"flatten(transform({words}, (x, i) -> concat(array_repeat(0L, {gap}), array(x.bits))))"
     kept = (
         f"array_join(transform(array(struct(split({text}, '\\n', -1) AS x, {dense} AS d)), "
         "s -> array_join(filter(s.x, (line, i) -> coalesce(shiftright(get(s.d, shiftright(i, 6)), i & 63) & 1L, 0L) = 0L), '\\n')), '')"
