@@ -44,11 +44,26 @@ def _paths(spark: SparkSession) -> list[str]:
     return context._lectio_tables
 
 
-def cleanup(spark: SparkSession) -> int:
-    """Deletes the tables that written() has made in this context, once the results that read them are saved. How many."""
-    paths, jvm = _paths(spark), spark.sparkContext._jvm
-    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while paths:
-        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+def mark(spark: SparkSession) -> int:
+    """A place in the order of written tables, for since()."""
+    return len(_paths(spark))
+
+
+def since(spark: SparkSession, place: int) -> list[str]:
+    return _paths(spark)[place:]
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> int:
+    """Deletes these written tables. How many were there."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    gone = set(paths)
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         n += bool(path.getFileSystem(conf).delete(path, True))
+    _paths(spark)[:] = [p for p in _paths(spark) if p not in gone]
     return n
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Deletes the tables that written() has made in this context, once the results that read them are saved. How many."""
+    return dropped(spark, list(_paths(spark)))
