@@ -167,6 +167,9 @@ ATOM_LISTS = {
     "rel": ("relations", "relaciones", "relationships"),
 }
 TOPIC_FIELDS = ("main_topic", "topic", "tema", "title")
+SUBTOPIC_FIELDS = ("subtopics", "subtemas", "sections", "secciones")
+CONCLUSION_FIELDS = ("conclusions", "conclusiones", "key_points", "takeaways")
+ANSWER_WRAPPERS = ("kb", "knowledge_base", "base", "output", "result", "data", "respuesta")
 ATOM_FIELDS = {
     "def": {
         "id": ("id", "identifier"),
@@ -204,3 +207,36 @@ ATOM_FIELDS = {
     },
 }
 ID_SEEDS = {"def": ("term",), "ex": ("name",), "fc": ("caption", "content"), "dt": ("value", "description"), "rel": ("source", "rel_kind")}
+
+# --- fixed values: aliases and wrappers of a model's plans -------------------------------------------------------------
+SLIDE_WRAPPERS = ("plan", "output", "result", "data", "respuesta")
+SLIDE_LISTS = ("slides", "diapositivas", "plan", "content", "contenido")
+SLIDE_TITLES = ("presentation_title", "title", "titulo", "título", "tema", "topic")
+SLIDE_FIELDS = {
+    "title": ("title", "titulo", "título", "heading", "nombre"),
+    "kind": ("kind", "type", "tipo", "layout"),
+    "atoms": ("atom_ids", "atomos", "átomos", "ids", "atoms", "refs", "references"),
+    "focus": ("focus", "enfoque", "intention", "intencion", "idea"),
+}
+QUIZ_WRAPPERS = ("quiz_plan", "quiz", "plan", "output", "result", "data")
+QUIZ_LISTS = ("questions", "preguntas", "items", "plan", "quiz")
+QUIZ_FIELDS = {
+    "bloom": ("bloom_level", "bloom", "nivel", "level", "nivel_bloom"),
+    "concept": ("concept_id", "atom_id", "concepto", "atom", "concept", "ref"),
+    "kind": ("kind", "type", "tipo", "question_type"),
+}
+BLOOM_FALLBACK_CYCLE = (
+    "recordar", "comprender", "aplicar", "analizar",
+    "comprender", "aplicar", "evaluar", "recordar",
+    "comprender", "analizar", "aplicar", "comprender",
+)
+
+# --- fixed values: how long the fields of an atom are (least, most) ----------------------------------------------------
+ATOM_BOUNDS = {
+    "def": {"term": (1, 120), "definition": (5, 600)},
+    "ex": {"name": (1, 120), "description": (5, 600)},
+    "fc": {"content": (1, 2000), "caption": (0, 200), "language": (0, 30)},
+    "dt": {"value": (1, 80), "description": (3, 300)},
+    "rel": {"rel_kind": (1, 60), "source": (1, 120), "target": (1, 120), "description": (0, 300)},
+}
+MAX_LISTED, MAX_SUBTOPICS, MAX_CONCLUSIONS = 20, 30, 10

@@ -11,7 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectio.functions.text import entity, entity_in, json_body, mapped, one_space, stripped, typed_id
-from lectio.functions.values import ATOM_FIELDS, ATOM_KINDS, ATOM_LISTS, ID_SEEDS, RELATION_PHRASES, TOPIC_FIELDS
+from lectio.functions.values import (
+    ANSWER_WRAPPERS, ATOM_BOUNDS, ATOM_FIELDS, ATOM_KINDS, ATOM_LISTS, CONCLUSION_FIELDS, ID_SEEDS, MAX_CONCLUSIONS, MAX_LISTED, MAX_SUBTOPICS, RELATION_PHRASES, SUBTOPIC_FIELDS, TOPIC_FIELDS,
+)
 from lectio.operators import extract
 
 TEXTS = ("term", "definition", "name", "description", "fc_kind", "content", "caption", "language", "value", "rel_kind", "source", "target", "subtopic")
@@ -38,12 +40,25 @@ def kind_rank(kind: Column, order: tuple[str, ...] = ATOM_KINDS) -> Column:
     return F.array_position(F.array(*map(F.lit, order)), kind)
 
 
-def suffixed(rows: DataFrame, base: str, order: list[str]) -> DataFrame:
-    """atom_id: the base id, from its second row in a document on with _2, _3 and so on."""
-    n = F.row_number().over(W.partitionBy("doc_id", base).orderBy(*order))
-    return rows.withColumn("atom_id", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), n.cast("string"))))
-
-
+def unique_ids(rows: DataFrame, base: str, order: list[str], taken: DataFrame | None = None) -> DataFrame:
+    """atom_id: the base id, or, where it is taken, with the first of _2, _3 and so on that is free in the document. taken:
+    doc_id, ids (array) that are not free from the start. Rows are taken in order; only documents with a clash are folded."""
+    numbered = rows.withColumn("lectio_at", F.row_number().over(W.partitionBy("doc_id").orderBy(*order)))
+    in_order = F.array_sort(F.collect_list(F.struct("lectio_at", F.col(base).alias("b"))))
+    per = numbered.groupBy("doc_id").agg(F.transform(in_order, lambda x: x["b"]).alias("bases"))
+    none = F.array().cast("array<string>")
+    per = per.join(taken.select("doc_id", F.col("ids").alias("start")), "doc_id", "left") if taken is not None else per.withColumn("start", none)
+    per = per.withColumn("start", F.coalesce("start", none))
+    named = lambda b, n: F.concat(b, F.lit("_"), n.cast("string"))
+    first_free = lambda used, b: F.element_at(F.filter(F.sequence(F.lit(2), F.size(used) + 2), lambda n: ~F.array_contains(used, named(b, n))), 1)
+    settled = F.aggregate("bases", F.col("start"), lambda used, b: F.concat(used, F.array(F.when(F.array_contains(used, b), named(b, first_free(used, b))).otherwise(b))))
+    every = F.concat("start", "bases")
+    ids = F.when(F.size(F.array_distinct(every)) == F.size(every), F.col("bases")).otherwise(F.slice(settled, F.size("start") + 1, F.size("bases")))
+    named_rows = per.select("doc_id", F.posexplode(ids).alias("p", "atom_id")).select("doc_id", (F.col("p") + 1).alias("lectio_at"), "atom_id")
+    return numbered.join(named_rows, ["doc_id", "lectio_at"]).drop("lectio_at")
+
+
+# --- fixed values: what looks like code and what like a formula, in texts and in answers --------------------------------
 def code_or_formula(c: Column) -> Column:
     """By keywords and signs: code, formula, otherwise code."""
     return (
@@ -53,10 +68,16 @@ def code_or_formula(c: Column) -> Column:
     )
 
 
+def code_or_formula_of_answer(c: Column) -> Column:
+    """The same for a model's answer, which counts more words and any bracket or semicolon as code."""
+    words = r"\b(def|class|function|public|private|return|var|let|const|import|from|if|else|while|for)\b"
+    return F.when(c.rlike(words) | c.rlike(r"[{};]"), "code").when(c.rlike(r"[=<>]|\b\d+\s*[+\-*/]\s*\d+\b"), "formula").otherwise("code")
+
+
 def fallback_atoms(docs: DataFrame) -> DataFrame:
     """The atoms that a document gives literally: definitions, code, formulas."""
     d = extract.definitions(docs).filter("char_length(definition) >= 5")
-    d = suffixed(d.withColumn("base", typed_id("def", F.col("term"))), "base", ["n"])
+    d = unique_ids(d.withColumn("base", typed_id("def", F.col("term"))), "base", ["n"])
     d = d.select("doc_id", F.lit("def").alias("kind"), F.col("n").alias("pos"), "atom_id", F.left("term", F.lit(120)).alias("term"), F.left("definition", F.lit(600)).alias("definition"))
     c = extract.code_blocks(docs).select("doc_id", F.lit("fc").alias("kind"), F.col("n").alias("pos"), F.concat(F.lit("fc:code_"), "n").alias("atom_id"), F.lit("code").alias("fc_kind"), F.left("content", F.lit(2000)).alias("content"), "language")
     f = extract.formulas(docs).select("doc_id", F.lit("fc").alias("kind"), (F.col("n") + 1000).alias("pos"), F.concat(F.lit("fc:formula_"), "n").alias("atom_id"), code_or_formula(F.col("content")).alias("fc_kind"), F.left("content", F.lit(2000)).alias("content"))
@@ -134,10 +155,8 @@ def enriched(atoms: DataFrame, docs: DataFrame) -> DataFrame:
     d = extract.definitions(docs).withColumn("key", entity(F.col("term")))
     known = atoms.filter("kind = 'def'").select("doc_id", entity(F.col("term")).alias("key"))
     fresh = extract.firsts(d.join(known, ["doc_id", "key"], "left_anti").filter("key <> ''").withColumn("pos", F.col("n")), F.col("key"), ["pos"], 1 << 30, "m")
-    taken = atoms.select("doc_id", F.col("atom_id").alias("base")).distinct().withColumn("taken", F.lit(1))
-    fresh = fresh.withColumn("base", typed_id("def", F.col("term"))).join(taken, ["doc_id", "base"], "left")
-    again = F.row_number().over(W.partitionBy("doc_id", "base").orderBy("m")) + F.coalesce("taken", F.lit(0))
-    fresh = fresh.withColumn("atom_id", F.when(again == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), again.cast("string"))))
+    taken = atoms.groupBy("doc_id").agg(F.collect_set("atom_id").alias("ids"))
+    fresh = unique_ids(fresh.withColumn("base", typed_id("def", F.col("term"))), "base", ["m"], taken)
     fresh = fresh.select("doc_id", F.lit("def").alias("kind"), (F.col("m") + 10_000).alias("pos"), "atom_id", "term", "definition")
     head = lambda c: F.left(one_space(c), F.lit(200))
     code = extract.code_blocks(docs).withColumn("key", head(F.col("content")))
@@ -171,32 +190,81 @@ def as_markdown(atoms: DataFrame, most: int | None = None) -> DataFrame:
     return joined.select("doc_id", text.alias("markdown"))
 
 
+def document_markdown(kb: DataFrame, atoms: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, markdown: the topic (kb: doc_id, main_topic, subtopics, conclusions), subtopics, atoms by kind, conclusions."""
+    bulleted = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(f"## {title}\n"), F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")))
+    parts = F.concat_ws("\n\n", F.concat(F.lit("# "), F.col("main_topic")), bulleted("Subtemas", F.col("subtopics")), F.col("markdown"), bulleted("Conclusiones", F.col("conclusions")))
+    text = F.concat(parts, F.lit("\n"))
+    if most:
+        text = F.when(F.char_length(text) > most, F.concat(F.rtrim(F.left(text, F.lit(most - 1))), F.lit("…"))).otherwise(text)
+    return kb.join(as_markdown(atoms), "doc_id", "left").select("doc_id", text.alias("markdown"))
+
+
 def needs_split(term: Column, definition: Column) -> Column:
     n = F.char_length(term)
     return (n > 120) | ((n > 60) & (F.char_length(F.coalesce(definition, F.lit(""))) < 10))
 
 
+# --- fixed values: where a term ends and its definition begins, the first that fits; what is stripped of the term -------
+TERM_ENDS = (r"(?U)^(.{2,80}?)\s*:\s*(.+)$", r"(?U)^(.{2,80}?)\s+[-—–]\s+(.+)$", r"(?iU)^(.{2,80}?)\s+(?:es|son|se\s+refiere\s+a)\s+(.+)$")
+TERM_SIGNS = " .,:;—–-"
+
+
 def split_term(term: Column) -> Column:
-    """(head, tail) of a term that holds its definition: at a colon, a dash, es/son; else after six words."""
-    out = F.lit(None)
-    six = F.regexp_extract(term, r"(?U)^((?:\S+\s+){5}\S+)\s+(.*)$", 1)
-    for pattern in (r"(?iU)^(.{2,80}?)\s+(?:es|son|se\s+refiere\s+a)\s+(.+)$", r"(?U)^(.{2,80}?)\s+[-—–]\s+(.+)$", r"(?U)^(.{2,80}?)\s*:\s*(.+)$"):
-        found = F.struct(stripped(F.regexp_extract(term, pattern, 1)).alias("head"), stripped(F.regexp_extract(term, pattern, 2)).alias("tail"))
-        out = F.when(term.rlike(pattern), found).otherwise(out)
-    rest = F.struct(F.when(six != "", six).otherwise(F.left(term, F.lit(120))).alias("head"), F.when(six != "", F.regexp_extract(term, r"(?U)^((?:\S+\s+){5}\S+)\s+(.*)$", 2)).otherwise(F.lit("")).alias("tail"))
-    return F.coalesce(out, rest)
+    """(head, tail) of a term that holds its definition: at a colon, a dash, es/son; else after six words or 120 characters."""
+    bare = stripped(term)
+    words = F.split(bare, r"(?U)\s+")
+    join = lambda a: F.array_join(a, " ")
+    after = lambda a, n: F.filter(a, lambda _, i: i >= n)
+    out = F.when(F.size(words) > 6, F.struct(F.left(F.rtrim(join(F.slice(words, 1, 6)), F.lit(TERM_SIGNS)), F.lit(120)).alias("head"), join(after(words, 6)).alias("tail"))).otherwise(
+        F.struct(F.rtrim(F.left(bare, F.lit(120)), F.lit(TERM_SIGNS)).alias("head"), stripped(F.substring(bare, 121, 1 << 30)).alias("tail"))
+    )
+    for pattern in reversed(TERM_ENDS):
+        head, tail = F.btrim(F.regexp_extract(bare, pattern, 1), F.lit(TERM_SIGNS)), stripped(F.regexp_extract(bare, pattern, 2))
+        out = F.when((head != "") & (tail != ""), F.struct(F.left(head, F.lit(120)).alias("head"), tail.alias("tail"))).otherwise(out)
+    return out
+
+
+def within_bounds(kind: str) -> Column:
+    """Whether an atom's fields are as long as they may be; what is absent is only missed where it has to be there."""
+    ok = (F.char_length(F.coalesce("subtopic", F.lit(""))) <= 120) & (F.size(F.coalesce("attributes", F.array())) <= MAX_LISTED) & (F.size(F.coalesce("methods", F.array())) <= MAX_LISTED)
+    for c, (least, most) in ATOM_BOUNDS[kind].items():
+        ok = ok & F.char_length(F.coalesce(F.col(c), F.lit(""))).between(least, most)
+    return ok
+
+
+def listed(c: Column, most: int) -> Column:
+    """A list from a JSON array or from a text with separators; bare, without empty entries."""
+    found = F.when(F.startswith(F.trim(c), F.lit("[")), F.from_json(c, "array<string>")).otherwise(F.split(c, r"[\n;,]+"))
+    return F.slice(F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), stripped), lambda x: x != ""), 1, most)
+
+
+def picked(j: Column, names) -> Column:
+    """The first of the fields that says something."""
+    field = lambda n: F.nullif(F.trim(F.get_json_object(j, f"$['{n}']")), F.lit(""))
+    return F.coalesce(*(F.nullif(field(n), F.lit("[]")) for n in names))
+
+
+def unwrapped(body: Column, wrappers, probes) -> Column:
+    """What the first wrapper holds that is an object with one of the fields; else the body itself."""
+    inner = [F.get_json_object(body, f"$['{w}']") for w in wrappers]
+    holds = [F.when(F.startswith(F.trim(x), F.lit("{")) & F.coalesce(*(F.get_json_object(x, f"$['{p}']") for p in probes)).isNotNull(), x) for x in inner]
+    return F.coalesce(*holds, body)
 
 
 def from_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kb, atoms) from answers (doc_id, payload: a model's text). Fields go by any of their aliases, one wrapper is taken off,
-    ids are made where they are missing; an atom without what its kind needs is dropped, the rest of its answer stays."""
-    body = json_body(F.col("payload"))
-    wrapped = [F.get_json_object(body, f"$.{w}") for w in ("knowledge_base", "kb", "base_conocimiento", "data", "result", "response", "output")]
-    inner = [F.when(F.startswith(F.trim(w), F.lit("{")), w) for w in wrapped]
-    parsed = answers.select("doc_id", F.coalesce(*inner, body).alias("j"))
-    pick = lambda names: F.coalesce(*(F.nullif(F.trim(F.get_json_object("j", f"$['{n}']")), F.lit("")) for n in names))
-    topic = pick(TOPIC_FIELDS)
-    kb = parsed.select("doc_id", F.left(F.when(topic.rlike(PLACEHOLDER_TOPIC), None).otherwise(topic), F.lit(200)).alias("main_topic"))
+    ids are made where they are missing; an atom without what its kind needs, or with a field out of its bounds, is dropped,
+    the rest of its answer stays. kb: doc_id, main_topic (null: none that says something), subtopics, conclusions."""
+    probes = (*TOPIC_FIELDS, *ATOM_LISTS["def"], *ATOM_LISTS["ex"])
+    body = answers.select("doc_id", F.explode(F.array(json_body(F.col("payload")))).alias("lectio_b"))  # a generator each: computed once
+    parsed = body.select("doc_id", F.explode(F.array(unwrapped(F.col("lectio_b"), ANSWER_WRAPPERS, probes))).alias("j"))
+    j = F.col("j")
+    topic = picked(j, TOPIC_FIELDS)
+    kb = parsed.select(
+        "doc_id", F.left(F.when(topic.rlike(PLACEHOLDER_TOPIC), None).otherwise(topic), F.lit(200)).alias("main_topic"),
+        listed(picked(j, SUBTOPIC_FIELDS), MAX_SUBTOPICS).alias("subtopics"), listed(picked(j, CONCLUSION_FIELDS), MAX_CONCLUSIONS).alias("conclusions"),
+    )
     found = None
     for kind in ATOM_KINDS:
         lists = F.coalesce(*(F.from_json(F.get_json_object("j", f"$['{n}']"), "array<map<string, string>>") for n in ATOM_LISTS[kind]))
@@ -206,21 +274,22 @@ def from_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
         if kind == "ex":
             items = lambda n: F.coalesce(F.from_json(F.try_element_at("m", F.lit(n)), "array<string>"), F.split(F.try_element_at("m", F.lit(n)), r"[\n;,]+"))
             rows = rows.withColumn("attributes", F.coalesce(*map(items, ("attributes", "atributos", "properties")))).withColumn("methods", F.coalesce(*map(items, ("methods", "metodos", "métodos", "operations"))))
-            rows = rows.withColumn("description", F.coalesce("description", F.concat(F.lit("Ejemplo: "), F.col("name"))))
+            rows = rows.withColumn("description", F.when(F.char_length("description") >= 5, F.col("description")).otherwise(F.concat(F.lit("Ejemplo: "), F.col("name"))))
         if kind == "def":
             parts = F.when(needs_split(F.col("term"), F.col("definition")), split_term(F.col("term")))
-            rows = rows.withColumn("lectio_p", parts).withColumn("term", F.coalesce("lectio_p.head", "term")).withColumn("definition", F.coalesce("definition", F.nullif("lectio_p.tail", F.lit(""))))
-            rows = rows.withColumn("definition", F.coalesce("definition", F.concat(F.lit("Concepto: "), F.col("term"))))
+            rows = rows.withColumn("lectio_p", parts).withColumn("term", F.coalesce("lectio_p.head", "term")).withColumn("definition", F.nullif(F.concat_ws(" ", F.nullif("lectio_p.tail", F.lit("")), F.col("definition")), F.lit("")))
+            rows = rows.withColumn("definition", F.when(F.char_length("definition") >= 5, F.col("definition")).otherwise(F.concat(F.lit("Concepto: "), F.col("term"))))
         if kind == "fc":
-            rows = rows.withColumn("fc_kind", F.when(F.lower("fc_kind").isin("formula", "code"), F.lower("fc_kind")).otherwise(code_or_formula(F.col("content"))))
+            rows = rows.withColumn("fc_kind", F.when(F.lower("fc_kind").isin("formula", "code"), F.lower("fc_kind")).otherwise(code_or_formula_of_answer(F.col("content"))))
         if kind == "dt":
-            rows = rows.withColumn("description", F.coalesce("description", F.concat(F.lit("Dato: "), F.col("value"))))
+            rows = rows.withColumn("description", F.when(F.char_length("description") >= 3, F.col("description")).otherwise(F.concat(F.lit("Dato: "), F.col("value"))))
         if kind == "rel":
             rows = rows.withColumn("rel_kind", F.coalesce("rel_kind", F.lit("related_to")))
         needed = {"def": ("term",), "ex": ("name",), "fc": ("content",), "dt": ("value",), "rel": ("source", "target")}[kind]
         for c in needed:
             rows = rows.filter(F.col(c).isNotNull())
         given = F.when(F.contains("id", F.lit(":")), typed_id(kind, F.col("id"))).when(F.col("id").isNotNull(), typed_id(kind, F.concat(F.lit(f"{kind}:"), F.col("id"))))
-        rows = suffixed(rows.withColumn("base", F.coalesce(given, typed_id(kind, F.coalesce(*ID_SEEDS[kind])))), "base", ["pos"])
-        found = as_atoms(rows) if found is None else found.unionByName(as_atoms(rows))
+        rows = unique_ids(rows.withColumn("base", F.coalesce(given, typed_id(kind, F.coalesce(*ID_SEEDS[kind])))), "base", ["pos"])
+        rows = as_atoms(rows).filter(within_bounds(kind))
+        found = rows if found is None else found.unionByName(rows)
     return kb, found

@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectio.functions.tables import written
-from lectio.functions.text import json_body
+from lectio.functions.text import json_body, truncated
+from lectio.functions.values import MAX_TITLE_CHARS, MIN_SLIDES
 from lectio.operators import chunking, deck, extract, knowledge, metrics, planning, prompts, quiz, review, runs
 from lectio.sources.documents import admitted
 
@@ -29,6 +30,8 @@ class Models(NamedTuple):
     question: Text | None = None
     bullets: Text | None = None
     conclusion: Text | None = None
+    quiz_plan: Text | None = None
+    slide_plan: Text | None = None
 
 
 class Material(NamedTuple):
@@ -42,16 +45,19 @@ class Material(NamedTuple):
     conclusions: DataFrame
     deck: DataFrame
     record: DataFrame
+    slide_issues: DataFrame
 
 
 def knowledge_base(docs: DataFrame, models: Models = Models()) -> tuple[DataFrame, DataFrame]:
-    """(kb: doc_id, main_topic; atoms) of documents that have a text.
+    """(kb: doc_id, main_topic, subtopics, conclusions; atoms) of documents that have a text.
 
     Chunks are summarised, the summaries and the literal hints of a document make one request, and of its answer stays what the
     text bears out, with the literal atoms that are new. A document that gets no atoms this way has its literal ones.
     """
     literal = knowledge.fallback_atoms(docs)
-    topics = knowledge.topics(docs)
+    listed = knowledge.subtopics(docs).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "subtopic"))), lambda s: s["subtopic"]).alias("subtopics"))
+    none = F.array().cast("array<string>")
+    topics = knowledge.topics(docs).join(listed, "doc_id", "left").select("doc_id", "main_topic", F.coalesce("subtopics", none).alias("subtopics"), none.alias("conclusions"))
     if models.knowledge is None:
         return topics, literal
     asked = prompts.map_prompts(chunking.chunks(docs))
@@ -64,12 +70,15 @@ def knowledge_base(docs: DataFrame, models: Models = Models()) -> tuple[DataFram
     has = found.select("doc_id").distinct()
     own = docs.join(has, "doc_id", "left_semi")
     atoms = knowledge.enriched(found, own).unionByName(literal.join(has, "doc_id", "left_anti"))
-    given = named.select("doc_id", F.col("main_topic").alias("lectio_topic"))
-    return topics.join(given, "doc_id", "left").select("doc_id", F.coalesce("lectio_topic", "main_topic").alias("main_topic")), atoms
+    given = named.select("doc_id", F.col("main_topic").alias("lectio_topic"), F.nullif("subtopics", none).alias("lectio_sub"), F.col("conclusions").alias("lectio_end"))
+    kb = topics.join(given, "doc_id", "left").select(
+        "doc_id", F.coalesce("lectio_topic", "main_topic").alias("main_topic"), F.coalesce("lectio_sub", "subtopics").alias("subtopics"), F.coalesce("lectio_end", "conclusions").alias("conclusions")
+    )
+    return kb, atoms
 
 
-def replacements(asked: DataFrame, issues: DataFrame, atoms: DataFrame) -> DataFrame:
-    """Deterministic questions in the place of those with a high issue: of the same concept, or for a repeated question of the
+def replanned(asked: DataFrame, issues: DataFrame, atoms: DataFrame) -> DataFrame:
+    """The plan of new questions in the place of those with a high issue: of the same concept, or for a repeated question of the
     next concept, in the order of atoms, that no question is of (its own again where none is left)."""
     repeated = issues.filter("issue = 'duplicate'").select("doc_id", "question_id").distinct()
     turn = F.row_number().over(W.partitionBy("doc_id").orderBy("question_id"))
@@ -79,43 +88,83 @@ def replacements(asked: DataFrame, issues: DataFrame, atoms: DataFrame) -> DataF
     moved = repeated.withColumn("lectio_n", turn).join(other, ["doc_id", "lectio_n"]).select("doc_id", "question_id", "lectio_other")
     bad = asked.select("doc_id", "question_id", "bloom", "concept_id").join(review.blockers(issues), ["doc_id", "question_id"], "left_semi")
     plan = bad.join(moved, ["doc_id", "question_id"], "left").select("doc_id", "question_id", "bloom", F.coalesce("lectio_other", "concept_id").alias("concept_id"))
-    return quiz.questions(plan, atoms)
+    return plan.withColumn("kind", planning.recommended(F.col("bloom"))[0])
+
+
+def asked_for(plan: DataFrame, atoms: DataFrame, models: Models) -> DataFrame:
+    """The questions of a plan: a model's where there is one and it gives one, else the deterministic ones. A request knows
+    the concept, what is related to it and the questions, in their deterministic form, that the plan has before."""
+    if models.question is None:
+        return quiz.questions(plan, atoms)
+    plan = written(plan, "plan")
+    lines = knowledge.first_by_id(atoms).select("doc_id", "atom_id", knowledge.atom_line(True).alias("line"))
+    near = quiz.related(atoms).join(lines.select("doc_id", F.col("atom_id").alias("related_id"), F.col("line").alias("l")), ["doc_id", "related_id"])
+    near = near.groupBy("doc_id", F.col("atom_id").alias("concept_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "l"))), lambda x: x["l"]), "\n").alias("related"))
+    stems = quiz.questions(plan, atoms).select("doc_id", "question_id", F.concat(F.lit("- ["), "bloom", F.lit("] "), "question").alias("s"))
+    before = quiz.last_before(stems, "doc_id", "question_id", F.col("s")).select("doc_id", "question_id", "before")
+    context = plan.join(lines.withColumnRenamed("atom_id", "concept_id"), ["doc_id", "concept_id"]).join(near, ["doc_id", "concept_id"], "left").join(before, ["doc_id", "question_id"], "left")
+    prompt = prompts.question_prompt(F.col("line"), F.col("bloom"), F.col("kind"), F.col("related"), F.col("before"))
+    return quiz.from_answers(context.select("doc_id", "question_id", models.question(prompt).alias("payload")), plan, atoms)
+
+
+def planned_by(model: Text | None, kb: DataFrame, atoms: DataFrame, prompt: Callable[..., Column]) -> DataFrame | None:
+    """doc_id and payload: a model's answers to a request for a plan, which knows the knowledge base and its ids."""
+    if model is None:
+        return None
+    ids = planning.id_lists(atoms).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "prefix", F.lit(": "), "ids"))), "\n").alias("valid"))
+    n = atoms.groupBy("doc_id").agg(planning.adaptive_target(F.count("*")).alias("target"))
+    source = knowledge.document_markdown(kb, atoms, 5000).join(ids, "doc_id").join(n, "doc_id")
+    return written(source.select("doc_id", model(prompt(F.col("markdown"), F.col("valid"), F.col("target"))).alias("payload")), "plans")
+
+
+def or_else(given: DataFrame, own: DataFrame) -> DataFrame:
+    """The rows of given, and those of own for documents that it has none of."""
+    given = written(given, "given")
+    return given.unionByName(own.join(given.select("doc_id").distinct(), "doc_id", "left_anti"))
 
 
 def quiz_of(kb: DataFrame, atoms: DataFrame, models: Models = Models()) -> DataFrame:
     """The quiz of each document: planned, written, reviewed, questions with a high issue written once more and dropped if they
     still have one, topped up and numbered."""
-    plan = planning.sanitized_quiz_plan(planning.quiz_plan(atoms), atoms)
-    if models.question is None:
-        asked = quiz.questions(plan, atoms)
-    else:
-        context = plan.join(knowledge.first_by_id(atoms).select("doc_id", F.col("atom_id").alias("concept_id"), knowledge.atom_line().alias("line")), ["doc_id", "concept_id"])
-        prompt = prompts.question_prompt(F.col("line"), F.col("bloom"), F.col("kind"))
-        asked = quiz.from_answers(context.select("doc_id", "question_id", models.question(prompt).alias("payload")), plan, atoms)
+    own = planning.sanitized_quiz_plan(planning.quiz_plan(atoms), atoms)
+    answers = planned_by(models.quiz_plan, kb, atoms, prompts.quiz_plan_prompt)
+    plan = own if answers is None else or_else(planning.sanitized_quiz_plan(planning.quiz_plan_from_answers(answers), atoms), own)
+    asked = asked_for(plan, atoms, models)
     asked = written(asked, "asked")
     vocabulary = written(review.vocabulary(atoms, kb), "vocabulary")
     issues = written(review.quiz_issues(asked, vocabulary), "issues")
     good = asked.join(review.blockers(issues), ["doc_id", "question_id"], "left_anti")
-    again = written(good.unionByName(replacements(asked, issues, atoms)), "again")
+    again = written(good.unionByName(asked_for(replanned(asked, issues, atoms), atoms, models)), "again")
     kept = review.refined_quiz(again, review.quiz_issues(again, vocabulary))
     return quiz.renumbered(quiz.filled(written(kept, "kept"), atoms))
 
 
 def deck_of(kb: DataFrame, atoms: DataFrame, models: Models = Models(), subtopics: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(plan, bullets, conclusions) of each document: slides planned and put right, their bullets without repetition."""
-    plan = planning.intro_first(planning.sanitized_slide_plan(planning.slide_plan(kb, atoms, subtopics), atoms))
+    own = planning.sanitized_slide_plan(planning.slide_plan(kb, atoms, subtopics), atoms)
+    answers = planned_by(models.slide_plan, kb, atoms, prompts.slide_plan_prompt)
+    if answers is not None:
+        given = written(planning.sanitized_slide_plan(planning.slide_plan_from_answers(answers), atoms), "planned")
+        short = given.groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set(F.lower("title")).alias("titles")).filter(F.col("n") < MIN_SLIDES)
+        more = own.join(short, "doc_id").filter(~F.array_contains("titles", F.lower("title"))).select("doc_id", (F.col("slide_index") + F.col("n")).cast("int").alias("slide_index"), "title", "kind", "atom_ids")
+        merged = planning.sanitized_slide_plan(given.join(short, "doc_id", "left_semi").unionByName(more), atoms)
+        own = or_else(given.join(short, "doc_id", "left_anti").unionByName(merged), own)
+    plan = planning.intro_first(own).withColumn("title", truncated(F.col("title"), MAX_TITLE_CHARS))
     plan = written(plan, "slides")
     shown = deck.bullets(plan, atoms, kb)
     lines = atoms_of_slides(plan, atoms)
     if models.bullets is not None:
-        asked = lines.select("doc_id", "slide_index", "title", models.bullets(prompts.bullets_prompt(F.col("title"), F.col("lines"))).alias("payload"))
-        answered = written(deck.bullets_from_answers(asked), "bullets")
-        enough = answered.groupBy("doc_id", "slide_index").agg(F.count("*").alias("n")).filter("n >= 3").select("doc_id", "slide_index")
-        shown = answered.join(enough, ["doc_id", "slide_index"], "left_semi").unionByName(shown.join(enough, ["doc_id", "slide_index"], "left_anti"))
+        lines = written(lines.join(before_slides(shown, plan), ["doc_id", "slide_index"], "left"), "lines")
+        once = bullets_asked(lines, models.bullets, False)
+        few = lines.join(enough(once), ["doc_id", "slide_index"], "left_anti")
+        again = bullets_asked(few, models.bullets, True)
+        better = again.select("doc_id", "slide_index").distinct()
+        answered = written(once.join(better, ["doc_id", "slide_index"], "left_anti").unionByName(again), "answered")
+        shown = answered.unionByName(shown.join(answered.select("doc_id", "slide_index").distinct(), ["doc_id", "slide_index"], "left_anti"))
     none = kb.select("doc_id", F.lit(0).alias("n"), F.lit("").alias("text")).limit(0)
     ended = none
     if models.conclusion is not None:
-        source = knowledge.as_markdown(atoms, 6000).join(kb, "doc_id")
+        source = knowledge.document_markdown(kb, atoms, 6000).join(kb.select("doc_id", "main_topic"), "doc_id")
         asked = source.select("doc_id", models.conclusion(prompts.conclusion_prompt(F.col("main_topic"), F.col("markdown"))).alias("payload"))
         listed = F.from_json(json_body(F.col("payload")), "bullets array<string>")["bullets"]
         rows = asked.select("doc_id", F.lit(0).alias("slide_index"), F.posexplode(listed).alias("bullet_index", "t"))
@@ -124,6 +173,24 @@ def deck_of(kb: DataFrame, atoms: DataFrame, models: Models = Models(), subtopic
     return plan, deck.unrepeated(written(shown, "shown")), written(ended, "conclusions")
 
 
+def bullets_asked(lines: DataFrame, model: Text, again: bool) -> DataFrame:
+    """A model's bullets for slides (doc_id, slide_index, title, lines, before), written; `again` with a word on what was missing."""
+    prompt = prompts.bullets_prompt(F.col("title"), F.col("lines"), F.col("before"), again)
+    return written(deck.bullets_from_answers(written(lines.select("doc_id", "slide_index", "title", model(prompt).alias("payload")), "asked")), "bullets")
+
+
+def enough(bullets: DataFrame, least: int = 3) -> DataFrame:
+    return bullets.groupBy("doc_id", "slide_index").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("doc_id", "slide_index")
+
+
+def before_slides(shown: DataFrame, plan: DataFrame, most: int = 8) -> DataFrame:
+    """doc_id, slide_index, before: the last bullets, in their deterministic form, of the slides before each."""
+    text = shown.groupBy("doc_id", "slide_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("bullet_index", "bullet"))), lambda b: F.concat(F.lit("- "), b["bullet"])).alias("b"))
+    w = W.partitionBy("doc_id").orderBy("slide_index").rowsBetween(W.unboundedPreceding, -1)
+    every = plan.select("doc_id", "slide_index").join(text, ["doc_id", "slide_index"], "left").withColumn("all", F.flatten(F.collect_list("b").over(w)))
+    return every.select("doc_id", "slide_index", F.array_join(F.slice("all", F.greatest(F.lit(1), F.size("all") - most + 1), F.lit(most)), "\n").alias("before"))
+
+
 def atoms_of_slides(plan: DataFrame, atoms: DataFrame) -> DataFrame:
     """doc_id, slide_index, title, lines: a slide's atoms, a line each, in the order of the plan; a remark where it has none."""
     ids = plan.filter("kind <> 'intro'").select("doc_id", "slide_index", F.posexplode("atom_ids").alias("at", "atom_id"))
@@ -156,6 +223,8 @@ def study(docs: DataFrame, models: Models = Models(), pages: str | None = None,
     atoms = written(atoms, "atoms")
     kb = written(kb.join(atoms.select("doc_id").distinct(), "doc_id", "left_semi"), "topics")
     asked = written(quiz_of(kb, atoms, models), "quiz")
-    plan, shown, ended = deck_of(kb, atoms, models)
+    subtopics = kb.select("doc_id", F.posexplode("subtopics").alias("p", "subtopic")).select("doc_id", (F.col("p") + 1).alias("n"), "subtopic")
+    plan, shown, ended = deck_of(kb, atoms, models, subtopics)
     shown = written(shown, "deck")
-    return Material(kb, atoms, asked, plan, shown, ended, deck.deck_rows(kb, plan, shown, ended), record_of(taken, atoms, asked, plan, shown, ended))
+    issues = written(review.slide_issues(shown, plan, review.vocabulary(atoms, kb)), "slide_issues")
+    return Material(kb, atoms, asked, plan, shown, ended, deck.deck_rows(kb, plan, shown, ended), record_of(taken, atoms, asked, plan, shown, ended), issues)

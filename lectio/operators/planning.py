@@ -10,12 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectio.functions.deploy import deployed
-from lectio.functions.text import folded, humanized, mapped, normalized_slug
+from lectio.functions.text import folded, humanized, json_body, mapped, normalized_slug
 from lectio.functions.values import (
-    BLOOM_ALIASES, BLOOM_CYCLE, BLOOM_KINDS, MAX_QUESTIONS, MAX_SLIDES, MIN_QUESTIONS, NATURAL_KIND, QUESTION_KIND_ALIASES, QUESTION_KINDS,
-    QUIZ_ORDER, SHARED_ATOMS, SIMILAR_TITLE, SLIDE_KIND_ALIASES, SLIDE_KINDS, TITLE_STOPWORDS,
+    BLOOM_ALIASES, BLOOM_CYCLE, BLOOM_FALLBACK_CYCLE, BLOOM_KINDS, MAX_QUESTIONS, MAX_SLIDES, MIN_QUESTIONS, NATURAL_KIND, QUESTION_KIND_ALIASES, QUESTION_KINDS,
+    QUIZ_FIELDS, QUIZ_LISTS, QUIZ_ORDER, QUIZ_WRAPPERS, SHARED_ATOMS, SIMILAR_TITLE, SLIDE_FIELDS, SLIDE_KIND_ALIASES, SLIDE_KINDS, SLIDE_LISTS,
+    SLIDE_WRAPPERS, TITLE_STOPWORDS,
 )
-from lectio.operators.knowledge import first_by_id, kind_rank
+from lectio.operators.knowledge import first_by_id, kind_rank, picked, unwrapped
 
 
 def array_of(values) -> Column:
@@ -106,6 +107,8 @@ BUCKETS = {
 }
 SLIDE_OF = {"def": "definition", "ex": "example", "fc": "code", "rel": "relations", "dt": "outlook"}
 INTRO, EXTRA = "Introducción", "Aspectos complementarios"
+RESCUE_ORDER = ("def", "ex", "fc", "rel", "dt")
+MOST_PLANNED, LEAST_PLANNED = 20, 3
 
 
 def slide_plan(kb: DataFrame, atoms: DataFrame, subtopics: DataFrame | None = None) -> DataFrame:
@@ -140,14 +143,15 @@ def slide_plan(kb: DataFrame, atoms: DataFrame, subtopics: DataFrame | None = No
 
 
 def sanitized_slide_plan(plan: DataFrame, atoms: DataFrame) -> DataFrame:
-    """A plan (doc_id, slide_index, title, kind, atom_ids) without conclusions, second introductions and repeated slides, with known
-    atoms, or up to three unused ones of the slide's kind where none is known. A plan of which fewer than three slides are left stays
+    """A plan (doc_id, slide_index, title, kind, atom_ids) without conclusions, second introductions (both by kind or title) and
+    repeated slides, with known atoms, or up to three unused ones, of the slide's kind first, where none is known and the slide
+    is no introduction or outlook. A plan of which fewer than three slides are left stays
     as it was. Slides are taken in turn, so each document's are seen together; there are some twenty."""
     deployed(plan.sparkSession)
     asked = plan.select("doc_id", "slide_index", F.posexplode("atom_ids").alias("at", "asked"))
     found = resolved(asked, atoms, "asked").filter("atom_id IS NOT NULL")
     ids = found.groupBy("doc_id", "slide_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "atom_id"))), lambda a: a["atom_id"]).alias("found"))
-    pool = atoms.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(kind_rank(F.col("kind")).alias("k"), "pos", "kind", "atom_id"))), lambda a: F.concat(a["kind"], F.lit("|"), a["atom_id"])).alias("pool"))
+    pool = atoms.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(kind_rank(F.col("kind"), RESCUE_ORDER).alias("k"), "pos", "kind", "atom_id"))), lambda a: F.concat(a["kind"], F.lit("|"), a["atom_id"])).alias("pool"))
     signature = F.array_except(F.array_distinct(F.regexp_extract_all(F.replace(normalized_slug(F.col("title")), F.lit("_"), F.lit(" ")), F.lit(r"[a-z0-9\+]{3,}"), F.lit(0))), array_of(TITLE_STOPWORDS))
     rows = plan.join(ids, ["doc_id", "slide_index"], "left").join(pool, "doc_id", "left").select(
         "doc_id", "slide_index", humanized(F.col("title")).alias("title"), F.col("title").alias("given"), "kind", F.coalesce(F.array_distinct("found"), F.array().cast("array<string>")).alias("atom_ids"),
@@ -170,11 +174,13 @@ def accepted(slides: list[dict]) -> Iterator[dict]:
     kept: list[dict] = []
     used: set[str] = set()
     kind_of = {v: k for k, v in SLIDE_OF.items()}
+    has_intro = False
     for s in slides:
-        if s["kind"] == "conclusion" or (s["kind"] == "intro" and any(k["kind"] == "intro" for k in kept)):
+        opens = s["kind"] == "intro" or s["folded"].strip().startswith("introduc")
+        if s["kind"] == "conclusion" or s["folded"].strip().startswith("conclus") or (opens and has_intro):
             continue
         ids = list(s["atom_ids"])
-        if not ids and s["kind"] != "intro":
+        if not ids and s["kind"] not in ("intro", "outlook"):
             free = [p.split("|", 1) for p in s["pool"] if p.split("|", 1)[1] not in used]
             first = [i for k, i in free if k == kind_of.get(s["kind"])]
             ids = (first + [i for _, i in free if i not in first])[:3]
@@ -182,6 +188,7 @@ def accepted(slides: list[dict]) -> Iterator[dict]:
         if any(repeated(s, k) for k in kept):
             continue
         used.update(ids)
+        has_intro |= opens
         kept.append(s)
         yield s
 
@@ -195,9 +202,59 @@ def repeated(s: dict, k: dict) -> bool:
 
 
 def intro_first(plan: DataFrame, most: int = MAX_SLIDES) -> DataFrame:
-    """The introduction moved to the front, slides numbered anew and cut to `most`."""
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy(F.when(F.col("kind") == "intro", 0).otherwise(1), "slide_index"))
-    return plan.withColumn("slide_index", n).filter(F.col("slide_index") <= most)
+    """The first introduction (by kind or title) at the front, one put there where there is none; numbered anew and cut to `most`."""
+    bare = F.trim(F.regexp_replace(folded(F.col("title")), r"(?U)[^\w\s]+", " "))
+    opens = (F.col("kind") == "intro") | (bare == "introduccion") | F.startswith(bare, F.lit("introduccion "))
+    first = plan.withColumn("lectio_o", opens).withColumn("lectio_first", F.min(F.when(F.col("lectio_o"), F.col("slide_index"))).over(W.partitionBy("doc_id")))
+    none = first.filter("lectio_first IS NULL").select("doc_id").distinct()
+    added = none.select("doc_id", F.lit(0).alias("slide_index"), F.lit(INTRO).alias("title"), F.lit("intro").alias("kind"), F.array().cast("array<string>").alias("atom_ids"), F.lit(0).alias("lectio_r"))
+    given = first.withColumn("lectio_r", F.when(F.col("slide_index") == F.col("lectio_first"), 0).otherwise(1)).select("doc_id", "slide_index", "title", "kind", "atom_ids", "lectio_r")
+    rows = given.unionByName(added)
+    n = F.row_number().over(W.partitionBy("doc_id").orderBy("lectio_r", "slide_index"))
+    return rows.withColumn("slide_index", n).filter(F.col("slide_index") <= most).drop("lectio_r")
+
+
+def listed_rows(answers: DataFrame, wrappers, lists, bare_list: bool) -> DataFrame:
+    """doc_id, pos, m (map of text): the entries of the list that a model's plan (doc_id, payload) holds."""
+    once = answers.select("doc_id", F.explode(F.array(json_body(F.col("payload")))).alias("lectio_b"))  # a generator each: computed once
+    body, inner = F.col("lectio_b"), F.col("lectio_i")
+    once = once.select("doc_id", "lectio_b", F.explode(F.array(unwrapped(body, wrappers, lists))).alias("lectio_i"))
+    found = picked(inner, lists)
+    if bare_list:  # a list may stand alone, or right in a wrapper
+        direct = F.coalesce(*(F.when(F.startswith(F.trim(F.get_json_object(body, f"$['{w}']")), F.lit("[")), F.get_json_object(body, f"$['{w}']")) for w in wrappers))
+        found = F.when(F.startswith(body, F.lit("[")), body).otherwise(F.coalesce(F.when(F.startswith(found, F.lit("[")), found), direct))
+    rows = once.select("doc_id", F.posexplode(F.from_json(found, "array<map<string, string>>")).alias("pos", "m"))
+    return rows.filter("m IS NOT NULL")
+
+
+def entry(names) -> Column:
+    """The first of an entry's fields that says something."""
+    return F.coalesce(*(F.nullif(F.nullif(F.trim(F.try_element_at("m", F.lit(n))), F.lit("")), F.lit("[]")) for n in names))
+
+
+def quiz_plan_from_answers(answers: DataFrame) -> DataFrame:
+    """A plan as quiz_plan() gives it from a model's answer (doc_id, payload): levels and kinds by their aliases, from a cycle and
+    from the level where they are missing; entries without a concept go."""
+    rows = listed_rows(answers, QUIZ_WRAPPERS, QUIZ_LISTS, True)
+    level = bloom(entry(QUIZ_FIELDS["bloom"]))
+    cycle = array_of(BLOOM_FALLBACK_CYCLE)[F.col("pos") % len(BLOOM_FALLBACK_CYCLE)]
+    rows = rows.withColumn("bloom", F.when(level.isin(*BLOOM_KINDS), level).otherwise(cycle)).withColumn("concept_id", entry(QUIZ_FIELDS["concept"]))
+    rows = rows.filter(F.char_length("concept_id").between(3, 80))
+    kind = F.coalesce(question_kind(entry(QUIZ_FIELDS["kind"]), F.col("bloom")), recommended(F.col("bloom"))[0])
+    return rows.select("doc_id", (F.col("pos") + 1).alias("question_id"), "bloom", "concept_id", kind.alias("kind"))
+
+
+def slide_plan_from_answers(answers: DataFrame) -> DataFrame:
+    """A plan as slide_plan() gives it from a model's answer (doc_id, payload): kinds by their synonyms, else outlook; ids as a list or
+    a text with separators, twelve at most. A plan of less than three or more than twenty slides is none."""
+    rows = listed_rows(answers, SLIDE_WRAPPERS, SLIDE_LISTS, False)
+    ids = entry(SLIDE_FIELDS["atoms"])
+    given = F.when(F.startswith(ids, F.lit("[")), F.from_json(ids, "array<string>")).otherwise(F.split(ids, "[,;]"))
+    bare = F.filter(F.transform(F.coalesce(given, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    rows = rows.withColumn("title", F.trim(F.left(entry(SLIDE_FIELDS["title"]), F.lit(80)))).filter("char_length(title) >= 2")
+    rows = rows.withColumn("lectio_n", F.count("*").over(W.partitionBy("doc_id"))).filter(F.col("lectio_n").between(LEAST_PLANNED, MOST_PLANNED))
+    index = F.row_number().over(W.partitionBy("doc_id").orderBy("pos"))
+    return rows.select("doc_id", index.alias("slide_index"), "title", F.coalesce(slide_kind(entry(SLIDE_FIELDS["kind"])), F.lit("outlook")).alias("kind"), F.array_distinct(F.slice(bare, 1, 12)).alias("atom_ids"))
 
 
 def id_lists(atoms: DataFrame, most: int = 80) -> DataFrame:

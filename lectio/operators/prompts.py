@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectio.functions.deploy import ship
 from lectio.functions.values import DECK_CRITERIA, QUIZ_CRITERIA
 
 
@@ -41,18 +43,34 @@ def knowledge_prompt(partials: Column, hints: Column) -> Column:
     return filled(text, hints=hints, partials=partials)
 
 
-def question_prompt(atom: Column, level: Column, kind: Column) -> Column:
-    """A request for one question on an atom."""
+def question_prompt(atom: Column, level: Column, kind: Column, related: Column | None = None, before: Column | None = None) -> Column:
+    """A request for one question on an atom; related atoms and earlier questions are there to be told apart from it."""
     text = (
         "Escribe una pregunta de opción múltiple de nivel {level} y tipo {kind} sobre este concepto y responde en JSON con "
-        "bloom_level, question, options (A, B, C, D), correct_answer y justification.\n\n{atom}"
+        "bloom_level, question, options (A, B, C, D), correct_answer y justification.\n\n{atom}\n\nConceptos cercanos:\n{related}\n\nYa preguntado, no lo repitas:\n{before}"
     )
-    return filled(text, level=level, kind=kind, atom=atom)
+    none = F.lit("-")
+    return filled(text, level=level, kind=kind, atom=atom, related=F.coalesce(related if related is not None else none, none), before=F.coalesce(F.nullif(before if before is not None else none, F.lit("")), none))
 
 
-def bullets_prompt(title: Column, lines: Column) -> Column:
-    """A request for a slide's bullets from its atoms."""
-    return filled("Redacta de 3 a 5 viñetas completas para la diapositiva «{title}» y responde en JSON con bullets.\n\n{lines}", title=title, lines=lines)
+def quiz_plan_prompt(markdown: Column, valid: Column, target: Column) -> Column:
+    """A request for a quiz plan from a knowledge base and the ids that it may use."""
+    text = "Planifica {n} preguntas sobre este material y responde en JSON con questions (bloom_level, concept_id, kind). Usa solo estos identificadores:\n{valid}\n\n{markdown}"
+    return filled(text, n=target, valid=valid, markdown=markdown)
+
+
+def slide_plan_prompt(markdown: Column, valid: Column, target: Column) -> Column:
+    """A request for a slide plan, likewise."""
+    text = "Planifica entre 6 y 14 diapositivas sobre este material y responde en JSON con presentation_title y slides (title, kind, atom_ids). Usa solo estos identificadores:\n{valid}\n\n{markdown}"
+    return filled(text, valid=valid, markdown=markdown)
+
+
+def bullets_prompt(title: Column, lines: Column, before: Column | None = None, again: bool = False) -> Column:
+    """A request for a slide's bullets from its atoms, with what the slides before say; again: with a word on what was missing."""
+    text = "Redacta de 3 a 5 viñetas completas para la diapositiva «{title}» y responde en JSON con bullets.\n\n{lines}\n\nYa dicho, no lo repitas:\n{before}"
+    text += "\n\nLa respuesta anterior no bastó: hacen falta al menos tres frases completas y nuevas." if again else ""
+    none = F.lit("-")
+    return filled(text, title=title, lines=lines, before=F.coalesce(F.nullif(before if before is not None else none, F.lit("")), none))
 
 
 def conclusion_prompt(topic: Column, markdown: Column) -> Column:
@@ -71,21 +89,22 @@ def judge_prompt(artifact: str, source: Column, content: Column) -> Column:
     return filled(text, criteria=F.lit(", ".join(criteria)), source=source, skeleton=skeleton(criteria), content=content)
 
 
-def text_function(call: Callable[[str], str], attempts: int = 3, wait: float = 1.0) -> Callable[[Column], Column]:
-    """A text function from a Python function, tried again with growing waits; null where it fails to the end."""
+def text_function(call: Callable[[str], str], attempts: int = 3, wait: float = 1.0, workers: int = 8, errors: tuple[type[Exception], ...] = (OSError, ValueError)) -> Callable[[Column], Column]:
+    """A text function from a Python function: so many requests at once, each tried again with growing waits after one of the
+    errors; null where it fails to the end. Other errors are bugs and end the task."""
+    ship()
+
+    def one(prompt: str | None) -> str | None:
+        for k in range(attempts if prompt is not None else 0):
+            try:
+                return call(prompt)
+            except errors:
+                time.sleep(min(8.0, wait * 2**k) if k + 1 < attempts else 0)
+        return None
 
     @F.arrow_udf("string")
     def lectio_text(prompts: pa.Array) -> pa.Array:
-        out = []
-        for prompt in prompts.to_pylist():
-            answer = None
-            for k in range(attempts):
-                try:
-                    answer = call(prompt)
-                    break
-                except Exception:  # noqa: BLE001  a server may fail in any way; the row then takes the deterministic form
-                    time.sleep(min(8.0, wait * 2**k) if k + 1 < attempts else 0)
-            out.append(answer)
-        return pa.array(out, pa.string())
+        with ThreadPoolExecutor(workers) as pool:
+            return pa.array(list(pool.map(one, prompts.to_pylist())), pa.string())
 
     return lambda c: lectio_text(c)

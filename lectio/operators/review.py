@@ -20,11 +20,11 @@ def review_tokens(c: Column) -> Column:
 
 
 def vocabulary(atoms: DataFrame, kb: DataFrame | None = None) -> DataFrame:
-    """doc_id, vocab: the tokens of all atoms and the topic of a document."""
+    """doc_id, vocab: the tokens of all atoms, of the topic and (where kb has them) the subtopics of a document."""
     text = F.concat_ws(" ", "term", "definition", "name", "description", "content", "caption", "value", "rel_kind", "source", "target", "subtopic", F.array_join("attributes", " "), F.array_join("methods", " "))
     rows = atoms.select("doc_id", review_tokens(text).alias("t"))
     if kb is not None:
-        rows = rows.unionByName(kb.select("doc_id", review_tokens(F.col("main_topic")).alias("t")))
+        rows = rows.unionByName(kb.select("doc_id", review_tokens(F.concat_ws(" ", "main_topic", *([F.array_join("subtopics", " ")] if "subtopics" in kb.columns else []))).alias("t")))
     return rows.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("vocab"))
 
 
@@ -79,16 +79,32 @@ def refined_quiz(asked: DataFrame, issues: DataFrame, most: int = MAX_QUESTIONS)
     return good.withColumn("lectio_r", F.row_number().over(W.partitionBy("doc_id").orderBy("question_id"))).filter(F.col("lectio_r") <= most).drop("lectio_r")
 
 
+def repeated_contents(keyed: DataFrame) -> DataFrame:
+    """doc_id, slide_index: slides with a bullet (key) that a slide before has. What counts as before depends on where a
+    slide's check ended, so a document's bullets, at most some hundred, are folded in order."""
+    state = "struct<seen: map<string, int>, hits: array<int>>"
+    start = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("seen"), F.array().cast("array<int>").alias("hits")).cast(state)
+
+    def step(s: Column, b: Column) -> Column:
+        first = F.try_element_at(s["seen"], b["key"])
+        ended = F.array_contains(s["hits"], b["slide_index"])
+        hit = ~ended & first.isNotNull() & (first != b["slide_index"])
+        new = F.map_concat(s["seen"], F.map_from_arrays(F.array(b["key"]), F.array(b["slide_index"])))
+        return F.struct(F.when(ended | first.isNotNull(), s["seen"]).otherwise(new).alias("seen"), F.when(F.coalesce(hit, F.lit(False)), F.concat(s["hits"], F.array(b["slide_index"]))).otherwise(s["hits"]).alias("hits")).cast(state)
+
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("slide_index").cast("int").alias("slide_index"), "bullet_index", "key")))
+    return keyed.groupBy("doc_id").agg(ordered.alias("rows")).select("doc_id", F.explode(F.aggregate("rows", start, step)["hits"]).alias("slide_index"))
+
+
 def slide_issues(shown: DataFrame, plan: DataFrame, vocab: DataFrame) -> DataFrame:
-    """doc_id, slide_index, issue, severity (low): meta language, bullets that share nothing with the vocabulary, and contents that a
-    slide before has word for word (the first such bullet of a slide)."""
+    """doc_id, slide_index, issue, severity (low): meta language in a bullet, bullets that share nothing with the vocabulary,
+    and contents that a slide before has word for word (what follows on the slide then isn't looked at)."""
     text = shown.groupBy("doc_id", "slide_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bullet_index", "bullet"))), lambda b: b["bullet"]), " ").alias("text"))
     slides = text.join(plan.select("doc_id", "slide_index", "kind"), ["doc_id", "slide_index"])
     row = lambda df, issue: df.select("doc_id", "slide_index", F.lit(issue).alias("issue"), F.lit("low").alias("severity"))
-    meta = slides.filter(folded(F.col("text")).rlike("|".join(SLIDE_META_PHRASES)))
+    meta = shown.filter(folded(F.col("bullet")).rlike("|".join(SLIDE_META_PHRASES))).select("doc_id", "slide_index").distinct()
     known = slides.filter("kind NOT IN ('intro', 'conclusion')").join(vocab, "doc_id", "left")
     loose = known.filter((F.size(F.coalesce("vocab", F.array().cast("array<string>"))) > 0) & ~F.coalesce(F.arrays_overlap(review_tokens(F.col("text")), F.col("vocab")), F.lit(False)))
     keyed = shown.select("doc_id", "slide_index", "bullet_index", F.left(F.array_join(F.array_sort(review_tokens(F.col("bullet"))), " "), F.lit(120)).alias("key")).filter("key <> ''")
-    first = keyed.withColumn("first", F.min("slide_index").over(W.partitionBy("doc_id", "key"))).filter("first < slide_index")
-    again = first.select("doc_id", "slide_index").distinct()
+    again = repeated_contents(keyed)
     return row(meta, "meta_language").unionByName(row(loose, "not_grounded")).unionByName(row(again, "duplicate_content"))

@@ -93,7 +93,7 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pages_as_documents(table(spark, sf_dir, "pages"))
     rows = pages.select("doc_id", F.posexplode(chunking.sections(F.col("text"))).alias("pos", "section"))
     first = F.regexp_replace(F.substring_index("section", "\n", 1), r"^#+\s+", "")
-    return rows.select(F.col("doc_id").alias("page_id"), "pos", F.char_length("section").alias("n_chars"), F.md5(humanized(F.left(slug(first), F.lit(30)))).alias("title_md5"))
+    return rows.select(F.col("doc_id").alias("page_id"), "pos", F.char_length("section").alias("n_chars"), F.md5(humanized(slug(first))).alias("title_md5"))
 
 
 QUERIES = {f.__name__: f for f in (doc_token_top, doc_key_terms, doc_definitions, doc_formulas, doc_chunks, doc_partials, doc_exact_dedup, doc_near_dup, doc_near_dup_members, passage_containment, page_markdown, page_headings, page_topic, page_subtopics, page_sections)}
@@ -172,5 +172,5 @@ ORACLES = {
     "page_headings": f"WITH {PAGES}, {HEADS} SELECT page_id, pos, level, title FROM heads",
     "page_topic": f"WITH {PAGES}, {HEADS}, {PAGE_TERMS}, {TOPIC} SELECT page_id, main_topic, {SLUG.format('main_topic')} AS slug, CASE WHEN length(main_topic) <= 40 THEN main_topic ELSE rtrim(left(main_topic, 39)) || '…' END AS short, md5(regexp_replace(main_topic, '([a-záéíóúñ])([A-ZÁÉÍÓÚÑ])', '\\1 \\2', 'g')) AS camel_md5 FROM topic",
     "page_subtopics": f"WITH {PAGES}, {HEADS}, {PAGE_TERMS}, r AS (SELECT page_id, level AS rank, pos, title FROM heads WHERE level IN (2, 3) UNION ALL SELECT page_id, 4, n, term FROM terms WHERE n <= 15), b AS (SELECT * FROM r WHERE title <> '' QUALIFY rank = min(rank) OVER (PARTITION BY page_id)), o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY page_id, lower(title) ORDER BY pos) = 1) SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n, left(title, 120) AS subtopic FROM o QUALIFY n <= 30",
-    "page_sections": f"WITH {PAGES}, x AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^(#{{1,6}}\\s)', chr(1) || '\\1', 'g'), chr(1)), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13))), lambda p: p <> '') AS ps FROM md), y AS (SELECT page_id, unnest(ps) AS section, generate_subscripts(ps, 1) - 1 AS pos FROM x), z AS (SELECT *, left({SLUG.format("regexp_replace(string_split(section, chr(10))[1], '^#+\\s+', '')")}, 30) AS sl FROM y) SELECT page_id, pos, length(section) AS n_chars, md5(list_aggregate(list_transform(string_split(trim(regexp_replace(sl, '[_\\-\\s]+', ' ', 'g')), ' '), lambda w: CASE WHEN w IN ('poo', 'oop') THEN upper(w) WHEN w = 'java' THEN 'Java' ELSE upper(left(w, 1)) || substr(w, 2) END), 'string_agg', ' ')) AS title_md5 FROM z",
+    "page_sections": f"WITH {PAGES}, x AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^(#{{1,6}}\\s)', chr(1) || '\\1', 'g'), chr(1)), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13))), lambda p: p <> '') AS ps FROM md), y AS (SELECT page_id, unnest(ps) AS section, generate_subscripts(ps, 1) - 1 AS pos FROM x), z AS (SELECT *, {SLUG.format("regexp_replace(string_split(section, chr(10))[1], '^#+\\s+', '')")} AS sl FROM y) SELECT page_id, pos, length(section) AS n_chars, md5(list_aggregate(list_transform(string_split(trim(regexp_replace(sl, '[_\\-\\s]+', ' ', 'g')), ' '), lambda w: CASE WHEN w IN ('poo', 'oop') THEN upper(w) WHEN w = 'java' THEN 'Java' ELSE upper(left(w, 1)) || substr(w, 2) END), 'string_agg', ' ')) AS title_md5 FROM z",
 }

@@ -19,7 +19,7 @@ from lectio.streaming import upserts
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["fixture_text", "fixture_markdown", "fixture_answer", "fixture_scores", "doc_token_top", "doc_key_terms", "doc_definitions", "doc_chunks", "doc_near_dup", "passage_containment", "page_topic", "page_sections", "kb_atoms", "quiz_questions", "run_upsert", "run_averages", "criteria_template", "conversation_last5", "label_means", "deck_metrics", "study_record"]
+CHECKED = ["fixture_text", "fixture_markdown", "fixture_answer", "fixture_scores", "doc_token_top", "doc_key_terms", "doc_definitions", "doc_chunks", "doc_near_dup", "passage_containment", "page_topic", "page_sections", "kb_atoms", "quiz_questions", "run_upsert", "run_averages", "criteria_template", "conversation_last5", "label_means", "deck_metrics", "study_record", "fixture_plan", "fixture_ids", "quiz_exam", "deck_rows", "slide_review", "kb_document", "slide_plan_sanitized", "bullet_clean"]
 
 
 def one(spark, column, *values):
@@ -43,16 +43,11 @@ def test_query_against_sql(spark, name):
     pd.testing.assert_frame_equal(shown(a), shown(b))
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-def test_last_turns_whole_against_sql(spark):
-    test_query_against_sql(spark, "conversation_last5_whole")
-
-
 def test_last_turns_are_whole(spark, tmp_path):
     """Texts that differ after their first 40 characters give different results."""
     rows = [(c, turn, "user", "x" * 60 + end) for c, end in ((1, "a"), (2, "b")) for turn in (0, 1)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {(r.conv_id, r.turn): r.before_md5 for r in registry.QUERIES["conversation_last5_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.conv_id, r.turn): r.before_md5 for r in registry.QUERIES["conversation_last5"](spark, str(tmp_path)).collect()}
     assert got[1, 1] != got[2, 1] and got[1, 1] == hashlib.md5(("- [user] " + "x" * 60 + "a").encode()).hexdigest()
 
 
@@ -265,3 +260,49 @@ def test_long_terms_are_split(spark):
     _, atoms = knowledge.from_answers(spark.createDataFrame([(1, json.dumps({"definitions": [{"term": term}]}))], "doc_id long, payload string"))
     r = atoms.first()
     assert r["term"] == "Fotosíntesis" and r["definition"].startswith("proceso por el que")
+
+
+def test_ids_are_unique(spark):
+    """A made id that another base is equal to is not taken twice, whatever the order."""
+    rows = spark.createDataFrame([(1, k, b) for k, b in enumerate(["a_2", "a", "a", "a", "b", "a_2"])] + [(2, 0, "a"), (2, 1, "c")], "doc_id long, n int, base string")
+    got = {(r.doc_id, r.n): r.atom_id for r in knowledge.unique_ids(rows, "base", ["n"]).collect()}
+    assert [got[1, k] for k in range(6)] == ["a_2", "a", "a_3", "a_4", "b", "a_2_2"] and got[2, 0] == "a" and got[2, 1] == "c"
+    taken = spark.createDataFrame([(2, ["a", "a_2"])], "doc_id long, ids array<string>")
+    assert {r.atom_id for r in knowledge.unique_ids(rows.filter("doc_id = 2"), "base", ["n"], taken).collect()} == {"a_3", "c"}
+
+
+def test_repeated_contents_end_a_slide(spark):
+    """What follows a repeated bullet on its slide is not registered, as in the order of the check."""
+    rows = [(1, 1, 1, "x"), (1, 2, 1, "x"), (1, 2, 2, "y"), (1, 3, 1, "y"), (1, 4, 1, "y"), (1, 4, 2, "z"), (2, 1, 1, "x"), (2, 1, 2, "x")]
+    keyed = spark.createDataFrame(rows, "doc_id long, slide_index int, bullet_index int, key string")
+    assert sorted(map(tuple, review.repeated_contents(keyed).collect())) == [(1, 2), (1, 4)]
+
+
+def test_intro_is_moved_or_put_first(spark):
+    rows = [(1, 1, "Una cosa", "definition"), (1, 2, "¡Introducción!", "outlook"), (2, 1, "Otra", "code"), (2, 2, "Más", "outlook")]
+    plan = spark.createDataFrame([(*r, []) for r in rows], "doc_id long, slide_index int, title string, kind string, atom_ids array<string>")
+    got = planning.intro_first(plan).orderBy("doc_id", "slide_index").collect()
+    assert [(r.doc_id, r.title) for r in got] == [(1, "¡Introducción!"), (1, "Una cosa"), (2, "Introducción"), (2, "Otra"), (2, "Más")]
+
+
+def test_plans_of_a_model(spark):
+    """Plans that can be read are followed, others leave the deterministic ones in place."""
+    quiz_plan = json.dumps({"questions": [{"concept_id": "DEF:Rotor", "bloom_level": "apply"}, {"concept_id": "def:turbina"}]})
+    slides = json.dumps({"slides": [{"title": t, "kind": k, "atom_ids": a} for t, k, a in (("partes de la torre", "definition", ["def:gondola"]), ("Giro", "process", ["def:rotor"]), ("Viento", "example", []))]})
+    said = lambda text: lambda c: F.when(F.length(c) > 0, F.lit(text))
+    m = package.study(texts(spark, LESSON), package.Models(quiz_plan=said(quiz_plan), slide_plan=said(slides)))
+    asked = m.quiz.orderBy("question_id").collect()
+    assert [(q["concept_id"], q["bloom"]) for q in asked[:2]] == [("def:rotor", "aplicar"), ("def:turbina", "comprender")]
+    titles = [r.title for r in m.plan.orderBy("slide_index").collect()]
+    assert titles[0] == "Introducción" and "Partes De La Torre" in titles and "Giro" in titles
+    assert m.slide_issues.columns == ["doc_id", "slide_index", "issue", "severity"]
+    nothing = package.study(texts(spark, LESSON), package.Models(quiz_plan=said("no"), slide_plan=said("{}")))
+    assert nothing.quiz.count() == 3 and nothing.plan.count() == package.study(texts(spark, LESSON)).plan.count()
+
+
+def test_text_function_keeps_bugs(spark):
+    def broken(prompt):
+        raise KeyError(prompt)
+
+    with pytest.raises(Exception, match="KeyError"):
+        spark.range(1).select(prompts.text_function(broken, wait=0)(F.lit("x"))).collect()
