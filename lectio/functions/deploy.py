@@ -9,9 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows are whole texts, so a batch of Spark's default of 10,000 rows may be hundreds of MB in a Python worker
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def deployed(spark: SparkSession) -> SparkSession:
-    """Adds the package to the session's Python files, once for a context. The archive is the driver's, Spark sends it on."""
+    """Adds the package to the session's Python files, once for a context, and makes Arrow batches smaller where the session
+    has not set them. The archive is the driver's, Spark sends it on."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH, None) in (None, "10000"):
+        spark.conf.set(BATCH, BATCH_ROWS)
     if not getattr(context, "_lectio_deployed", False):
         root = Path(__file__).resolve().parents[1]
         archive = Path(tempfile.mkdtemp(prefix="lectio-")) / "lectio_package.zip"
