@@ -1,14 +1,16 @@
 """Near-dedup by the exact Jaccard similarity of shingle sets.
 
-A document is the set of its different shingles, as 64-bit hashes; documents with the same set form a class. All shingles
-are put in one order: those that a sample of the classes has often come last, the rest by hash. Two sets that are similar
-enough share one of the first n - ceil(t n) + 1 of theirs, whatever the order is, so the classes meet under these keys
-and no pair is missed; the sample decides only how large the groups under a key are. Of what meets, sizes and positions
-rule out what can't be similar, and the sets decide.
-
-Only what is linked is of interest, not all its pairs. In each of ROUNDS rounds every key compares its classes with one
-of them, and what is found joins components; at the end all pairs that meet and are not yet in one component are
-compared. A dense group thus costs a few comparisons a class.
+A document is the set of its different shingles, as 64-bit hashes; documents with the same words form a class. Texts are
+written, sets are not: hashes don't compress. All shingles are put in one order: those that a sample of the classes has often
+come last, the rest by hash. Two sets that are similar enough share one of the first n - ceil(t n) + 1 of theirs, whatever
+the order is, so the classes meet under these keys and no pair is missed; the sample decides only how large the groups under
+a key are. Of what meets, sizes and positions rule out what can't be similar. A class also has a bitmap of its shingles: each
+bit that one of two has alone is a shingle that it has alone, which rules out nearly all that is left without any text. The
+sets of the remaining pairs decide.
+
+Only what is linked is of interest, not all its pairs. In each of ROUNDS rounds every class is compared with LEADERS at most
+of those that lead a key of it, and what is found joins components; at the end all pairs that meet and are not yet in one
+component are compared. A dense group thus costs a few comparisons a class.
 
 Defined results. A null text has no words, as an empty one; documents without words are one class. Rows that repeat a
 doc_id are compared each. A null doc_id links with nothing and has a null component. Other columns are ignored.
@@ -33,16 +35,18 @@ SEED = 42
 AT_ONCE = 1 << 19
 SIMILARITY, WORDS = 0.8, 5
 ROUNDS = 2
-#: In a round a key compares with one of so many classes of a dense group, so that the groups of its keys differ
-LEADERS = 4
+#: So many leaders a class and round; keys are dealt to as many hashes, each of which chooses its own
+LEADERS = 2
 #: The order of shingles: about so many classes are counted, and so many shingles at most that OFTEN of them have come last
 SAMPLE, OFTEN, COMMON = 10_000, 4, 100_000
 #: With so many classes to compare they are sent to all executors; with more of them the join is a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: So many documents, or pairs of a key, are handled at once
-ROWS_AT_ONCE = 1000
+ROWS_AT_ONCE = 500
 #: Keys with no more classes are looked through pair by pair before the rounds
 FEW = 32
+#: Sets that a task keeps while it compares pairs
+KNOWN = 64
 EPS = 1e-9
 
 
@@ -73,16 +77,28 @@ def shingle_set(text: str | None, words: int) -> bytes:
 
 
 def sets_of(words: int) -> Column:
+    """The shingle set of the column text."""
     ship()
-    @F.arrow_udf("struct<set: binary, digest: binary>")
+
+    @F.arrow_udf("binary")
     def lectio_shingles(texts: pa.Array) -> pa.Array:
-        sets = [shingle_set(t, words) for t in texts.to_pylist()]
-        digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-        return pa.StructArray.from_arrays([pa.array(sets, pa.binary()), pa.array(digests, pa.binary())], ["set", "digest"])
+        return pa.array([shingle_set(t, words) for t in texts.to_pylist()], pa.binary())
 
     return lectio_shingles("text")
 
 
+def words_digest() -> Column:
+    """128 bits of the words of the column text, A-Z in lower case."""
+    ship()
+
+    @F.arrow_udf("binary")
+    def lectio_words(texts: pa.Array) -> pa.Array:
+        words = (b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts.to_pylist())
+        return pa.array([hashlib.blake2b(w, digest_size=16).digest() for w in words], pa.binary())
+
+    return lectio_words("text")
+
+
 def prefix_size(n: int, t: float) -> int:
     return n - math.ceil(n * t - EPS) + 1
 
@@ -104,32 +120,49 @@ def common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def keyed(sets: DataFrame, often: tuple[np.ndarray, np.ndarray], t: float) -> DataFrame:
-    """key, node, n, pos: the first shingles of each set, with its size and their places."""
+def signatures(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], t: float, words: int) -> DataFrame:
+    """node, n (shingles), keys (the first of them, in order) and bits of each text (node, text)."""
+    ship()
     shingles, counts = often
 
-    def keys(s: bytes) -> np.ndarray:
-        x = np.frombuffer(s, "<u8")
+    def keys(x: np.ndarray) -> np.ndarray:
         if len(shingles):
             at = np.minimum(np.searchsorted(shingles, x), len(shingles) - 1)
             x = x[np.argsort(np.where(shingles[at] == x, counts[at], 0), kind="stable")]
-        return x[: prefix_size(len(x), t)]
+        return x[: prefix_size(len(x), t)].view(np.int64)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(k, ROWS_AT_ONCE)
-                sets = batch.column("set").to_pylist()
-                found = [keys(s) if s else np.zeros(0, np.uint64) for s in sets]
-                size = np.array([len(f) for f in found])
-                if not size.sum():
-                    continue
-                n = np.repeat(np.array([len(s) // 8 for s in sets], np.int32), size)
-                pos = np.concatenate([np.arange(m, dtype=np.int32) for m in size.tolist()])
-                node = pa.array(np.repeat(batch.column("node").to_numpy(), size))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), node, pa.array(n), pa.array(pos)], ["key", "node", "n", "pos"])
+                sets = [np.frombuffer(shingle_set(x.as_py(), words), "<u8") for x in batch.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("node"), pa.array([len(s) for s in sets], pa.int32()),
+                        pa.array([keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s) for s in sets], pa.binary()),
+                    ],
+                    ["node", "n", "keys", "bits"],
+                )
+
+    return texts.select("node", "text").mapInArrow(sign, "node bigint, n int, keys array<bigint>, bits binary")
+
 
-    return sets.select("node", "set").mapInArrow(emit, "key bigint, node bigint, n int, pos int")
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each shingle, by its last bits; two to four times as many bits as shingles."""
+    m = 1 << max(6, (2 * len(s)).bit_length())
+    bits = np.zeros(m, bool)
+    bits[s & np.uint64(m - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_be_similar(n: int, a: np.ndarray, m: int, b: np.ndarray, t: float) -> bool:
+    """Whether sets of n and m shingles with these bitmaps can be similar."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    most = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return most >= t / (1 + t) * (n + m) - EPS
 
 
 # --- what meets ----------------------------------------------------------------------------------------------------
@@ -188,53 +221,86 @@ def shared(keys: DataFrame, t: float) -> DataFrame:
 
 def pairs(met: DataFrame, t: float, turn: int | None) -> DataFrame:
     """u, v: classes of different components that meet under a key (met: key, node, n, pos, component), each pair once;
-    in a turn only those of one class of each key, else all."""
+    in a turn only each class with LEADERS at most of the classes that lead its keys, else all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, vs, size = [], [], 0
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+        us, vs, hs, size = [], [], [], 0
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, hs)], ["u", "v", "h"])
         for rows in groups(batches):
             key, node, n, pos, comp = (rows.column(c).to_numpy() for c in ("key", "node", "n", "pos", "component"))
             for a, b in bounds(key):
                 if (comp[a:b] == comp[a]).all():
                     continue
+                lane = int(key[a]) % LEADERS
                 if turn is None:
-                    leaders = range(a, b - 1)
+                    leaders, h = range(a, b - 1), np.zeros(b - a, np.int64)
                 else:
-                    mix = np.uint64((2 * (turn * LEADERS + int(key[a]) % LEADERS) + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+                    mix = np.uint64((2 * (turn * LEADERS + lane) + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
                     h = (node[a:b].view(np.uint64) + mix) * mix
-                    leaders = [a + int(np.argmin(h ^ (h >> np.uint64(29)) * mix))]
+                    h = ((h ^ (h >> np.uint64(29))) * mix >> np.uint64(8)).astype(np.int64) * LEADERS + lane  # one lane's are comparable
+                    leaders = [a + int(np.argmin(h))]
                 for i in leaders:
                     j = np.arange(a if turn is not None else i + 1, b)
                     j = j[(comp[j] != comp[i]) & possible(n[j], pos[j], n[i], pos[i], t)]
                     if len(j):
-                        us.append(np.minimum(node[i], node[j]))
-                        vs.append(np.maximum(node[i], node[j]))
+                        us.append(np.full(len(j), node[i]))
+                        vs.append(node[j])
+                        hs.append(np.full(len(j), h[i - a]))
                         size += len(j)
                         if size >= AT_ONCE:
                             yield flush()
-                            us, vs, size = [], [], 0
+                            us, vs, hs, size = [], [], [], 0
         if size:
             yield flush()
 
     ordered = met.repartition("key").sortWithinPartitions("key")
-    return ordered.mapInArrow(run, "u bigint, v bigint").distinct()
+    found = ordered.mapInArrow(run, "u bigint, v bigint, h bigint")
+    if turn is not None:
+        found = found.groupBy("v", F.pmod("h", F.lit(LEADERS))).agg(F.min_by("u", "h").alias("u"))
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def similar(found: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Those of the pairs whose sets (node, set) have the similarity."""
+def plausible(found: DataFrame, signed: DataFrame, t: float) -> DataFrame:
+    """Those of the pairs that their bitmaps (node, n, bits) don't rule out."""
     ship()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n").to_pylist(), batch.column("m").to_pylist()
+            bits = zip(batch.column("x"), batch.column("y"))
+            may = [may_be_similar(n[k], np.frombuffer(x.as_buffer(), np.uint8), m[k], np.frombuffer(y.as_buffer(), np.uint8), t) for k, (x, y) in enumerate(bits)]
+            yield batch.select(["u", "v"]).filter(pa.array(may, pa.bool_()))
+
+    x, y = (signed.select(F.col("node").alias(c), F.col("n").alias(n), F.col("bits").alias(b)) for c, n, b in (("u", "n", "x"), ("v", "m", "y")))
+    return found.join(x, "u").join(y, "v").select("u", "v", "n", "m", "x", "y").mapInArrow(run, "u bigint, v bigint")
+
+
+def similar(found: DataFrame, texts: DataFrame, t: float, words: int) -> DataFrame:
+    """Those of the pairs whose texts (node, text) have sets with the similarity."""
+    ship()
+    nodes = written(found.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
+    texts = only(texts, nodes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def set_of(node: int, text: pa.Scalar) -> np.ndarray:
+            if node not in known:
+                if len(known) >= KNOWN:
+                    known.clear()
+                known[node] = np.frombuffer(shingle_set(text.as_py(), words), "<u8")
+            return known[node]
+
         for batch in batches:
             hit = np.zeros(batch.num_rows, bool)
+            u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
             for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                x, y = set_of(u[k], x), set_of(v[k], y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 hit[k] = both >= t * (len(x) + len(y) - both) - EPS
             yield batch.select(["u", "v"]).filter(pa.array(hit))
 
-    x, y = (sets.select(F.col("node").alias(c), F.col("set").alias(s)) for c, s in (("u", "x"), ("v", "y")))
+    x, y = (texts.select(F.col("node").alias(c), F.col("text").alias(s)) for c, s in (("u", "x"), ("v", "y")))
     return found.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint")
 
 
@@ -244,13 +310,17 @@ def only(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
 
 
-def links(sets: DataFrame, t: float) -> DataFrame:
-    """u, v: nodes whose sets are similar, enough of them to connect all that are (sets: node, set; no two equal)."""
-    met = written(shared(keyed(sets, common(sets), t), t), "met")
-    chosen = written(only(sets, written(met.select("node").distinct(), "nodes")), "chosen")
+def links(texts: DataFrame, t: float, words: int) -> DataFrame:
+    """u, v: nodes whose sets are similar, enough of them to connect all that are (texts: node, text)."""
+    often = common(texts.select("node", sets_of(words).alias("set")))
+    signed = written(signatures(texts, often, t, words), "signatures")
+    keys = signed.select("node", "n", F.posexplode("keys").alias("pos", "key")).select("key", "node", "n", "pos")
+    met = written(shared(keys, t), "met")
+    bits = signed.select("node", "n", "bits")
     edges, rows = None, met.withColumn("component", F.col("node"))
     for turn in [*range(ROUNDS), None]:
-        new = written(similar(pairs(rows, t, turn), chosen, t), "links")
+        found = written(plausible(pairs(rows, t, turn), bits, t), "pairs")
+        new = written(similar(found, texts, t, words), "links")
         edges = new if edges is None else edges.union(new)
         if turn is not None:
             reached = components(edges)
@@ -260,11 +330,11 @@ def links(sets: DataFrame, t: float) -> DataFrame:
 
 def grouped(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable), a row for each row of docs."""
-    found = docs.select("doc_id", sets_of(words).alias("s")).select("doc_id", "s.set", "s.digest", F.monotonically_increasing_id().alias("node"))
-    found = written(found, "sets")
+    found = docs.select("doc_id", "text", words_digest().alias("digest"), F.monotonically_increasing_id().alias("node"))
+    found = written(found, "texts")
     classes = found.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").cast("bigint").alias("doc"), F.min("node").alias("node"))
     classes = written(classes, "classes")
-    linked = links(only(found.select("node", "set"), classes.select("node")), similarity)
+    linked = links(only(found.select("node", "text"), classes.select("node")), similarity, words)
     a, b = (classes.select(F.col("node").alias(n), F.col("doc").alias(d)) for n, d in (("u", "a"), ("v", "b")))
     reached = components(linked.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.select("digest", F.col("doc").alias("node")).join(reached, "node", "left")
