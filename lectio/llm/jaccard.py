@@ -1,16 +1,17 @@
 """Near-dedup by the exact Jaccard similarity of shingle sets.
 
 A document is the set of its different shingles, as 64-bit hashes; documents with the same words form a class. Texts are
-written, sets are not: hashes don't compress. All shingles are put in one order: those that a sample of the classes has often
-come last, the rest by hash. Two sets that are similar enough share one of the first n - ceil(t n) + 1 of theirs, whatever
-the order is, so the classes meet under these keys and no pair is missed; the sample decides only how large the groups under
-a key are. Of what meets, sizes and positions rule out what can't be similar. A class also has a bitmap of its shingles: each
+written, sets are not: hashes don't compress. All shingles are put in one order, the rarest first, by how often the classes have
+the shingles of their bucket: a table of a fixed size, counted over all classes, whose order is nearly that of the shingles
+themselves. Two sets that are similar enough share one of the first n - ceil(t n) + 1 of theirs, whatever the order is, so the
+classes meet under these keys and no pair is missed; the counts decide only how large the groups under a key are. Of what meets, sizes and positions rule out what can't be similar. A class also has a bitmap of its shingles: each
 bit that one of two has alone is a shingle that it has alone, which rules out nearly all that is left without any text. The
 sets of the remaining pairs decide.
 
-Only what is linked is of interest, not all its pairs. In each of ROUNDS rounds every class is compared with LEADERS at most
-of those that lead a key of it, and what is found joins components; at the end all pairs that meet and are not yet in one
-component are compared. A dense group thus costs a few comparisons a class.
+Only what is linked is of interest, not all its pairs. In each round every class is compared with some of those that lead a key
+of it and are in another component, more of them in later rounds, and what is found joins components; at the end all pairs
+that meet and are not yet in one component are compared. A dense group thus costs a few comparisons a class, also where only
+half of its pairs are similar.
 
 Defined results. A null text has no words, as an empty one; documents without words are one class. Rows that repeat a
 doc_id are compared each. A null doc_id links with nothing and has a null component. Other columns are ignored.
@@ -34,11 +35,10 @@ from lectio.llm.components import components
 SEED = 42
 AT_ONCE = 1 << 19
 SIMILARITY, WORDS = 0.8, 5
-ROUNDS = 2
-#: So many leaders a class and round; keys are dealt to as many hashes, each of which chooses its own
-LEADERS = 2
-#: The order of shingles: about so many classes are counted, and so many shingles at most that OFTEN of them have come last
-SAMPLE, OFTEN, COMMON = 10_000, 4, 100_000
+#: So many leaders a class, round by round (powers of two); keys are dealt to as many hashes, each of which chooses its own
+LEADERS = (2, 8)
+#: The order of shingles: those of all classes are counted in so many buckets, in parts that are summed by a task each
+BUCKETS, COUNT_PARTS = 1 << 22, 64
 #: With so many classes to compare they are sent to all executors; with more of them the join is a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: So many documents, or pairs of a key, are handled at once
@@ -76,17 +76,6 @@ def shingle_set(text: str | None, words: int) -> bytes:
     return (np.unique(np.concatenate(found)) if len(found) > 1 else found[0]).astype("<u8").tobytes() if found else b""
 
 
-def sets_of(words: int) -> Column:
-    """The shingle set of the column text."""
-    ship()
-
-    @F.arrow_udf("binary")
-    def lectio_shingles(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t, words) for t in texts.to_pylist()], pa.binary())
-
-    return lectio_shingles("text")
-
-
 def words_digest() -> Column:
     """128 bits of the words of the column text, A-Z in lower case."""
     ship()
@@ -103,32 +92,50 @@ def prefix_size(n: int, t: float) -> int:
     return n - math.ceil(n * t - EPS) + 1
 
 
-def common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many sets of a sample have, in order, and how many."""
+def frequencies(texts: DataFrame, words: int) -> np.ndarray:
+    """How often the shingles of each bucket are in the sets of all texts (node, text), as eighths of powers of two."""
     ship()
-    share = max(1, sets.count() // SAMPLE)
-    taken = sets.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0)
+    size = BUCKETS // COUNT_PARTS
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.uint32)
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS_AT_ONCE):
+                sets = [shingle_set(x.as_py(), words) for x in whole.column("text").slice(k, ROWS_AT_ONCE)]
+                at, n = np.unique(bucket(np.frombuffer(b"".join(sets), "<u8"), BUCKETS), return_counts=True)
+                counts[at] += n.astype(np.uint32)
+        for part, x in enumerate(np.minimum(counts, 65535).astype("<u2").reshape(COUNT_PARTS, size)):
+            if x.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "counts"])
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column("set").to_pylist()), "<i8"))], ["h"])
+            for part, x in zip(batch.column("part").to_pylist(), batch.column("counts")):
+                sums[part] = sums.get(part, 0) + np.frombuffer(x.as_buffer(), "<u2").astype(np.int64)
+        for part, x in sums.items():
+            levels = np.minimum(np.round(8 * np.log2(x + 1)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([levels.tobytes()], pa.binary())], ["part", "counts"])
+
+    schema = "part int, counts binary"
+    rows = texts.select("text").mapInArrow(count, schema).repartition(COUNT_PARTS, "part").mapInArrow(level, schema).toArrow()
+    found = np.zeros((COUNT_PARTS, size), np.uint8)
+    for part, x in zip(rows.column("part").to_pylist(), rows.column("counts").to_pylist()):
+        found[part] = np.frombuffer(x, np.uint8)
+    return found.reshape(-1)
+
 
-    counts = taken.select("set").mapInArrow(emit, "h bigint").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
-    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
-    h, n = rows.column("h").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy().astype(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+def bucket(h: np.ndarray, n: int) -> np.ndarray:
+    """The one of n buckets, a power of two, of each hash."""
+    return (h >> np.uint64(64 - (n - 1).bit_length())).astype(np.int64)
 
 
-def signatures(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], t: float, words: int) -> DataFrame:
+def signatures(texts: DataFrame, levels: np.ndarray, t: float, words: int) -> DataFrame:
     """node, n (shingles), keys (the first of them, in order) and bits of each text (node, text)."""
     ship()
-    shingles, counts = often
 
     def keys(x: np.ndarray) -> np.ndarray:
-        if len(shingles):
-            at = np.minimum(np.searchsorted(shingles, x), len(shingles) - 1)
-            x = x[np.argsort(np.where(shingles[at] == x, counts[at], 0), kind="stable")]
+        x = x[np.argsort(levels[bucket(x, len(levels))], kind="stable")]
         return x[: prefix_size(len(x), t)].view(np.int64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +228,9 @@ def shared(keys: DataFrame, t: float) -> DataFrame:
 
 def pairs(met: DataFrame, t: float, turn: int | None) -> DataFrame:
     """u, v: classes of different components that meet under a key (met: key, node, n, pos, component), each pair once;
-    in a turn only each class with LEADERS at most of the classes that lead its keys, else all."""
+    in a turn only each class with some of the classes that lead its keys (LEADERS at most), else all."""
+    lanes = 1 if turn is None else LEADERS[turn]
+    first = 0 if turn is None else sum(LEADERS[:turn])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs, hs, size = [], [], [], 0
@@ -231,13 +240,13 @@ def pairs(met: DataFrame, t: float, turn: int | None) -> DataFrame:
             for a, b in bounds(key):
                 if (comp[a:b] == comp[a]).all():
                     continue
-                lane = int(key[a]) % LEADERS
+                lane = int(key[a]) % lanes
                 if turn is None:
                     leaders, h = range(a, b - 1), np.zeros(b - a, np.int64)
                 else:
-                    mix = np.uint64((2 * (turn * LEADERS + lane) + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+                    mix = np.uint64((2 * (first + lane) + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
                     h = (node[a:b].view(np.uint64) + mix) * mix
-                    h = ((h ^ (h >> np.uint64(29))) * mix >> np.uint64(8)).astype(np.int64) * LEADERS + lane  # one lane's are comparable
+                    h = ((h ^ (h >> np.uint64(29))) * mix >> np.uint64(8)).astype(np.int64) // lanes * lanes + lane  # one lane's are comparable
                     leaders = [a + int(np.argmin(h))]
                 for i in leaders:
                     j = np.arange(a if turn is not None else i + 1, b)
@@ -256,7 +265,7 @@ def pairs(met: DataFrame, t: float, turn: int | None) -> DataFrame:
     ordered = met.repartition("key").sortWithinPartitions("key")
     found = ordered.mapInArrow(run, "u bigint, v bigint, h bigint")
     if turn is not None:
-        found = found.groupBy("v", F.pmod("h", F.lit(LEADERS))).agg(F.min_by("u", "h").alias("u"))
+        found = found.groupBy("v", F.pmod("h", F.lit(lanes))).agg(F.min_by("u", "h").alias("u"))
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -312,13 +321,12 @@ def only(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame, t: float, words: int) -> DataFrame:
     """u, v: nodes whose sets are similar, enough of them to connect all that are (texts: node, text)."""
-    often = common(texts.select("node", sets_of(words).alias("set")))
-    signed = written(signatures(texts, often, t, words), "signatures")
+    signed = written(signatures(texts, frequencies(texts, words), t, words), "signatures")
     keys = signed.select("node", "n", F.posexplode("keys").alias("pos", "key")).select("key", "node", "n", "pos")
     met = written(shared(keys, t), "met")
     bits = signed.select("node", "n", "bits")
     edges, rows = None, met.withColumn("component", F.col("node"))
-    for turn in [*range(ROUNDS), None]:
+    for turn in [*range(len(LEADERS)), None]:
         found = written(plausible(pairs(rows, t, turn), bits, t), "pairs")
         new = written(similar(found, texts, t, words), "links")
         edges = new if edges is None else edges.union(new)

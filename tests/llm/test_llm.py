@@ -226,10 +226,10 @@ def test_simhash_dedup(edge, nothing):
     assert simhash.dedup(nothing).count() == 0
 
 
-@pytest.mark.parametrize("often", [4, 10_000])
-def test_simhash_dedup_by_exact_similarity(spark, monkeypatch, often):
+@pytest.mark.parametrize("buckets", [1 << 22, 64])
+def test_simhash_dedup_by_exact_similarity(spark, monkeypatch, buckets):
     """Pairs around a similarity of 0.8, chains of them, and a passage that many share, against all pairs of sets."""
-    monkeypatch.setattr(jaccard, "OFTEN", often)
+    monkeypatch.setattr(jaccard, "BUCKETS", buckets)
     r = random.Random(8)
     word = lambda: f"w{r.randrange(10**6)}"
     passage, made = [word() for _ in range(40)], []
@@ -250,6 +250,29 @@ def test_simhash_dedup_by_exact_similarity(spark, monkeypatch, often):
     assert {x.doc_id for x in simhash.dedup(docs).collect()} == want
 
 
+def test_simhash_dedup_dense_group(spark):
+    """A group of which only some pairs are similar meets its components in the rounds, not pair by pair at the end."""
+    r = random.Random(9)
+    base, made = [f"w{k}" for k in range(150)], []
+    for _ in range(200):
+        w = list(base)
+        for at in r.sample(range(len(w)), r.choice([1, 2, 3, 4])):
+            w[at] = f"x{r.randrange(10**9)}"
+        made.append(w)
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in made]
+    linked = [(i, j) for j in range(len(made)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert len(linked) < 0.9 * 200 * 199 / 2
+    want = plain_components(range(len(made)), linked)
+    texts = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "node long, text string").repartition(3)
+    found = [(x.u, x.v) for x in jaccard.links(texts, 0.8, 5).collect()]
+    assert set(found) <= {(min(p), max(p)) for p in linked} and plain_components(range(len(made)), found) == want
+    counts = jaccard.frequencies(texts, 5)
+    h = np.frombuffer(b"".join(jaccard.shingle_set(" ".join(w), 5) for w in made), "<u8")
+    n = np.bincount(jaccard.bucket(h, jaccard.BUCKETS), minlength=jaccard.BUCKETS)
+    assert (counts == np.round(8 * np.log2(n + 1)).astype(np.uint8)).all()
+    assert not jaccard.frequencies(texts.limit(0), 5).any()
+
+
 # --- 5 -------------------------------------------------------------------------------------------------------------
 
 
