@@ -11,7 +11,8 @@ sets of the remaining pairs decide.
 Only what is linked is of interest, not all its pairs. In each round every class is compared with some of those that lead a key
 of it and are in another component, more of them in later rounds, and what is found joins components; at the end all pairs
 that meet and are not yet in one component are compared. A dense group thus costs a few comparisons a class, also where only
-half of its pairs are similar.
+half of its pairs are similar: a class that has few shingles rarer than the key leads it, since most of these are in no other
+class, so that the ones with the fewest changes lead and the more changed ones find them.
 
 Defined results. A null text has no words, as an empty one; documents without words are one class. Rows that repeat a
 doc_id are compared each. A null doc_id links with nothing and has a null component. Other columns are ignored.
@@ -35,7 +36,7 @@ from lectio.llm.components import components
 SEED = 42
 AT_ONCE = 1 << 19
 SIMILARITY, WORDS = 0.8, 5
-#: So many leaders a class, round by round (powers of two); keys are dealt to as many hashes, each of which chooses its own
+#: So many leaders a class, round by round (powers of two); keys are dealt to as many hashes, each of which chooses its own among equals
 LEADERS = (2, 8)
 #: The order of shingles: those of all classes are counted in so many buckets, in parts that are summed by a task each
 BUCKETS, COUNT_PARTS = 1 << 22, 64
@@ -246,7 +247,8 @@ def pairs(met: DataFrame, t: float, turn: int | None) -> DataFrame:
                 else:
                     mix = np.uint64((2 * (first + lane) + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
                     h = (node[a:b].view(np.uint64) + mix) * mix
-                    h = ((h ^ (h >> np.uint64(29))) * mix >> np.uint64(8)).astype(np.int64) // lanes * lanes + lane  # one lane's are comparable
+                    h = ((h ^ (h >> np.uint64(29))) * mix >> np.uint64(24)).astype(np.int64) // lanes * lanes + lane  # one lane's are comparable
+                    h += np.minimum(pos[a:b], (1 << 20) - 1).astype(np.int64) << 40
                     leaders = [a + int(np.argmin(h))]
                 for i in leaders:
                     j = np.arange(a if turn is not None else i + 1, b)
