@@ -144,6 +144,11 @@ def file_stem(c: Column, fallback: str = "salida") -> Column:
     return F.when(t == "", F.lit(fallback)).otherwise(F.left(t, F.lit(80)))
 
 
+def path_name(c: Column) -> Column:
+    """A name as a part of a path: colons, slashes and spaces as _."""
+    return F.translate(c, ":/ ", "___")
+
+
 def contains_any(c: Column, phrases: Iterable[str]) -> Column:
     found = F.lit(False)
     for p in phrases:

@@ -94,6 +94,15 @@ def hints(docs: DataFrame) -> dict[str, DataFrame]:
     return {"definitions": definitions(docs), "code": code_blocks(docs), "formulas": formulas(docs), "terms": key_terms(docs)}
 
 
+def without_hints(docs: DataFrame) -> DataFrame:
+    """The ids of documents in which there is no hint of any kind."""
+    kinds = [h.select("doc_id") for h in hints(docs).values()]
+    some = kinds[0]
+    for h in kinds[1:]:
+        some = some.unionByName(h)
+    return docs.select("doc_id").distinct().join(some.distinct(), "doc_id", "left_anti")
+
+
 def hint_block(docs: DataFrame, most: int = 3500) -> DataFrame:
     """doc_id, block: all hints as Markdown lines under headings, whole lines of `most` characters at most, then an ellipsis."""
     h = hints(docs)

@@ -57,3 +57,19 @@ def deck_metrics(plan: DataFrame, shown: DataFrame, conclusions: DataFrame | Non
     ended = conclusions.select("doc_id").distinct().withColumn("c", F.lit(1)) if conclusions is not None else base.select("doc_id").withColumn("c", F.lit(0))
     joined = base.join(outline_coherence(plan, built), "doc_id", "left").join(ended, "doc_id", "left")
     return joined.select("doc_id", (F.col("num_content_slides") + 2 + F.coalesce("c", F.lit(0))).alias("num_slides_total"), "num_content_slides", "avg_bullets", "slides_with_few", "slides_with_many", "bullets_total", F.col("coherence").alias("index_coherence"))
+
+
+def deck_json(kb: DataFrame, plan: DataFrame, shown: DataFrame, conclusions: DataFrame | None = None) -> DataFrame:
+    """doc_id, deck: each deck as JSON: title, outline (titles planned), slides (title, bullets, kind) of those with bullets, conclusion."""
+    ordered = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))), lambda x: x["v"])
+    per = shown.groupBy("doc_id", "slide_index").agg(ordered("bullet_index", F.col("bullet")).alias("bullets"))
+    slides = plan.join(per, ["doc_id", "slide_index"], "left")
+    slide = F.when(F.col("bullets").isNotNull(), F.struct("title", "bullets", "kind"))
+    built = slides.groupBy("doc_id").agg(ordered("slide_index", F.col("title")).alias("outline"), F.filter(ordered("slide_index", slide), lambda s: s.isNotNull()).alias("slides"))
+    named = kb.select("doc_id", F.col("main_topic").alias("title")).join(built, "doc_id")
+    none = F.array().cast("array<string>")
+    if conclusions is None:
+        named = named.withColumn("conclusion", none)
+    else:
+        named = named.join(conclusions.groupBy("doc_id").agg(ordered("n", F.col("text")).alias("conclusion")), "doc_id", "left").withColumn("conclusion", F.coalesce("conclusion", none))
+    return named.select("doc_id", F.to_json(F.struct("title", "outline", "slides", "conclusion")).alias("deck"))

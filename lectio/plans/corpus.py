@@ -27,6 +27,10 @@ def doc_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.definitions(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def doc_without_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.without_hints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def doc_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.formulas(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -96,7 +100,7 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("page_id"), "pos", F.char_length("section").alias("n_chars"), F.md5(humanized(slug(first))).alias("title_md5"))
 
 
-QUERIES = {f.__name__: f for f in (doc_token_top, doc_key_terms, doc_definitions, doc_formulas, doc_chunks, doc_partials, doc_exact_dedup, doc_near_dup, doc_near_dup_members, passage_containment, page_markdown, page_headings, page_topic, page_subtopics, page_sections)}
+QUERIES = {f.__name__: f for f in (doc_token_top, doc_key_terms, doc_definitions, doc_formulas, doc_without_hints, doc_chunks, doc_partials, doc_exact_dedup, doc_near_dup, doc_near_dup_members, passage_containment, page_markdown, page_headings, page_topic, page_subtopics, page_sections)}
 
 TOKENS = r"list_filter(list_distinct(regexp_extract_all(lower(strip_accents({0})), '[a-z0-9áéíóúüñ]{{3,}}')), lambda t: NOT list_contains(['del','las','los','una','unos','unas','con','por','para','que','como','son','sus','les','este','esta','estos','estas','entre','sobre','sin','pero','mas','cual','cuando','donde','mismo','misma','tambien','tras','hasta'], t))"
 CLEAN_TERM = r"regexp_replace(trim(regexp_replace({0}, '\s+', ' ', 'g'), ' .,:;-—'), '^(?i:el|la|los|las|un|una|unos|unas)\s+', '')"
@@ -162,6 +166,7 @@ ORACLES = {
     "doc_key_terms": f"WITH {DOC_TERMS} SELECT doc_id, n, term FROM terms",
     "doc_definitions": f"WITH {DEFS} SELECT doc_id, n, term, definition FROM defs",
     "doc_formulas": f"WITH {FORMULAS} SELECT doc_id, n, content FROM formulas",
+    "doc_without_hints": f"WITH {DEFS}, {FORMULAS}, {DOC_TERMS} SELECT doc_id FROM documents EXCEPT (SELECT doc_id FROM defs UNION SELECT doc_id FROM formulas UNION SELECT doc_id FROM terms UNION SELECT doc_id FROM documents WHERE contains(text, '```'))",
     "doc_chunks": f"WITH {SLICES} SELECT doc_id, chunk_index, length(text) AS n_chars, md5(text) AS text_md5 FROM chunks",
     "doc_partials": f"WITH {SLICES}, p AS (SELECT doc_id, string_agg('[Resumen parcial ' || (chunk_index + 1) || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY chunk_index) AS partials FROM chunks GROUP BY doc_id) SELECT doc_id, length(partials) AS n_chars, md5(partials) AS partials_md5 FROM p",
     "doc_exact_dedup": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, count(*) OVER (PARTITION BY text) AS n FROM documents",

@@ -46,12 +46,23 @@ def scanned(pages: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
 
 
 def captions(images: DataFrame, blocks: DataFrame) -> DataFrame:
-    """doc_id, page, image and the text of the block next to it: images of 0.02 of the page or more (share, y0, y1), blocks
-    with y0, y1 and text of 10 to 300 characters."""
-    i, b = images.filter("share >= 0.02").alias("i"), blocks.filter("char_length(text) BETWEEN 10 AND 300").alias("b")
+    """doc_id, page, image, caption: the text of the block next to each image of 0.02 of the page or more (share, y0, y1), with
+    page and size before it where images have width and height. Blocks have block, y0, y1, text; a caption of fewer than 10 or
+    more than 300 characters is none, even if another block would do."""
+    i = images.filter("share >= 0.02").alias("i")
+    b = blocks.withColumn("text", F.trim(F.regexp_replace("text", r"(?U)\s+", " "))).filter("text <> ''").alias("b")
     gap = F.least(F.abs(F.col("b.y0") - F.col("i.y1")), F.abs(F.col("b.y1") - F.col("i.y0")))
     met = i.join(b, (F.col("i.doc_id") == F.col("b.doc_id")) & (F.col("i.page") == F.col("b.page")))
-    return met.groupBy("i.doc_id", "i.page", "i.image").agg(F.min_by("b.text", F.struct(gap, F.col("b.block"))).alias("caption"))
+    place = F.lit("")
+    if {"width", "height"} <= set(images.columns):
+        place = F.concat(F.lit("[p."), F.col("i.page"), F.lit(", "), F.col("i.width").cast("int"), F.lit("x"), F.col("i.height").cast("int"), F.lit("] "))
+    near = met.groupBy("i.doc_id", "i.page", "i.image").agg(F.min_by("b.text", F.struct(gap, F.col("b.block"))).alias("caption"), F.first(place).alias("place"))
+    return near.filter("char_length(caption) BETWEEN 10 AND 300").select("doc_id", "page", "image", F.concat("place", "caption").alias("caption"))
+
+
+def image_counts(pages: DataFrame) -> DataFrame:
+    """doc_id, n_images: the images of all pages (doc_id, images, null where a page could not be read)."""
+    return pages.groupBy("doc_id").agg(F.sum(F.coalesce("images", F.lit(0)).cast("long")).alias("n_images"))
 
 
 def with_context(markdown: Column, found: Column) -> Column:

@@ -14,12 +14,12 @@ import __spark_entry__
 from lectio.functions.text import TOKEN3, entity, entity_in, humanized, slug, tokens, truncated
 from lectio.operators import chunking, deck, extract, knowledge, metrics, package, planning, prompts, quiz, review, runs, simjoin
 from lectio.plans import registry
-from lectio.sources import documents, records
+from lectio.sources import documents, records, reports
 from lectio.streaming import upserts
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["fixture_text", "fixture_markdown", "fixture_answer", "fixture_scores", "doc_token_top", "doc_key_terms", "doc_definitions", "doc_chunks", "doc_near_dup", "passage_containment", "page_topic", "page_sections", "kb_atoms", "quiz_questions", "run_upsert", "run_averages", "criteria_template", "conversation_last5", "label_means", "deck_metrics", "study_record", "fixture_plan", "fixture_ids", "quiz_exam", "deck_rows", "slide_review", "kb_document", "slide_plan_sanitized", "bullet_clean"]
+CHECKED = ["deck_json", "doc_without_hints", "fixture_text", "fixture_markdown", "fixture_answer", "fixture_scores", "doc_token_top", "doc_key_terms", "doc_definitions", "doc_chunks", "doc_near_dup", "passage_containment", "page_topic", "page_sections", "kb_atoms", "quiz_questions", "run_upsert", "run_averages", "criteria_template", "conversation_last5", "label_means", "deck_metrics", "study_record", "fixture_plan", "fixture_ids", "quiz_exam", "deck_rows", "slide_review", "kb_document", "slide_plan_sanitized", "bullet_clean"]
 
 
 def one(spark, column, *values):
@@ -190,6 +190,46 @@ def test_sources_and_runs(spark, tmp_path):
     images = spark.createDataFrame([(1, 1, 1, 0.1, 10.0, 20.0), (1, 1, 2, 0.001, 0.0, 1.0)], "doc_id long, page int, image int, share double, y0 double, y1 double")
     blocks = spark.createDataFrame([(1, 1, 1, 22.0, 30.0, "pie de la figura"), (1, 1, 2, 90.0, 99.0, "otro texto lejano")], "doc_id long, page int, block int, y0 double, y1 double, text string")
     assert [r.caption for r in documents.captions(images, blocks).collect()] == ["pie de la figura"]
+    sized = images.withColumn("width", F.lit(320.7)).withColumn("height", F.lit(200.0))
+    assert [r.caption for r in documents.captions(sized, blocks).collect()] == ["[p.1, 320x200] pie de la figura"]
+    nearer = blocks.unionByName(spark.createDataFrame([(1, 1, 3, 20.5, 21.0, "Fig. 1"), (1, 1, 4, 20.1, 21.0, "  ")], blocks.schema))
+    assert documents.captions(images, nearer).collect() == []  # the nearest block with text is too short
+    assert sorted(map(tuple, documents.image_counts(spark.createDataFrame([(1, 2), (1, None), (2, None)], "doc_id long, images int")).collect())) == [(1, 2), (2, 0)]
+
+
+def test_reports(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    rows = [("a", "m:1", "ok", (7,)), ("a", "m/2 x", "error", None), ("b:c", "m:1", "ok", (9,))]
+    given = spark.createDataFrame(rows, "pdf_id string, model string, status string, quiz_metrics struct<num_questions: int>")
+    reports.write_records(given, at("runs"))
+    assert sorted(p.parent.name + "/" + p.name for p in (tmp_path / "runs").glob("*/*") if p.is_dir()) == ["run_pdf=a/run_model=m_1", "run_pdf=a/run_model=m_2 x".replace(" ", "_"), "run_pdf=b_c/run_model=m_1"]
+    reports.write_records(given.filter("pdf_id = 'a' AND status = 'ok'").withColumn("quiz_metrics", F.struct(F.lit(8).alias("num_questions"))), at("runs"))
+    back = reports.written_records(spark, at("runs"), records.RECORD)
+    assert sorted((r.pdf_id, r.model, r.quiz_metrics and r.quiz_metrics.num_questions) for r in back.collect()) == [("a", "m/2 x", None), ("a", "m:1", 8), ("b:c", "m:1", 9)]
+    places = reports.write_reports(runs.flat(back), at("reports"))
+    assert records.summary_csv(spark, places["summary"]).count() == 3
+    assert [(r.model, r.runs_ok, r.quiz_num_questions) for r in records.summary_csv(spark, places["model_averages"]).collect()] == [("m:1", "2", "8.5")]
+    assert {r.execution_id for r in records.summary_csv(spark, places["manual_template"]).collect()} == {"a__m:1", "b:c__m:1"}
+    lines = [r.value for r in spark.read.text(places["rubric"]).collect()]
+    assert lines == [r.line for r in reports.rubric(spark).orderBy("n").collect()] and len(lines) == 1 + 2 + 8 + 2 + 7
+    asked = reports.eval_prompts(spark.createDataFrame([("a", "T", "m:1", "{q}", None)], "pdf_id string, pdf_title string, model string, quiz string, deck string")).collect()
+    assert [(r.execution_id, r.artifact) for r in asked] == [("a__m_1", "quiz")] and asked[0].prompt.endswith("{q}") and "T (a), m:1" in asked[0].prompt
+
+
+def test_judges_files(spark, tmp_path):
+    """Criteria at the top or in a wrapper; the artifact is in the file's name; comments and metadata are no criteria."""
+    meta = {"metadata": {"model_used": "m:1", "pdf_source": "Doc.pdf"}}
+    one, two = {"overall": {"score": 4, "comment": "x"}}, {"overall": {"score": 5, "comment": "y"}, "clarity": {"score": "3"}}
+    (tmp_path / "Doc_quiz_1b.json").write_text(json.dumps(meta | one | {"summary_comment": "z"}))
+    (tmp_path / "Doc_quiz_2b.json").write_text(json.dumps(meta | {"quiz_evaluation": two}))
+    (tmp_path / "Doc_pptx_1b.json").write_text(json.dumps(meta | {"presentation_evaluation": one}))
+    got = runs.score_means(records.judge_scores(spark, str(tmp_path / "*.json")))
+    assert sorted(map(tuple, got.collect())) == [("m:1", "pptx", "overall", 1, 4.0), ("m:1", "quiz", "clarity", 1, 3.0), ("m:1", "quiz", "overall", 2, 4.5)]
+
+
+def test_no_hints(spark):
+    docs = texts(spark, "Se llama Polea a una rueda con ranura.", "nada", "", None, "```\nx = 1\n```", "**Fuerza**", "nada")
+    assert sorted(r.doc_id for r in extract.without_hints(docs).collect()) == [1, 2, 3, 6]
 
 
 def test_text_function(spark):
