@@ -627,3 +627,18 @@ def op8_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"),
     )
     return digests(rows.unionByName(probe))
+
+
+_ESCAPES = r"len(regexp_extract_all({0}, '\\|###|: |</turn>'))"
+#: The same rows without a template: what each mark and each escape adds is counted.
+ORACLE = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+e AS (SELECT *, length(text) + {_ESCAPES.format('text')} AS n, {len(''.join(MARKS.values()))} + length(role) + {_ESCAPES.format('role')} AS around FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n + around)::BIGINT AS formatted_chars, coalesce(sum(n) FILTER (role = 'assistant'), 0)::BIGINT AS marked_chars
+FROM e GROUP BY conv_id
+"""

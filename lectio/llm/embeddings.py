@@ -223,3 +223,16 @@ def grouped(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = grouped(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+#: The same rows from all pairs; for small tables.
+ORACLE = f"""
+WITH RECURSIVE r AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+v AS MATERIALIZED (SELECT * FROM r WHERE vec_id IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (SELECT a.r, a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT r, count(*) AS n_links FROM p GROUP BY r)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM r LEFT JOIN n USING (r) LEFT JOIN least ON vec_id = a
+"""

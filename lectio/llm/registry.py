@@ -19,7 +19,9 @@ QUERIES = {
 }
 ORACLES = {
     "op1_warc": warc.ORACLE,
+    "op5_embeddings": embeddings.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op8_chat_template": chat.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
     "quality_rules_ablation": quality_rules.ABLATION_ORACLE,

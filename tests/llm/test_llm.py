@@ -679,3 +679,35 @@ print("ROWS", [len(f.collect()) for f in found], cleanup(spark) > 10)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable, "PYTHONSAFEPATH": "1"}
     run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert "ROWS [1, 4, 1, 4, 4, 1, 2, 4, 4, 4, 1, 1, 4, 4, 0] True" in run.stdout, run.stdout + run.stderr[-3000:]
+
+
+# --- SQL of 5 and 8 on tables with links, escapes, nulls and repeated rows ------------------------------------------
+
+
+def against_sql(spark, path, name, df, query, sql):
+    df.repartition(3).write.parquet(f"{path}/{name}.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{path}/{name}.parquet/*.parquet'")
+    found = c.sql(sql)
+    assert rows_of(query(spark, str(path)), found.columns) == sorted(found.fetchall(), key=repr)
+    return found
+
+
+def test_embeddings_against_sql(spark, tmp_path):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(40, 6))
+    data = [list(map(float, np.float32(v))) for v in np.concatenate([x, *(x[:15] + r.normal(size=(15, 6)) * s for s in (0.05, 0.2, 0.3)), x[:4], x[:2] * 2])]
+    data += [None, [], [0.0] * 6, [float("nan")] + [1.0] * 5, [float("inf")] * 6, [None] * 6, [1.0, 1.0], [1.0, 1.01], [2.0, 2.0], [1.0, -1.0]]
+    rows = [(i, v, 1) for i, v in enumerate(data)] + [(None, data[0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = against_sql(spark, tmp_path, "embeddings", df, embeddings.op5_embeddings, embeddings.ORACLE).df()
+    assert found.n_links.max() > 2 and (found.n_links == 0).any() and not found.kept.all()
+
+
+def test_chat_against_sql(spark, tmp_path):
+    pieces = ["#", "###", "####", ": ", ":", " ", "\\", "</turn>", "</", "turn>\n", "\n", "a", "ñ", "😀", "### Assistant: "]
+    r = random.Random(8)
+    rows = [(c, t, r.choice(["user", "assistant", "system", None, ": x", "\\"]), None if r.random() < 0.1 else "".join(r.choice(pieces) for _ in range(r.randrange(12)))) for c in range(30) for t in range(r.randrange(6))]
+    rows += [(3, 0, "user", "again"), (3, 0, "user", "again"), (None, 1, "assistant", "x" * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    against_sql(spark, tmp_path, "conversations", df, chat.op8_chat_template, chat.ORACLE)
