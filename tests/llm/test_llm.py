@@ -711,3 +711,23 @@ def test_chat_against_sql(spark, tmp_path):
     rows += [(3, 0, "user", "again"), (3, 0, "user", "again"), (None, 1, "assistant", "x" * 200_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     against_sql(spark, tmp_path, "conversations", df, chat.op8_chat_template, chat.ORACLE)
+
+
+def test_quality_fit_against_descent():
+    """The weights are those that plain gradient descent finds for the same loss; the threshold leaves as many below as are bad."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 4)) * [1, 5, 0.2, 1] + [0, 3, -1, 2]
+    y = (x @ [1.0, -0.2, 3.0, 0.0] + r.normal(size=300) > -2).astype(int)
+    model = quality_model.fit(x, y, pairs=500)
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -6, 6)
+    draw = np.random.default_rng(7)
+    good, bad = z[y == 1], z[y == 0]
+    diff = good[draw.integers(0, len(good), 500)] - bad[draw.integers(0, len(bad), 500)]
+    w = np.zeros(4)
+    for _ in range(200_000):
+        g = -(diff / (1 + np.exp(diff @ w))[:, None]).mean(axis=0) + quality_model.RIDGE * w
+        w -= 0.2 * g
+        if np.abs(g).max() < 1e-10:
+            break
+    assert np.abs(g).max() < 1e-8 and np.allclose(model.weights, w, atol=1e-5)
+    assert abs((z @ w < model.threshold).mean() - (y == 0).mean()) < 0.01
