@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectio.llm import chat, embeddings, line_dedup, mixing, packing, quality_model, quality_rules, simhash, suffix_dedup, warc
+from lectio.llm import chat, embeddings, lexical, line_dedup, mixing, packing, pieces, quality_model, quality_rules, simhash, suffix_dedup, trie, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,9 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_prefix_trie": trie.op11_prefix_trie,
+    "op12_lexical": lexical.op12_lexical,
+    "op13_pieces": pieces.op13_pieces,
     "quality_rules_ablation": quality_rules.quality_rules_ablation,
 }
 ORACLES = {
@@ -24,5 +27,7 @@ ORACLES = {
     "op8_chat_template": chat.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op11_prefix_trie": trie.ORACLE,
+    "op12_lexical": lexical.ORACLE,
     "quality_rules_ablation": quality_rules.ABLATION_ORACLE,
 }
