@@ -37,6 +37,13 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for what isn't a table of its own; it goes with cleanup()."""
+    path = f"{shared_dir(deployed(spark))}/lectio-{name}-{uuid.uuid4().hex}"
+    _paths(spark).append(path)
+    return path
+
+
 def _paths(spark: SparkSession) -> list[str]:
     context = spark.sparkContext
     if not hasattr(context, "_lectio_tables"):

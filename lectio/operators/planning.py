@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectio.functions.deploy import deployed
+from lectio.functions.tables import written
 from lectio.functions.text import folded, humanized, json_body, mapped, normalized_slug
 from lectio.functions.values import (
     BLOOM_ALIASES, BLOOM_CYCLE, BLOOM_FALLBACK_CYCLE, BLOOM_KINDS, MAX_QUESTIONS, MAX_SLIDES, MIN_QUESTIONS, NATURAL_KIND, QUESTION_KIND_ALIASES, QUESTION_KINDS,
@@ -73,17 +74,25 @@ def quiz_plan(atoms: DataFrame, target: Column | None = None) -> DataFrame:
 
 def resolved(asked: DataFrame, atoms: DataFrame, column: str) -> DataFrame:
     """asked (doc_id, and an id as a model writes it in `column`) with atom_id: the same id, else the same once normalised
-    within its kind, else the one whose slug goes on after the asked one and _. The smallest wins; null: none."""
+    within its kind, else the one whose slug goes on after the asked one and _. The smallest wins; null: none.
+
+    Each step is a join on equal keys of what the step before left: ids; kinds and slugs; kinds and the beginnings of slugs, each
+    slug under all that end before one of its underscores."""
     split = lambda c: (F.lower(F.substring_index(c, ":", 1)), normalized_slug(F.regexp_replace(c, r"^[^:]*:", "")))
     prefix, slug = split(F.col("atom_id"))
-    valid = atoms.select("doc_id", "atom_id", prefix.alias("v_prefix"), slug.alias("v_slug")).distinct()
-    prefix, slug = split(F.col(column))
-    wanted = asked.select("doc_id", F.col(column).alias("asked")).distinct().withColumn("a_prefix", F.lower(F.substring_index("asked", ":", 1))).withColumn("a_slug", normalized_slug(F.regexp_replace("asked", r"^[^:]*:", "")))
-    v = valid.withColumnRenamed("doc_id", "v_doc")
-    met = wanted.join(v, (F.col("doc_id") == F.col("v_doc")) & (F.col("a_prefix") == F.col("v_prefix")), "left")
-    step = F.when(F.col("atom_id") == F.col("asked"), 0).when(F.col("v_slug") == F.col("a_slug"), 1).when((F.col("a_slug") != "") & F.startswith("v_slug", F.concat("a_slug", F.lit("_"))), 2)
-    best = met.withColumn("step", step).groupBy("doc_id", "asked").agg(F.min(F.when(F.col("step").isNotNull(), F.struct("step", "atom_id"))).alias("b"))
-    return asked.join(best.select("doc_id", F.col("asked").alias(column), F.col("b.atom_id").alias("atom_id")), ["doc_id", column], "left")
+    valid = written(atoms.select("doc_id", "atom_id", prefix.alias("prefix"), slug.alias("slug")).distinct(), "valid")
+    prefix, slug = split(F.col("asked"))
+    wanted = asked.select("doc_id", F.col(column).alias("asked")).filter("asked IS NOT NULL").distinct().select("doc_id", "asked", prefix.alias("prefix"), slug.alias("slug"))
+    same = wanted.join(valid.select("doc_id", F.col("atom_id").alias("asked"), "atom_id"), ["doc_id", "asked"]).select("doc_id", "asked", "atom_id")
+    left = wanted.join(same, ["doc_id", "asked"], "left_anti")
+    smallest = lambda met: met.groupBy("doc_id", "asked").agg(F.min("atom_id").alias("atom_id"))
+    normal = smallest(left.join(valid, ["doc_id", "prefix", "slug"]))
+    left = left.join(normal, ["doc_id", "asked"], "left_anti").filter("slug <> ''")
+    parts = F.split("slug", "_", -1)
+    begun = valid.filter(F.contains("slug", F.lit("_"))).select("doc_id", "atom_id", "prefix", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "_"))).alias("slug"))
+    longer = smallest(left.join(begun.groupBy("doc_id", "prefix", "slug").agg(F.min("atom_id").alias("atom_id")), ["doc_id", "prefix", "slug"]))
+    best = same.unionByName(normal).unionByName(longer).withColumnRenamed("asked", column)
+    return asked.join(best, ["doc_id", column], "left")
 
 
 def sanitized_quiz_plan(plan: DataFrame, atoms: DataFrame, target: int = MAX_QUESTIONS) -> DataFrame:

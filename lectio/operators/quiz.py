@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectio.functions.tables import written
 from lectio.functions.text import clean_option, folded, json_body, let
 from lectio.functions.values import MAX_QUESTIONS, MIN_QUESTIONS, QUIZ_ORDER
 from lectio.operators.knowledge import first_by_id, kind_rank
@@ -96,14 +97,26 @@ def quiz(atoms: DataFrame) -> DataFrame:
 
 
 def related(atoms: DataFrame, most: int = 8) -> DataFrame:
-    """doc_id, atom_id, n, related_id: for each atom up to `most` others of its document, those of its subtopic first (2), then
-    examples and relations (1), then by id."""
+    """doc_id, atom_id, n, related_id, score: for each atom up to `most` others of its document, those of its subtopic first (2), then
+    examples and relations (1), then by id.
+
+    The others come from ranked lists, as many entries of each as can be needed: of the atom's subtopic, the first most + 1 of
+    each kind; of the document, most + most + 1, since a subtopic with fewer than `most` others has no more than that to skip."""
     once = first_by_id(atoms).select("doc_id", "atom_id", "kind", F.nullif("subtopic", F.lit("")).alias("subtopic"))
-    o = once.select(F.col("doc_id").alias("o_doc"), F.col("atom_id").alias("related_id"), F.col("kind").alias("o_kind"), F.col("subtopic").alias("o_sub"))
-    both = once.join(o, (F.col("doc_id") == F.col("o_doc")) & (F.col("atom_id") != F.col("related_id")))
-    score = F.when(F.col("subtopic") == F.col("o_sub"), 2).otherwise(0) + F.when(F.col("o_kind").isin("ex", "rel"), 1).otherwise(0)
-    n = F.row_number().over(W.partitionBy("doc_id", "atom_id").orderBy(F.col("score").desc(), "related_id"))
-    return both.withColumn("score", score).withColumn("n", n).filter(F.col("n") <= most).select("doc_id", "atom_id", "n", "related_id", "score")
+    once = written(once.withColumn("more", F.col("kind").isin("ex", "rel").cast("int")), "once")
+
+    def first(rows: DataFrame, by: list[str], least: int, name: str) -> DataFrame:
+        n = F.row_number().over(W.partitionBy(*by, "more").orderBy("atom_id"))
+        entry = F.struct((least + F.col("more")).alias("score"), F.col("atom_id").alias("id"), F.col("subtopic").alias("sub"))
+        return rows.withColumn("n", n).filter(F.col("n") <= (most + 1 if least else 2 * most + 1)).groupBy(*by).agg(F.collect_list(entry).alias(name))
+
+    near = first(once.filter("subtopic IS NOT NULL"), ["doc_id", "subtopic"], 2, "near")
+    far = first(once, ["doc_id"], 0, "far")
+    none = F.array().cast("array<struct<score: int, id: string, sub: string>>")
+    both = once.join(near, ["doc_id", "subtopic"], "left").join(far, "doc_id", "left")
+    others = F.concat(F.coalesce("near", none), F.filter(F.coalesce("far", none), lambda x: ~F.coalesce(x["sub"] == F.col("subtopic"), F.lit(False))))
+    ranked = F.array_sort(F.transform(F.filter(others, lambda x: x["id"] != F.col("atom_id")), lambda x: F.struct((-x["score"]).alias("s"), x["id"].alias("id"))))
+    return both.select("doc_id", "atom_id", F.posexplode(F.slice(ranked, 1, most)).alias("n", "x")).select("doc_id", "atom_id", (F.col("n") + 1).alias("n"), F.col("x.id").alias("related_id"), (-F.col("x.s")).alias("score"))
 
 
 def last_before(rows: DataFrame, by: str, order: str, text: Column, most: int = 5) -> DataFrame:

@@ -5,29 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectio.functions.tables import written
 from lectio.functions.text import entity, jaccard
 
 
+#: Tokens are counted in so many buckets of their hash, which give the order of tokens: rare ones first
+COUNT_BUCKETS = 1 << 14
+
+
+def token_ids(tokens: Column) -> Column:
+    """The hashes (64 bits) of an array of tokens, in order."""
+    return F.array_sort(F.transform(tokens, lambda t: F.xxhash64(t)))
+
+
+def rare_first(sets: DataFrame) -> Column:
+    """An order for the tokens of sets (tokens: hashes): an expression that gives an array of (how many sets have a token of its
+    bucket, token), the smallest first. COUNT_BUCKETS numbers are collected, whatever the sets are; they decide only how many
+    sets meet."""
+    bucket = F.pmod(F.col("t"), F.lit(COUNT_BUCKETS))
+    counts = dict(sets.select(F.explode("tokens").alias("t")).groupBy(bucket.alias("b")).agg(F.count("*")).collect())
+    table = F.from_json(F.lit("[" + ",".join(str(counts.get(b, 0)) for b in range(COUNT_BUCKETS)) + "]"), "array<bigint>")
+    return F.array_sort(F.transform("tokens", lambda t: F.struct(F.get(table, F.pmod(t, F.lit(COUNT_BUCKETS)).cast("int")).alias("df"), t.alias("token"))))
+
+
+def prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
+    """id, n, pos, token: of each set (id, tokens: hashes) the first n - ceil(t n) + 1 tokens in the order of rare_first(). Two sets
+    that are similar enough share one of these."""
+    n = F.size("order")
+    some = F.slice(F.col("order"), F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
+    return sets.select("id", rare_first(sets).alias("order")).select("id", n.alias("n"), F.posexplode(some).alias("pos", "x")).select("id", "n", "pos", F.col("x.token").alias("token"))
+
+
+def may_be_similar(p: str, q: str, threshold: float) -> Column:
+    """Whether two sets that share a token at these places can have the overlap that the threshold takes: no more tokens are
+    common before it than the nearer place has, nor after it than the shorter rest has."""
+    need = (F.col(f"{p}.n") + F.col(f"{q}.n")) * (threshold / (1 + threshold)) - 1e-6
+    most = F.least(f"{p}.pos", f"{q}.pos") + 1 + F.least(F.col(f"{p}.n") - F.col(f"{p}.pos"), F.col(f"{q}.n") - F.col(f"{q}.pos")) - 1
+    return (F.least(f"{p}.n", f"{q}.n") >= F.greatest(f"{p}.n", f"{q}.n") * threshold - 1e-9) & (most >= need)
+
+
+def distinct_pairs(sets: DataFrame, threshold: float, keys: DataFrame | None = None) -> DataFrame:
+    """x, y, similarity for all x < y of sets (id, tokens: hashes, none empty, all different) that are similar enough."""
+    keys = written(prefix_keys(sets, threshold), "keys") if keys is None else keys
+    p, q = keys.alias("p"), keys.alias("q")
+    met = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.id") < F.col("q.id")) & may_be_similar("p", "q", threshold))
+    pairs = met.select(F.col("p.id").alias("x"), F.col("q.id").alias("y")).distinct()
+    full = pairs.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("tx")), "x").join(sets.select(F.col("id").alias("y"), F.col("tokens").alias("ty")), "y")
+    return full.select("x", "y", jaccard(F.col("tx"), F.col("ty")).alias("similarity")).filter(F.col("similarity") >= threshold - 1e-9)
+
+
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """a, b, similarity for all a < b of sets (id, tokens: array without repeats) with a Jaccard similarity of the threshold or more.
 
-    Sets that are equal meet as one, their pairs follow from the groups. Tokens are ordered by how rare they are; two sets that
-    are similar enough share one of the first n - ceil(t n) + 1 of theirs, so only these are joined on, and only sets of a
-    similar size. The candidates are then compared in full.
+    Sets that are equal meet as one, their pairs follow from the groups. Tokens are hashes of 64 bits, ordered by how rare they
+    are; two sets that are similar enough share one of the first n - ceil(t n) + 1 of theirs, so only these are joined on, and only
+    where sizes and places allow it. The candidates are then compared in full.
     """
-    sets = sets.select("id", F.array_sort("tokens").alias("tokens")).filter("size(tokens) > 0")
-    groups = sets.groupBy("tokens").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids"))
-    one = groups.select("rep", "tokens")
-    counts = one.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    ranked = one.select("rep", F.explode("tokens").alias("token")).join(counts, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
-    n = F.size("order")
-    prefix = ranked.select("rep", n.alias("n"), F.explode(F.slice(F.col("order"), F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)).alias("t")).select("rep", "n", F.col("t.token").alias("token"))
-    p, q = prefix.alias("p"), prefix.alias("q")
-    met = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.rep") < F.col("q.rep")) & (F.least("p.n", "q.n") >= F.greatest("p.n", "q.n") * threshold - 1e-9))
-    pairs = met.select(F.col("p.rep").alias("x"), F.col("q.rep").alias("y")).distinct()
-    full = pairs.join(one.select(F.col("rep").alias("x"), F.col("tokens").alias("tx")), "x").join(one.select(F.col("rep").alias("y"), F.col("tokens").alias("ty")), "y")
-    good = full.withColumn("similarity", jaccard(F.col("tx"), F.col("ty"))).filter(F.col("similarity") >= threshold - 1e-9).select("x", "y", "similarity")
-    same = groups.select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.lit(1.0).alias("similarity"))
+    sets = sets.select("id", token_ids(F.col("tokens")).alias("tokens")).filter("size(tokens) > 0")
+    groups = written(sets.groupBy("tokens").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids")), "groups")
+    good = distinct_pairs(groups.select(F.col("rep").alias("id"), "tokens"), threshold)
+    same = groups.filter("size(ids) > 1").select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.lit(1.0).alias("similarity"))
     members = groups.select("rep", F.explode("ids").alias("id"))
     out = good.unionByName(same).join(members.select(F.col("rep").alias("x"), F.col("id").alias("i")), "x").join(members.select(F.col("rep").alias("y"), F.col("id").alias("j")), "y")
     return out.filter("x <> y OR i < j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")

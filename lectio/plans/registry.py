@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectio.plans import corpus, study
+from lectio.plans import corpus, scaled, study
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,5 +24,5 @@ def long_integers(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {n: long_integers(q) for n, q in {**corpus.QUERIES, **study.QUERIES}.items()}
-ORACLES: dict[str, str] = {**corpus.ORACLES, **study.ORACLES}
+QUERIES: dict[str, Query] = {n: long_integers(q) for n, q in {**corpus.QUERIES, **study.QUERIES, **scaled.QUERIES}.items()}
+ORACLES: dict[str, str] = {**corpus.ORACLES, **study.ORACLES, **scaled.ORACLES}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectio.functions.values import MAX_INPUT_CHARS, MAX_PAGES
@@ -48,16 +49,29 @@ def scanned(pages: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
 def captions(images: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc_id, page, image, caption: the text of the block next to each image of 0.02 of the page or more (share, y0, y1), with
     page and size before it where images have width and height. Blocks have block, y0, y1, text; a caption of fewer than 10 or
-    more than 300 characters is none, even if another block would do."""
-    i = images.filter("share >= 0.02").alias("i")
-    b = blocks.withColumn("text", F.trim(F.regexp_replace("text", r"(?U)\s+", " "))).filter("text <> ''").alias("b")
-    gap = F.least(F.abs(F.col("b.y0") - F.col("i.y1")), F.abs(F.col("b.y1") - F.col("i.y0")))
-    met = i.join(b, (F.col("i.doc_id") == F.col("b.doc_id")) & (F.col("i.page") == F.col("b.page")))
-    place = F.lit("")
+    more than 300 characters is none, even if another block would do.
+
+    Next to is where the image's lower edge is nearest to a block's upper one, or the other way round, of equally near blocks the
+    first. A page's edges are sorted once: at each image the last block edge before it and the first one after it are the nearest."""
+    images = images.filter("share >= 0.02")
+    blocks = blocks.withColumn("text", F.trim(F.regexp_replace("text", r"(?U)\s+", " "))).filter("text <> ''")
+    edge = lambda df, y, side, image, block: df.select("doc_id", "page", F.col(y).cast("double").alias("y"), F.lit(side).alias("side"), image.alias("image"), block.alias("block"))
+    found = F.struct(F.col("block"), F.col("text"))
+    nobody, nothing = F.lit(None).cast(images.schema["image"].dataType), F.lit(None).cast(blocks.select(found).schema[0].dataType)
+    edges = edge(blocks, "y0", 0, nobody, found).unionByName(edge(blocks, "y1", 1, nobody, found))
+    edges = edges.unionByName(edge(images, "y1", 0, F.col("image"), nothing)).unionByName(edge(images, "y0", 1, F.col("image"), nothing))
+    by = W.partitionBy("doc_id", "page", "side")
+    ends = [F.col("block").isNull(), F.col("block.block").desc()]  # at one place blocks first, the first of them last
+    at = F.when(F.col("block").isNotNull(), F.struct(F.col("y"), F.col("block")))
+    last = lambda *order: F.last(at, ignorenulls=True).over(by.orderBy(*order, *ends).rowsBetween(W.unboundedPreceding, 0))
+    near = edges.withColumn("before", last(F.col("y").asc())).withColumn("after", last(F.col("y").desc())).filter("block IS NULL")
+    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("y") - F.col(f"{c}.y")).alias("gap"), F.col(f"{c}.block").alias("block")))
+    best = near.groupBy("doc_id", "page", "image").agg(F.min(F.least(F.coalesce(gap("before"), gap("after")), F.coalesce(gap("after"), gap("before")))).alias("b"))
+    best = best.select("doc_id", "page", "image", F.col("b.block.text").alias("caption")).filter("char_length(caption) BETWEEN 10 AND 300")
     if {"width", "height"} <= set(images.columns):
-        place = F.concat(F.lit("[p."), F.col("i.page"), F.lit(", "), F.col("i.width").cast("int"), F.lit("x"), F.col("i.height").cast("int"), F.lit("] "))
-    near = met.groupBy("i.doc_id", "i.page", "i.image").agg(F.min_by("b.text", F.struct(gap, F.col("b.block"))).alias("caption"), F.first(place).alias("place"))
-    return near.filter("char_length(caption) BETWEEN 10 AND 300").select("doc_id", "page", "image", F.concat("place", "caption").alias("caption"))
+        size = images.groupBy("doc_id", "page", "image").agg(F.first(F.concat(F.lit("[p."), F.col("page"), F.lit(", "), F.col("width").cast("int"), F.lit("x"), F.col("height").cast("int"), F.lit("] "))).alias("place"))
+        best = best.join(size, ["doc_id", "page", "image"]).withColumn("caption", F.concat("place", "caption"))
+    return best.select("doc_id", "page", "image", "caption")
 
 
 def image_counts(pages: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ from lectio.functions.text import TOKEN3, entity, entity_in, humanized, slug, to
 from lectio.operators import chunking, deck, extract, knowledge, metrics, package, planning, prompts, quiz, review, runs, simjoin
 from lectio.plans import registry
 from lectio.sources import documents, records, reports
-from lectio.streaming import upserts
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -244,15 +243,6 @@ def test_text_function(spark):
     assert "overall" in spark.range(1).select(prompts.judge_prompt("quiz", F.lit("s"), F.lit("c"))).first()[0]
 
 
-def test_stream_upsert(spark, tmp_path):
-    for k, rows in enumerate([[("a", 1, 1.0), ("b", 2, 2.0)], [("a", 3, 3.0), ("c", 4, 4.0)]]):
-        spark.createDataFrame(rows, "model string, at int, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema("model string, at int, v double").parquet(str(tmp_path / "in"))
-        upserts.start(stream, str(tmp_path / "out"), str(tmp_path / "check"), ["model"], ["at"]).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out" / "v=1"))
-    assert sorted((r.model, r.v) for r in got.collect()) == [("a", 3.0), ("b", 2.0), ("c", 4.0)]
-
-
 LESSON = """# Energía eólica
 **Turbina**: máquina que convierte el viento en electricidad útil.
 **Rotor**: parte giratoria que mueve el eje de la máquina principal.
