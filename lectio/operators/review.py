@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectio.functions.phrases import folded_has_phrase, has_phrase
 from lectio.functions.text import TOKEN4, folded, jaccard, let, tokens
 from lectio.functions.values import BANNED_OPTION_PHRASES, DUPLICATE_QUESTION, MAX_QUESTIONS, QUIZ_META_PHRASES, REVIEW_STOPWORDS, SLIDE_META_PHRASES
 from lectio.operators.knowledge import first_by_id, kind_rank
@@ -43,12 +44,12 @@ def quiz_issues(asked: DataFrame, vocab: DataFrame) -> DataFrame:
     """ISSUE: banned phrases and repeats (high), unbalanced options, meta language and what is not grounded (low)."""
     opts = options_of()
     row = lambda df, issue, severity, detail=None: df.select("doc_id", "question_id", F.lit(issue).alias("issue"), F.lit(severity).alias("severity"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
-    banned = F.exists(F.array(*(folded(o) for o in opts)), lambda o: o.rlike("|".join(BANNED_OPTION_PHRASES)))
+    banned = F.exists(F.array(*(folded(o) for o in opts)), lambda o: has_phrase(o, BANNED_OPTION_PHRASES))
     lengths = F.array(*(F.char_length(o) for o in opts))
     longest = F.array_max(lengths)
     rest = (F.aggregate(lengths, F.lit(0), lambda a, x: a + x) - longest) / 3
     unbalanced = (longest >= 40) & (rest > 0) & (longest >= 2.2 * rest)
-    meta = folded(F.concat_ws(" ", "question", "justification")).rlike("|".join(QUIZ_META_PHRASES))
+    meta = folded_has_phrase(F.concat_ws(" ", "question", "justification"), QUIZ_META_PHRASES)
     correct = F.col("options.D")
     for x in "CBA":
         correct = F.when(F.col("correct") == x, F.col(f"options.{x}")).otherwise(correct)
@@ -102,7 +103,7 @@ def slide_issues(shown: DataFrame, plan: DataFrame, vocab: DataFrame) -> DataFra
     text = shown.groupBy("doc_id", "slide_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bullet_index", "bullet"))), lambda b: b["bullet"]), " ").alias("text"))
     slides = text.join(plan.select("doc_id", "slide_index", "kind"), ["doc_id", "slide_index"])
     row = lambda df, issue: df.select("doc_id", "slide_index", F.lit(issue).alias("issue"), F.lit("low").alias("severity"))
-    meta = shown.filter(folded(F.col("bullet")).rlike("|".join(SLIDE_META_PHRASES))).select("doc_id", "slide_index").distinct()
+    meta = shown.filter(folded_has_phrase(F.col("bullet"), SLIDE_META_PHRASES)).select("doc_id", "slide_index").distinct()
     known = slides.filter("kind NOT IN ('intro', 'conclusion')").join(vocab, "doc_id", "left")
     loose = known.filter((F.size(F.coalesce("vocab", F.array().cast("array<string>"))) > 0) & ~F.coalesce(F.arrays_overlap(review_tokens(F.col("text")), F.col("vocab")), F.lit(False)))
     keyed = shown.select("doc_id", "slide_index", "bullet_index", F.left(F.array_join(F.array_sort(review_tokens(F.col("bullet"))), " "), F.lit(120)).alias("key")).filter("key <> ''")

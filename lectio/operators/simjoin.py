@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectio.functions.phrases import PhraseIndex
 from lectio.functions.tables import written
 from lectio.functions.text import entity, jaccard
 
 
 #: Tokens are counted in so many buckets of their hash, which give the order of tokens: rare ones first
 COUNT_BUCKETS = 1 << 14
+#: Longs of a set's bitmap
+WORDS = 16
 
 
 def token_ids(tokens: Column) -> Column:
     """The hashes (64 bits) of an array of tokens, in order."""
-    return F.array_sort(F.transform(tokens, lambda t: F.xxhash64(t)))
+    return F.sort_array(F.transform(tokens, lambda t: F.xxhash64(t)))
 
 
 def rare_first(sets: DataFrame) -> Column:
@@ -25,7 +28,7 @@ def rare_first(sets: DataFrame) -> Column:
     bucket = F.pmod(F.col("t"), F.lit(COUNT_BUCKETS))
     counts = dict(sets.select(F.explode("tokens").alias("t")).groupBy(bucket.alias("b")).agg(F.count("*")).collect())
     table = F.from_json(F.lit("[" + ",".join(str(counts.get(b, 0)) for b in range(COUNT_BUCKETS)) + "]"), "array<bigint>")
-    return F.array_sort(F.transform("tokens", lambda t: F.struct(F.get(table, F.pmod(t, F.lit(COUNT_BUCKETS)).cast("int")).alias("df"), t.alias("token"))))
+    return F.sort_array(F.transform("tokens", lambda t: F.struct(F.get(table, F.pmod(t, F.lit(COUNT_BUCKETS)).cast("int")).alias("df"), t.alias("token"))))
 
 
 def prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
@@ -44,25 +47,50 @@ def may_be_similar(p: str, q: str, threshold: float) -> Column:
     return (F.least(f"{p}.n", f"{q}.n") >= F.greatest(f"{p}.n", f"{q}.n") * threshold - 1e-9) & (most >= need)
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """id, n and WORDS longs b0, b1, ...: each token of a set sets one bit of 64 * WORDS."""
+    at = F.pmod(F.col("t"), F.lit(64 * WORDS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(t, {64 * WORDS}) % 64 AS int))")
+    of = [F.bit_or(F.when(F.floor(at / 64) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(WORDS)]
+    return sets.select("id", F.explode("tokens").alias("t")).groupBy("id").agg(F.count("*").alias("n"), *of)
+
+
 def distinct_pairs(sets: DataFrame, threshold: float, keys: DataFrame | None = None) -> DataFrame:
-    """x, y, similarity for all x < y of sets (id, tokens: hashes, none empty, all different) that are similar enough."""
+    """x, y, similarity for all x < y of sets (id, tokens: hashes, none empty, all different) that are similar enough. What meets is
+    ruled out by bitmaps first: a bit that one of two sets has alone is a token that it has alone, so similar sets differ in few."""
     keys = written(prefix_keys(sets, threshold), "keys") if keys is None else keys
     p, q = keys.alias("p"), keys.alias("q")
     met = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.id") < F.col("q.id")) & may_be_similar("p", "q", threshold))
     pairs = met.select(F.col("p.id").alias("x"), F.col("q.id").alias("y")).distinct()
-    full = pairs.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("tx")), "x").join(sets.select(F.col("id").alias("y"), F.col("tokens").alias("ty")), "y")
+    marks = written(bitmaps(sets), "bitmaps")
+    a = marks.select(F.col("id").alias("x"), F.col("n").alias("xn"), *(F.col(f"b{k}").alias(f"x{k}") for k in range(WORDS)))
+    b = marks.select(F.col("id").alias("y"), F.col("n").alias("yn"), *(F.col(f"b{k}").alias(f"y{k}") for k in range(WORDS)))
+    differ = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(WORDS)), F.lit(0))
+    near = pairs.join(a, "x").join(b, "y").filter(differ <= (F.col("xn") + F.col("yn")) * ((1 - threshold) / (1 + threshold)) + 1e-6).select("x", "y")
+    full = near.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("tx")), "x").join(sets.select(F.col("id").alias("y"), F.col("tokens").alias("ty")), "y")
     return full.select("x", "y", jaccard(F.col("tx"), F.col("ty")).alias("similarity")).filter(F.col("similarity") >= threshold - 1e-9)
 
 
+def set_classes(sets: DataFrame) -> DataFrame:
+    """id (the smallest) and tokens (hashes) of the different sets (id, tokens: array without repeats) that aren't empty."""
+    hashed = sets.select("id", token_ids(F.col("tokens")).alias("tokens")).filter("size(tokens) > 0")
+    return hashed.groupBy("tokens").agg(F.min("id").alias("id"))
+
+
+def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity for all a < b of the different sets, each by its smallest id, with a Jaccard similarity of the threshold or more.
+
+    Tokens are hashes of 64 bits, ordered by how rare they are; two sets that are similar enough share one of the first
+    n - ceil(t n) + 1 of theirs, so only these are joined on, and only where sizes and places allow it. The candidates are then
+    compared, by bitmaps and in full."""
+    return distinct_pairs(written(set_classes(sets), "classes"), threshold).select(F.col("x").alias("a"), F.col("y").alias("b"), "similarity")
+
+
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b, similarity for all a < b of sets (id, tokens: array without repeats) with a Jaccard similarity of the threshold or more.
-
-    Sets that are equal meet as one, their pairs follow from the groups. Tokens are hashes of 64 bits, ordered by how rare they
-    are; two sets that are similar enough share one of the first n - ceil(t n) + 1 of theirs, so only these are joined on, and only
-    where sizes and places allow it. The candidates are then compared in full.
-    """
-    sets = sets.select("id", token_ids(F.col("tokens")).alias("tokens")).filter("size(tokens) > 0")
-    groups = written(sets.groupBy("tokens").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids")), "groups")
+    """a, b, similarity for all a < b of sets (id, tokens), equal ones included: the pairs of similar_classes() and the members of
+    each class, written out."""
+    hashed = sets.select("id", token_ids(F.col("tokens")).alias("tokens")).filter("size(tokens) > 0")
+    groups = written(hashed.groupBy("tokens").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids")), "groups")
     good = distinct_pairs(groups.select(F.col("rep").alias("id"), "tokens"), threshold)
     same = groups.filter("size(ids) > 1").select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.lit(1.0).alias("similarity"))
     members = groups.select("rep", F.explode("ids").alias("id"))
@@ -71,28 +99,18 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def classes(sets: DataFrame) -> DataFrame:
-    """id, class_id: sets that are equal, by the smallest id."""
-    s = sets.select("id", F.array_sort("tokens").alias("tokens"))
-    return s.join(s.groupBy("tokens").agg(F.min("id").alias("class_id")), "tokens").select("id", "class_id")
+    """id, class_id: sets that are equal, by the smallest id. Sets meet as digests of 128 bits."""
+    text = F.array_join(F.sort_array("tokens"), "\0")
+    s = sets.select("id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    return s.join(s.groupBy("h1", "h2").agg(F.min("id").alias("class_id")), ["h1", "h2"]).select("id", "class_id")
 
 
 def containing(passages: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
-    """item_id, doc_id: passages (item_id, text) whose normalised words, in a row, are in a document (doc_id, text).
-
-    A passage and a document meet on the passage's first `words` words, hashed; what meets is compared in full. Shorter passages
-    meet on what they have.
-    """
-    p = passages.select("item_id", entity(F.coalesce("text", F.lit(""))).alias("p")).filter("p <> ''")
-    p = p.withColumn("k", F.least(F.size(F.split("p", " ")), F.lit(words)))
-    p = p.withColumn("h", F.xxhash64(F.array_join(F.slice(F.split("p", " "), F.lit(1), F.col("k")), " ")))
-    lengths = [r[0] for r in p.select("k").distinct().collect()]  # at most `words` numbers
-    d = docs.select("doc_id", entity(F.coalesce("text", F.lit(""))).alias("d"))
-    grams = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, F.lit(k)), " ")))
-    split = d.withColumn("w", F.split("d", " "))
-    hashes = F.array_distinct(F.flatten(F.array(*(F.when(F.size("w") >= k, grams(k)).otherwise(F.array().cast("array<bigint>")) for k in lengths)))) if lengths else F.array().cast("array<bigint>")
-    keys = split.select("doc_id", F.explode(hashes).alias("h")).join(p.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
-    full = keys.join(p.select("item_id", "p"), "item_id").join(d, "doc_id")
-    return full.filter(F.contains(F.concat(F.lit(" "), F.col("d"), F.lit(" ")), F.concat(F.lit(" "), F.col("p"), F.lit(" ")))).select("item_id", "doc_id")
+    """item_id, doc_id: passages (item_id, text) whose normalised words, in a row, are in a document (doc_id, text)."""
+    normal = entity(F.coalesce("text", F.lit("")))
+    p = written(passages.select(F.col("item_id").alias("id"), normal.alias("phrase")).filter("phrase <> ''"), "passages")
+    d = docs.select("doc_id", F.explode(F.array(normal)).alias("text"))  # a generator: computed once
+    return PhraseIndex(p, words).found(d, "doc_id").withColumnRenamed("id", "item_id")
 
 
 def exact_duplicates(docs: DataFrame, text: Column | None = None) -> DataFrame:

@@ -55,8 +55,7 @@ def doc_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different token sets with a similarity of 0.7 or more; doc_near_dup_members has the documents of each."""
     docs = table(spark, sf_dir, "documents")
     sets = docs.select(F.col("doc_id").alias("id"), metrics.metric_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    s = sets.select("id", F.array_sort("tokens").alias("tokens")).filter("size(tokens) > 0").groupBy("tokens").agg(F.min("id").alias("id"))
-    found = simjoin.similar_pairs(s, 0.7)
+    found = simjoin.similar_classes(sets, 0.7)
     return found.select("a", "b", F.bround("similarity", 6).alias("similarity"))
 
 
