@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import operator
 import re
 from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
@@ -106,12 +107,13 @@ class Generation(NamedTuple):
     body: tuple
 
 
+#: Filters take the text of what is no text; length also takes lists and messages
 FILTERS: dict[str, Callable[[Any], Any]] = {
-    "escaped": lambda v: ESCAPE.sub(lambda m: "\\" + m[0], v),
-    "trim": lambda v: v.strip(" \t\n\r\x0b\x0c"),
-    "upper": lambda v: v.upper(),
-    "lower": lambda v: v.lower(),
-    "length": len,
+    "escaped": lambda v: ESCAPE.sub(lambda m: "\\" + m[0], str(v)),
+    "trim": lambda v: str(v).strip(" \t\n\r\x0b\x0c"),
+    "upper": lambda v: str(v).upper(),
+    "lower": lambda v: str(v).lower(),
+    "length": lambda v: len(v) if hasattr(v, "__len__") else len(str(v)),
 }
 OPERATORS: dict[str, Callable[[Any, Any], Any]] = {
     "==": lambda a, b: a == b,
@@ -296,31 +298,73 @@ def nodes(tree: Any) -> Iterator[Any]:
                 yield from nodes(part)
 
 
+#: The value of names, fields and items that aren't there
+MISSING = ""
+
+
+def member(of: Any, key: Any) -> Any:
+    """A field or item; MISSING where there is none."""
+    try:
+        return of[key]
+    except (KeyError, IndexError, TypeError):
+        return MISSING
+
+
+def shown(node: Any) -> str:
+    """An expression as a template has it, to say where something went wrong."""
+    if isinstance(node, Const):
+        return repr(node.value)
+    if isinstance(node, Name):
+        return node.name
+    if isinstance(node, Attr):
+        return f"{shown(node.of)}.{node.name}"
+    if isinstance(node, Index):
+        return f"{shown(node.of)}[{shown(node.at)}]"
+    if isinstance(node, Filter):
+        return f"{shown(node.of)} | {node.name}"
+    if isinstance(node, Not):
+        return f"not {shown(node.of)}"
+    return f"{shown(node.left)} {node.op} {shown(node.right)}"
+
+
+def applied(node: Any, f: Callable, *values: Any) -> Any:
+    """f of the values; what fails is one kind of error, which names the expression."""
+    try:
+        return f(*values)
+    except (TypeError, ValueError, AttributeError) as e:
+        raise TemplateError(f"{shown(node)}: {e}") from e
+
+
 def fold(node: Any, known: dict[str, Any]) -> Any:
-    """An expression with what is known put in and computed."""
+    """An expression with what is known put in and computed. What can't be computed stays: its branch may never run."""
     if isinstance(node, Name):
         return Const(known[node.name]) if node.name in known else node
     if isinstance(node, (Attr, Filter, Not)):
-        of = fold(node.of, known)
-        if isinstance(of, Const) and isinstance(node, Filter):
-            return Const(FILTERS[node.name](of.value))
-        if isinstance(of, Const) and isinstance(node, Not):
-            return Const(not of.value)
-        return node._replace(of=of)
+        node = node._replace(of=fold(node.of, known))
+        if not isinstance(node.of, Const) or isinstance(node, Attr):
+            return node
+        f = FILTERS[node.name] if isinstance(node, Filter) else operator.not_
+        return computed(node, f, node.of.value)
     if isinstance(node, Index):
-        of, at = fold(node.of, known), fold(node.at, known)
-        return Const(of.value[at.value]) if isinstance(of, Const) and isinstance(at, Const) else Index(of, at)
+        node = Index(fold(node.of, known), fold(node.at, known))
+        return Const(member(node.of.value, node.at.value)) if isinstance(node.of, Const) and isinstance(node.at, Const) else node
     if isinstance(node, Binary):
-        left, right = fold(node.left, known), fold(node.right, known)
+        node = Binary(node.op, fold(node.left, known), fold(node.right, known))
         if node.op in ("and", "or"):
-            if isinstance(left, Const):
-                return right if bool(left.value) == (node.op == "and") else left
-        elif isinstance(left, Const) and isinstance(right, Const):
-            return Const(OPERATORS[node.op](left.value, right.value))
-        return Binary(node.op, left, right)
+            if isinstance(node.left, Const):
+                return node.right if bool(node.left.value) == (node.op == "and") else node.left
+        elif isinstance(node.left, Const) and isinstance(node.right, Const):
+            return computed(node, OPERATORS[node.op], node.left.value, node.right.value)
     return node
 
 
+def computed(node: Any, f: Callable, *values: Any) -> Any:
+    try:
+        return Const(applied(node, f, *values))
+    except TemplateError:
+        return node
+
+
 def fold_body(body: tuple, known: dict[str, Any]) -> tuple:
     """Statements with constants folded: neighbouring texts become one, decided branches go."""
     out: list = []
@@ -346,14 +390,15 @@ def fold_body(body: tuple, known: dict[str, Any]) -> tuple:
         elif isinstance(s, Set):
             push(Set(s.name, fold(s.of, known)))
         else:
-            branches, other = [], fold_body(s.other, known)
+            branches, other = [], s.other
             for condition, inner in s.branches:
-                condition, inner = fold(condition, known), fold_body(inner, known)
+                condition = fold(condition, known)
                 if not isinstance(condition, Const):
-                    branches.append((condition, inner))
+                    branches.append((condition, fold_body(inner, known)))
                 elif condition.value:
                     other = inner
                     break
+            other = fold_body(other, known)
             if branches:
                 push(If(tuple(branches), other))
             else:
@@ -369,13 +414,13 @@ def closure(node: Any) -> Callable[[dict], Any]:
     if isinstance(node, Const):
         return lambda scope, v=node.value: v
     if isinstance(node, Name):
-        return lambda scope, n=node.name: scope[n]
+        return lambda scope, n=node.name: scope.get(n, MISSING)
     if isinstance(node, Attr):
-        return lambda scope, of=closure(node.of), n=node.name: of(scope)[n]
+        return lambda scope, of=closure(node.of), n=node.name: member(of(scope), n)
     if isinstance(node, Index):
-        return lambda scope, of=closure(node.of), at=closure(node.at): of(scope)[at(scope)]
+        return lambda scope, of=closure(node.of), at=closure(node.at): member(of(scope), at(scope))
     if isinstance(node, Filter):
-        return lambda scope, of=closure(node.of), f=FILTERS[node.name]: f(of(scope))
+        return lambda scope, of=closure(node.of), f=FILTERS[node.name]: applied(node, f, of(scope))
     if isinstance(node, Not):
         return lambda scope, of=closure(node.of): not of(scope)
     left, right = closure(node.left), closure(node.right)
@@ -383,7 +428,7 @@ def closure(node: Any) -> Callable[[dict], Any]:
         return lambda scope: left(scope) and right(scope)
     if node.op == "or":
         return lambda scope: left(scope) or right(scope)
-    return lambda scope, f=OPERATORS[node.op]: f(left(scope), right(scope))
+    return lambda scope, f=OPERATORS[node.op]: applied(node, f, left(scope), right(scope))
 
 
 def body_closure(body: tuple, marked: bool = False) -> Callable[[dict], Iterator[tuple[str, bool]]]:
@@ -410,7 +455,7 @@ def statement_closure(s: Any, marked: bool) -> Callable[[dict], Iterator[tuple[s
     over, body = closure(s.over), body_closure(s.body, marked)
 
     def loop(scope: dict) -> Iterator[tuple[str, bool]]:
-        items = iter(over(scope))
+        items = applied(s.over, iter, over(scope))
         ahead, k = next(items, END), 0
         while ahead is not END:
             item, ahead = ahead, next(items, END)  # one ahead, for loop.last

@@ -12,7 +12,8 @@ a spanning forest of its links, never all its pairs.
 
 Defined results. Null and zero vectors and vectors with null or non-finite components link with nothing, vectors of
 different lengths not with each other. Rows without a vec_id are not compared and get a null component. Rows that repeat a vec_id
-are one vertex. Only vec_id and embedding are read.
+are counted each in n_links, by their own vectors, and are one vertex of components, whatever their vectors are. A vec_id may be
+of any type that has an order. Only vec_id and embedding are read.
 """
 
 from __future__ import annotations
@@ -204,20 +205,28 @@ def links(tiles: DataFrame, turns: dict[int, np.ndarray], threshold: float = THR
 
 def grouped(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links and component_id, a row for each row of vectors."""
-    good = valid(vectors)
-    everything = vectors.select("vec_id", F.col("embedding").alias("e"))
-    classes = written(good.groupBy("embedding").agg(F.min("vec_id").cast("bigint").alias("node"), F.count("*").alias("n")), "classes")
+    rows = vectors.select("vec_id", "embedding")
+    numbered = valid(vectors).groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    classes = written(numbered, "classes")  # numbers are settled by being written
     turns = bases(classes)
     if not turns:
-        return everything.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     found = written(links(written(tiled(classes, turns), "tiles"), turns, threshold), "links")
-    reached = components(found.filter("v IS NOT NULL").select("u", "v"))
-    counts = found.filter("v IS NULL").groupBy("u").agg(F.sum("n").alias("others"))
-    named = classes.join(counts, F.col("node") == F.col("u"), "left").drop("u").join(reached, "node", "left")
-    named = written(named.select("embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "named")
-    joined = everything.join(named, F.col("e") == F.col("embedding"), "left")
+    known = F.when(F.col("vec_id").isNotNull(), F.col("node")).alias("node")
+    of = written(rows.join(classes.select("embedding", "node"), "embedding", "left").select("vec_id", known), "rows")
+    # classes with a vec_id in common are one component
+    shared = of.filter("node IS NOT NULL").distinct()
+    first = shared.groupBy("vec_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).filter("u <> v")
+    twice = shared.join(first.select("vec_id", "u"), "vec_id").filter("node <> u").select("u", F.col("node").alias("v"))
+    reached = written(components(found.filter("v IS NOT NULL").select("u", "v").unionByName(twice)), "reached")
+    least = classes.select("node", "least").join(reached, "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    reached = reached.join(least, "component").select("node", "component_id")
+    counts = found.filter("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
+    named = classes.select("node", "n", "least").join(counts, "node", "left").join(reached, "node", "left")
+    named = named.select("node", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     has = F.col("vec_id").isNotNull()
-    return joined.select("vec_id", F.when(has, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"), F.when(has, F.coalesce("component_id", "vec_id")).alias("component_id"))
+    joined = of.join(named, "node", "left")
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(has, F.coalesce("component_id", "vec_id")).alias("component_id"))
 
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
