@@ -12,15 +12,15 @@ from lectio.functions.values import MAX_QUESTIONS, MIN_QUESTIONS, QUIZ_ORDER
 from lectio.operators.knowledge import first_by_id, kind_rank
 from lectio.operators.planning import adaptive_target, bloom, quiz_plan
 
-# --- fixed values: wording of questions ---------------------------------------------------------------------------------
+# --- wording of questions ------------------------------------------------------------------------------------------------
 STEMS = {
-    "def": ("¿Cuál define mejor «", "term", "»?"),
-    "ex": ("¿Qué opción describe mejor el ejemplo «", "name", "»?"),
-    "rel": ("¿Qué relación es correcta entre «", "source", "» y «", "target", "»?"),
-    "dt": ("¿Qué dato numérico coincide con lo indicado en el documento?",),
-    "fc": ("¿Qué afirmación sobre el fragmento técnico es correcta?",),
+    "def": ("¿Con qué frase queda explicado «", "term", "»?"),
+    "ex": ("¿Qué frase cuenta algo cierto de «", "name", "»?"),
+    "rel": ("¿Cómo se vinculan «", "source", "» y «", "target", "»?"),
+    "dt": ("¿Cuál de estas cifras da el texto?",),
+    "fc": ("¿Cuál de estas frases acierta sobre la fórmula o el código del texto?",),
 }
-JUSTIFICATION = "Se selecciona la opción A porque es la única coherente con el átomo central de la Base de Conocimiento."
+JUSTIFICATION = "Solo la opción A dice lo que se sabe de este punto; las demás lo contradicen."
 
 
 def stem() -> Column:
@@ -33,16 +33,16 @@ def stem() -> Column:
 
 def options() -> Column:
     """The four options of an atom by its kind; A is right."""
-    t, low = F.col("term"), F.lower("term")
+    low = F.lower("term")
     say = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
     listed = lambda c, n, none: F.coalesce(F.nullif(F.array_join(F.slice(F.col(c), 1, n), ", "), F.lit("")), F.lit(none))
     s, g = F.col("source"), F.col("target")
     by_kind = {
-        "def": (F.left("definition", F.lit(220)), say("Es una variante opuesta a ", low, " en el documento."), say("Es un ejemplo concreto, no la definición de ", low, "."), say("Es un procedimiento general sin relación directa con ", low, ".")),
-        "ex": (say("Incluye ", listed("attributes", 3, "atributos del dominio"), " y ", listed("methods", 2, "métodos asociados"), "."), say("No posee estado interno y se modela solo con funciones globales."), say("Se usa únicamente como dato numérico sin comportamiento."), say("Es una relación abstracta entre dos entidades, no un ejemplo.")),
-        "rel": (say(s, " ", F.col("rel_kind"), " ", g, " (", F.coalesce(F.nullif("description", F.lit("")), F.lit("según la Base de Conocimiento")), ")."), say(g, " ", F.col("rel_kind"), " ", s, ", en sentido inverso."), say(s, " y ", g, " no tienen relación en el documento."), say(s, " equivale exactamente a ", g, " en todos los casos.")),
-        "dt": (say(F.col("value"), ": ", F.col("description")), say("0%: valor nulo para el mismo fenómeno descrito."), say("100%: valor absoluto no matizado por el contexto."), say("No se proporciona ningún dato cuantitativo relevante.")),
-        "fc": (say("Corresponde a un ", F.when(F.col("fc_kind") == "formula", "fórmula").otherwise("código"), " mencionado en el material."), say("Es un ejemplo inventado sin relación con el documento."), say("Es únicamente una definición textual, no un fragmento técnico."), say("Es una conclusión final y no un elemento técnico.")),
+        "def": (F.left("definition", F.lit(220)), say("Es justo lo contrario de ", low, "."), say("Nombra un caso suelto de ", low, ", sin explicarlo."), say("Trata de otro asunto que no toca ", low, ".")),
+        "ex": (say("Reúne ", listed("attributes", 3, "rasgos propios"), " y ", listed("methods", 2, "acciones propias"), "."), say("Carece de rasgos y de acciones propias."), say("Solo es una cifra suelta."), say("Es un vínculo entre dos cosas y no un caso.")),
+        "rel": (say(s, " ", F.col("rel_kind"), " ", g, " (", F.coalesce(F.nullif("description", F.lit("")), F.lit("así consta en la base")), ")."), say(g, " ", F.col("rel_kind"), " ", s, ", justo al revés."), say(s, " y ", g, " no guardan ningún vínculo."), say(s, " y ", g, " son siempre la misma cosa.")),
+        "dt": (say(F.col("value"), ": ", F.col("description")), say("0%: no se observa nada en absoluto."), say("100%: ocurre siempre y sin excepción."), say("El texto no da ninguna cifra.")),
+        "fc": (say("Es ", F.when(F.col("fc_kind") == "formula", "una fórmula").otherwise("código"), " que figura en el texto."), say("Es un invento que el texto no recoge."), say("Solo son palabras, sin signos ni código."), say("Es el resumen final del texto.")),
     }
     raw = F.lit(None)
     for kind, four in by_kind.items():

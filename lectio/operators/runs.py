@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectio.functions.text import safe_double
+from lectio.functions.text import path_name, safe_double
 from lectio.functions.values import AVERAGED, DECK_CRITERIA, QUIZ_CRITERIA
 
 
+#: Columns of a summary
+SUMMARY = """pdf_id pdf_title model status error pdf_length_category pdf_has_images pdf_has_tables time_total_s time_kb_s time_quiz_s time_pptx_s kb_atoms kb_subtopics
+quiz_num_questions quiz_bloom_diversity quiz_duplicate_pairs quiz_pct_explanation quiz_kb_term_coverage
+pptx_num_slides_total pptx_num_content_slides pptx_avg_bullets pptx_bullets_total pptx_index_coherence""".split()
+
+
 def flat(records: DataFrame) -> DataFrame:
-    """One row of 24 columns for each record."""
+    """One row of 24 columns, SUMMARY, for each record."""
     g = lambda path, name: F.col(path).alias(name)
     return records.select(
         "pdf_id", "pdf_title", "model", "status", F.left(F.replace(F.coalesce("error", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit(300)).alias("error"),
@@ -35,14 +41,26 @@ def model_averages(summary: DataFrame) -> DataFrame:
     return summary.filter("status = 'ok'").groupBy("model").agg(F.count("*").alias("runs_ok"), *means)
 
 
+def execution(pdf: Column, model: Column) -> Column:
+    """The name of a run."""
+    return F.concat_ws("__", pdf, path_name(model))
+
+
+def present(c: Column) -> Column:
+    """Whether a summary has a value there: neither null nor blank nor nan."""
+    return F.coalesce(~F.lower(F.trim(c.cast("string"))).isin("", "nan"), F.lit(False))
+
+
 def judging_template(summary: DataFrame) -> DataFrame:
     """A row for each run with status ok, artifact it has and criterion, to be filled in."""
+    none = F.array().cast("array<struct<artifact_type: string, criterion: string>>")
+    rows_of = lambda artifact, criteria: F.transform(F.array(*map(F.lit, criteria)), lambda c: F.struct(F.lit(artifact).alias("artifact_type"), c.alias("criterion")))
     both = F.concat(
-        F.when(F.col("quiz_num_questions").isNotNull(), F.transform(F.array(*map(F.lit, QUIZ_CRITERIA)), lambda c: F.struct(F.lit("quiz").alias("artifact_type"), c.alias("criterion")))).otherwise(F.array().cast("array<struct<artifact_type: string, criterion: string>>")),
-        F.when(F.col("pptx_num_slides_total").isNotNull(), F.transform(F.array(*map(F.lit, DECK_CRITERIA)), lambda c: F.struct(F.lit("pptx").alias("artifact_type"), c.alias("criterion")))).otherwise(F.array().cast("array<struct<artifact_type: string, criterion: string>>")),
+        F.when(present(F.col("quiz_num_questions")), rows_of("quiz", QUIZ_CRITERIA)).otherwise(none),
+        F.when(present(F.col("pptx_num_slides_total")), rows_of("pptx", DECK_CRITERIA)).otherwise(none),
     )
     rows = summary.filter("status = 'ok'").select("pdf_id", "model", F.inline(both))
-    return rows.select(F.concat_ws("__", "pdf_id", "model").alias("execution_id"), "pdf_id", "model", "artifact_type", "criterion", F.lit(None).cast("int").alias("score_1_5"), F.lit("").alias("notes"))
+    return rows.select(execution(F.col("pdf_id"), F.col("model")).alias("execution_id"), "pdf_id", "model", "artifact_type", "criterion", F.lit(None).cast("int").alias("score_1_5"), F.lit("").alias("notes"))
 
 
 def score_means(scores: DataFrame) -> DataFrame:
@@ -55,9 +73,13 @@ def run_matrix(catalog: DataFrame, models: list[str]) -> DataFrame:
 
 
 def requested(catalog: DataFrame, ids: list[str]) -> DataFrame:
-    """The entries asked for, with their place in the request."""
+    """The entries asked for, with their place in the request. Ids that the catalog doesn't have are an error."""
     place = F.array_position(F.array(*map(F.lit, ids)), F.col("id"))
-    return catalog.withColumn("place", place).filter("place > 0")
+    found = catalog.withColumn("place", place).filter("place > 0")
+    missing = sorted(set(ids) - {r["id"] for r in found.select("id").distinct().collect()})  # no more than were asked for
+    if missing:
+        raise ValueError(f"not in the catalog: {', '.join(missing)}")
+    return found
 
 
 def run_status(quiz_error: Column, deck_error: Column) -> Column:

