@@ -224,6 +224,7 @@ def grouped(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counts = found.filter("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
     named = classes.select("node", "n", "least").join(counts, "node", "left").join(reached, "node", "left")
     named = named.select("node", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    named = written(named, "named")  # so that both sides of the last join come from a shuffle of their own, which can be split where a class is large
     has = F.col("vec_id").isNotNull()
     joined = of.join(named, "node", "left")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(has, F.coalesce("component_id", "vec_id")).alias("component_id"))
