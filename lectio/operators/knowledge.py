@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectio.functions.text import entity, entity_in, json_body, mapped, one_space, stripped, typed_id
+from lectio.functions.answers import entries, parsed, picked, unwrapped
+from lectio.functions.text import entity, entity_in, mapped, one_space, stripped, typed_id
 from lectio.functions.values import (
     ANSWER_WRAPPERS, ATOM_BOUNDS, ATOM_FIELDS, ATOM_KINDS, ATOM_LISTS, CONCLUSION_FIELDS, ID_SEEDS, MAX_CONCLUSIONS, MAX_LISTED, MAX_SUBTOPICS, RELATION_PHRASES, SUBTOPIC_FIELDS, TOPIC_FIELDS,
 )
@@ -239,36 +240,22 @@ def listed(c: Column, most: int) -> Column:
     return F.slice(F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), stripped), lambda x: x != ""), 1, most)
 
 
-def picked(j: Column, names) -> Column:
-    """The first of the fields that says something."""
-    field = lambda n: F.nullif(F.trim(F.get_json_object(j, f"$['{n}']")), F.lit(""))
-    return F.coalesce(*(F.nullif(field(n), F.lit("[]")) for n in names))
-
-
-def unwrapped(body: Column, wrappers, probes) -> Column:
-    """What the first wrapper holds that is an object with one of the fields; else the body itself."""
-    inner = [F.get_json_object(body, f"$['{w}']") for w in wrappers]
-    holds = [F.when(F.startswith(F.trim(x), F.lit("{")) & F.coalesce(*(F.get_json_object(x, f"$['{p}']") for p in probes)).isNotNull(), x) for x in inner]
-    return F.coalesce(*holds, body)
-
-
 def from_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kb, atoms) from answers (doc_id, payload: a model's text). Fields go by any of their aliases, one wrapper is taken off,
     ids are made where they are missing; an atom without what its kind needs, or with a field out of its bounds, is dropped,
     the rest of its answer stays. kb: doc_id, main_topic (null: none that says something), subtopics, conclusions."""
     probes = (*TOPIC_FIELDS, *ATOM_LISTS["def"], *ATOM_LISTS["ex"])
-    body = answers.select("doc_id", F.explode(F.array(json_body(F.col("payload")))).alias("lectio_b"))  # a generator each: computed once
-    parsed = body.select("doc_id", F.explode(F.array(unwrapped(F.col("lectio_b"), ANSWER_WRAPPERS, probes))).alias("j"))
+    read = parsed(answers, ["doc_id"])
+    read = read.select("doc_id", F.explode(F.array(unwrapped(F.col("v"), ANSWER_WRAPPERS, probes))).alias("j"))
     j = F.col("j")
     topic = picked(j, TOPIC_FIELDS)
-    kb = parsed.select(
+    kb = read.filter("j IS NOT NULL").select(
         "doc_id", F.left(F.when(topic.rlike(PLACEHOLDER_TOPIC), None).otherwise(topic), F.lit(200)).alias("main_topic"),
         listed(picked(j, SUBTOPIC_FIELDS), MAX_SUBTOPICS).alias("subtopics"), listed(picked(j, CONCLUSION_FIELDS), MAX_CONCLUSIONS).alias("conclusions"),
     )
     found = None
     for kind in ATOM_KINDS:
-        lists = F.coalesce(*(F.from_json(F.get_json_object("j", f"$['{n}']"), "array<map<string, string>>") for n in ATOM_LISTS[kind]))
-        rows = parsed.select("doc_id", F.posexplode(lists).alias("pos", "m")).filter("m IS NOT NULL")
+        rows = read.select("doc_id", F.inline(F.coalesce(*(entries(j, n) for n in ATOM_LISTS[kind]))))
         field = lambda names: F.coalesce(*(F.nullif(F.trim(F.try_element_at("m", F.lit(n))), F.lit("")) for n in names))
         rows = rows.select("doc_id", F.lit(kind).alias("kind"), "pos", *(field(n).alias(c) for c, n in ATOM_FIELDS[kind].items()), "m")
         if kind == "ex":

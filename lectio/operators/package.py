@@ -17,13 +17,14 @@ from lectio.functions.tables import written
 from lectio.functions.text import json_body, truncated
 from lectio.functions.values import MAX_TITLE_CHARS, MIN_SLIDES
 from lectio.operators import chunking, deck, extract, knowledge, metrics, planning, prompts, quiz, review, runs
+from lectio.operators import ledger as ledgers
 from lectio.sources.documents import admitted
 
 Text = Callable[[Column], Column]
 
 
 class Models(NamedTuple):
-    """A text function for each kind of request; None: the deterministic form."""
+    """A text function, or a model behind a ledger (Asked), for each kind of request; None: the deterministic form."""
 
     summary: Text | None = None
     knowledge: Text | None = None
@@ -48,6 +49,35 @@ class Material(NamedTuple):
     slide_issues: DataFrame
 
 
+class Asked(NamedTuple):
+    """A model behind a ledger: in the place of a text function, for requests that are to be asked once, with second tries and a
+    time limit."""
+
+    ledger: ledgers.Ledger
+    call: Callable[[str, float], str]
+    accept: Callable[[str], bool] = bool
+    timeout: float | None = None
+
+
+def answers_of(rows: DataFrame, prompt: Column, model: Text | Asked) -> DataFrame:
+    """rows with payload, what the model says to each row's prompt."""
+    if isinstance(model, Asked):
+        found = model.ledger.answered(rows, prompt, model.call, model.accept, model.timeout)
+        return found.withColumnRenamed("answer", "payload").drop("error", "tries", "seconds")
+    return rows.withColumn("payload", model(prompt))
+
+
+def once_more(answers: DataFrame, rows: DataFrame, prompt: Column, model: Text | Asked, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """answers (doc_id, payload), those that nothing can be read of asked for once more: by the model's cooler form where it has one
+    (a ledger's model makes its second tries itself)."""
+    cooler = getattr(model, "cooler", None)
+    if cooler is None:
+        return answers
+    good = answers.join(written(read(answers).select("doc_id").distinct(), "read"), "doc_id", "left_semi")
+    bad = rows.join(good.select("doc_id"), "doc_id", "left_anti")
+    return written(good.unionByName(answers_of(bad, prompt, cooler).select("doc_id", "payload")), "answers")
+
+
 def knowledge_base(docs: DataFrame, models: Models = Models()) -> tuple[DataFrame, DataFrame]:
     """(kb: doc_id, main_topic, subtopics, conclusions; atoms) of documents that have a text.
 
@@ -61,10 +91,14 @@ def knowledge_base(docs: DataFrame, models: Models = Models()) -> tuple[DataFram
     if models.knowledge is None:
         return topics, literal
     asked = prompts.map_prompts(chunking.chunks(docs))
-    partials = chunking.summarised(asked, models.summary(F.col("prompt")) if models.summary else None)
+    if models.summary is not None:
+        asked = written(answers_of(asked, F.col("prompt"), models.summary), "summaries")
+    partials = chunking.summarised(asked, F.col("payload") if models.summary is not None else None)
     request = partials.join(extract.hint_block(docs), "doc_id", "left")
     prompt = prompts.knowledge_prompt(F.col("partials"), F.col("block"))
-    answers = written(request.select("doc_id", models.knowledge(prompt).alias("payload")), "answers")
+    request = written(request, "request")
+    answers = written(answers_of(request, prompt, models.knowledge).select("doc_id", "payload"), "answers")
+    answers = once_more(answers, request, prompt, models.knowledge, lambda a: knowledge.from_answers(a)[1])
     named, found = knowledge.from_answers(answers)
     found = written(knowledge.grounded(found, docs), "answered")
     has = found.select("doc_id").distinct()
@@ -104,17 +138,18 @@ def asked_for(plan: DataFrame, atoms: DataFrame, models: Models) -> DataFrame:
     before = quiz.last_before(stems, "doc_id", "question_id", F.col("s")).select("doc_id", "question_id", "before")
     context = plan.join(lines.withColumnRenamed("atom_id", "concept_id"), ["doc_id", "concept_id"]).join(near, ["doc_id", "concept_id"], "left").join(before, ["doc_id", "question_id"], "left")
     prompt = prompts.question_prompt(F.col("line"), F.col("bloom"), F.col("kind"), F.col("related"), F.col("before"))
-    return quiz.from_answers(context.select("doc_id", "question_id", models.question(prompt).alias("payload")), plan, atoms)
+    return quiz.from_answers(answers_of(context, prompt, models.question).select("doc_id", "question_id", "payload"), plan, atoms)
 
 
-def planned_by(model: Text | None, kb: DataFrame, atoms: DataFrame, prompt: Callable[..., Column]) -> DataFrame | None:
+def planned_by(model: Text | Asked | None, kb: DataFrame, atoms: DataFrame, prompt: Callable[..., Column], read: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """doc_id and payload: a model's answers to a request for a plan, which knows the knowledge base and its ids."""
     if model is None:
         return None
     ids = planning.id_lists(atoms).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "prefix", F.lit(": "), "ids"))), "\n").alias("valid"))
     n = atoms.groupBy("doc_id").agg(planning.adaptive_target(F.count("*")).alias("target"))
     source = knowledge.document_markdown(kb, atoms, 5000).join(ids, "doc_id").join(n, "doc_id")
-    return written(source.select("doc_id", model(prompt(F.col("markdown"), F.col("valid"), F.col("target"))).alias("payload")), "plans")
+    source, asked = written(source, "source"), prompt(F.col("markdown"), F.col("valid"), F.col("target"))
+    return once_more(written(answers_of(source, asked, model).select("doc_id", "payload"), "plans"), source, asked, model, read)
 
 
 def or_else(given: DataFrame, own: DataFrame) -> DataFrame:
@@ -127,7 +162,7 @@ def quiz_of(kb: DataFrame, atoms: DataFrame, models: Models = Models()) -> DataF
     """The quiz of each document: planned, written, reviewed, questions with a high issue written once more and dropped if they
     still have one, topped up and numbered."""
     own = planning.sanitized_quiz_plan(planning.quiz_plan(atoms), atoms)
-    answers = planned_by(models.quiz_plan, kb, atoms, prompts.quiz_plan_prompt)
+    answers = planned_by(models.quiz_plan, kb, atoms, prompts.quiz_plan_prompt, planning.quiz_plan_from_answers)
     plan = own if answers is None else or_else(planning.sanitized_quiz_plan(planning.quiz_plan_from_answers(answers), atoms), own)
     asked = asked_for(plan, atoms, models)
     asked = written(asked, "asked")
@@ -139,10 +174,12 @@ def quiz_of(kb: DataFrame, atoms: DataFrame, models: Models = Models()) -> DataF
     return quiz.renumbered(quiz.filled(written(kept, "kept"), atoms))
 
 
-def deck_of(kb: DataFrame, atoms: DataFrame, models: Models = Models(), subtopics: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(plan, bullets, conclusions) of each document: slides planned and put right, their bullets without repetition."""
+def deck_of(kb: DataFrame, atoms: DataFrame, models: Models = Models(), subtopics: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(plan, bullets, conclusions, titles) of each document: slides planned and put right, their bullets without repetition, what a
+    model calls the deck, or its topic."""
     own = planning.sanitized_slide_plan(planning.slide_plan(kb, atoms, subtopics), atoms)
-    answers = planned_by(models.slide_plan, kb, atoms, prompts.slide_plan_prompt)
+    answers = planned_by(models.slide_plan, kb, atoms, prompts.slide_plan_prompt, planning.slide_plan_from_answers)
+    titles = kb.select("doc_id", F.col("main_topic").alias("title")) if answers is None else written(planning.titles_from_answers(answers, kb), "titles")
     if answers is not None:
         given = written(planning.sanitized_slide_plan(planning.slide_plan_from_answers(answers), atoms), "planned")
         short = given.groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set(F.lower("title")).alias("titles")).filter(F.col("n") < MIN_SLIDES)
@@ -156,7 +193,8 @@ def deck_of(kb: DataFrame, atoms: DataFrame, models: Models = Models(), subtopic
     if models.bullets is not None:
         lines = written(lines.join(before_slides(shown, plan), ["doc_id", "slide_index"], "left"), "lines")
         once = bullets_asked(lines, models.bullets, False)
-        few = lines.join(enough(once), ["doc_id", "slide_index"], "left_anti")
+        new = deck.unrepeated(once)  # repeats don't count
+        few = lines.join(enough(new), ["doc_id", "slide_index"], "left_anti")
         again = bullets_asked(few, models.bullets, True)
         better = again.select("doc_id", "slide_index").distinct()
         answered = written(once.join(better, ["doc_id", "slide_index"], "left_anti").unionByName(again), "answered")
@@ -165,18 +203,18 @@ def deck_of(kb: DataFrame, atoms: DataFrame, models: Models = Models(), subtopic
     ended = none
     if models.conclusion is not None:
         source = knowledge.document_markdown(kb, atoms, 6000).join(kb.select("doc_id", "main_topic"), "doc_id")
-        asked = source.select("doc_id", models.conclusion(prompts.conclusion_prompt(F.col("main_topic"), F.col("markdown"))).alias("payload"))
+        asked = answers_of(source, prompts.conclusion_prompt(F.col("main_topic"), F.col("markdown")), models.conclusion)
         listed = F.from_json(json_body(F.col("payload")), "bullets array<string>")["bullets"]
         rows = asked.select("doc_id", F.lit(0).alias("slide_index"), F.posexplode(listed).alias("bullet_index", "t"))
         clean = rows.select("doc_id", "slide_index", "bullet_index", deck.clean_bullet(F.col("t")).alias("bullet")).filter("bullet IS NOT NULL")
         ended = deck.balanced(clean).select("doc_id", F.col("bullet_index").alias("n"), F.col("bullet").alias("text"))
-    return plan, deck.unrepeated(written(shown, "shown")), written(ended, "conclusions")
+    return plan, deck.unrepeated(written(shown, "shown")), written(ended, "conclusions"), titles
 
 
 def bullets_asked(lines: DataFrame, model: Text, again: bool) -> DataFrame:
     """A model's bullets for slides (doc_id, slide_index, title, lines, before), written; `again` with a word on what was missing."""
     prompt = prompts.bullets_prompt(F.col("title"), F.col("lines"), F.col("before"), again)
-    return written(deck.bullets_from_answers(written(lines.select("doc_id", "slide_index", "title", model(prompt).alias("payload")), "asked")), "bullets")
+    return written(deck.bullets_from_answers(written(answers_of(lines, prompt, model).select("doc_id", "slide_index", "title", "payload"), "asked")), "bullets")
 
 
 def enough(bullets: DataFrame, least: int = 3) -> DataFrame:
@@ -224,7 +262,7 @@ def study(docs: DataFrame, models: Models = Models(), pages: str | None = None,
     kb = written(kb.join(atoms.select("doc_id").distinct(), "doc_id", "left_semi"), "topics")
     asked = written(quiz_of(kb, atoms, models), "quiz")
     subtopics = kb.select("doc_id", F.posexplode("subtopics").alias("p", "subtopic")).select("doc_id", (F.col("p") + 1).alias("n"), "subtopic")
-    plan, shown, ended = deck_of(kb, atoms, models, subtopics)
+    plan, shown, ended, titles = deck_of(kb, atoms, models, subtopics)
     shown = written(shown, "deck")
     issues = written(review.slide_issues(shown, plan, review.vocabulary(atoms, kb)), "slide_issues")
-    return Material(kb, atoms, asked, plan, shown, ended, deck.deck_rows(kb, plan, shown, ended), record_of(taken, atoms, asked, plan, shown, ended), issues)
+    return Material(kb, atoms, asked, plan, shown, ended, deck.deck_rows(titles.withColumnRenamed("title", "main_topic"), plan, shown, ended), record_of(taken, atoms, asked, plan, shown, ended), issues)

@@ -9,15 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectio.functions.answers import entries, parsed, picked, unwrapped
 from lectio.functions.deploy import deployed
 from lectio.functions.tables import written
-from lectio.functions.text import folded, humanized, json_body, mapped, normalized_slug
+from lectio.functions.text import folded, humanized, mapped, normalized_slug
 from lectio.functions.values import (
     BLOOM_ALIASES, BLOOM_CYCLE, BLOOM_FALLBACK_CYCLE, BLOOM_KINDS, MAX_QUESTIONS, MAX_SLIDES, MIN_QUESTIONS, NATURAL_KIND, QUESTION_KIND_ALIASES, QUESTION_KINDS,
     QUIZ_FIELDS, QUIZ_LISTS, QUIZ_ORDER, QUIZ_WRAPPERS, SHARED_ATOMS, SIMILAR_TITLE, SLIDE_FIELDS, SLIDE_KIND_ALIASES, SLIDE_KINDS, SLIDE_LISTS,
-    SLIDE_WRAPPERS, TITLE_STOPWORDS,
+    SLIDE_TITLES, SLIDE_WRAPPERS, TITLE_STOPWORDS,
 )
-from lectio.operators.knowledge import first_by_id, kind_rank, picked, unwrapped
+from lectio.operators.knowledge import first_by_id, kind_rank
 
 
 def array_of(values) -> Column:
@@ -225,15 +226,22 @@ def intro_first(plan: DataFrame, most: int = MAX_SLIDES) -> DataFrame:
 
 def listed_rows(answers: DataFrame, wrappers, lists, bare_list: bool) -> DataFrame:
     """doc_id, pos, m (map of text): the entries of the list that a model's plan (doc_id, payload) holds."""
-    once = answers.select("doc_id", F.explode(F.array(json_body(F.col("payload")))).alias("lectio_b"))  # a generator each: computed once
+    read = parsed(answers, ["doc_id"], "lectio_b")
     body, inner = F.col("lectio_b"), F.col("lectio_i")
-    once = once.select("doc_id", "lectio_b", F.explode(F.array(unwrapped(body, wrappers, lists))).alias("lectio_i"))
-    found = picked(inner, lists)
+    read = read.select("doc_id", "lectio_b", F.explode(F.array(unwrapped(body, wrappers, lists))).alias("lectio_i"))
+    found = [entries(inner, n) for n in lists]
     if bare_list:  # a list may stand alone, or right in a wrapper
-        direct = F.coalesce(*(F.when(F.startswith(F.trim(F.get_json_object(body, f"$['{w}']")), F.lit("[")), F.get_json_object(body, f"$['{w}']")) for w in wrappers))
-        found = F.when(F.startswith(body, F.lit("[")), body).otherwise(F.coalesce(F.when(F.startswith(found, F.lit("[")), found), direct))
-    rows = once.select("doc_id", F.posexplode(F.from_json(found, "array<map<string, string>>")).alias("pos", "m"))
-    return rows.filter("m IS NOT NULL")
+        found = [entries(body), *found, *(entries(body, w) for w in wrappers)]
+    return read.select("doc_id", F.inline(F.coalesce(*found)))
+
+
+def titles_from_answers(answers: DataFrame, kb: DataFrame) -> DataFrame:
+    """doc_id, title: what a model calls the deck (its plan is payload), 160 characters at most; the document's topic where it says
+    nothing."""
+    read = parsed(answers, ["doc_id"], "lectio_b")
+    read = read.select("doc_id", F.explode(F.array(unwrapped(F.col("lectio_b"), SLIDE_WRAPPERS, SLIDE_TITLES + SLIDE_LISTS))).alias("lectio_i"))
+    title = F.left(picked(F.col("lectio_i"), SLIDE_TITLES), F.lit(160))
+    return kb.select("doc_id", "main_topic").join(read.select("doc_id", title.alias("lectio_t")), "doc_id", "left").select("doc_id", F.coalesce("lectio_t", "main_topic", F.lit("Presentación")).alias("title"))
 
 
 def entry(names) -> Column:
@@ -254,8 +262,8 @@ def quiz_plan_from_answers(answers: DataFrame) -> DataFrame:
 
 
 def slide_plan_from_answers(answers: DataFrame) -> DataFrame:
-    """A plan as slide_plan() gives it from a model's answer (doc_id, payload): kinds by their synonyms, else outlook; ids as a list or
-    a text with separators, twelve at most. A plan of less than three or more than twenty slides is none."""
+    """A plan as slide_plan() gives it from a model's answer (doc_id, payload), with focus, what a slide is about in the model's words:
+    kinds by their synonyms, else outlook; ids as a list or a text with separators, twelve at most. A plan of less than three or more than twenty slides is none."""
     rows = listed_rows(answers, SLIDE_WRAPPERS, SLIDE_LISTS, False)
     ids = entry(SLIDE_FIELDS["atoms"])
     given = F.when(F.startswith(ids, F.lit("[")), F.from_json(ids, "array<string>")).otherwise(F.split(ids, "[,;]"))
@@ -263,7 +271,7 @@ def slide_plan_from_answers(answers: DataFrame) -> DataFrame:
     rows = rows.withColumn("title", F.trim(F.left(entry(SLIDE_FIELDS["title"]), F.lit(80)))).filter("char_length(title) >= 2")
     rows = rows.withColumn("lectio_n", F.count("*").over(W.partitionBy("doc_id"))).filter(F.col("lectio_n").between(LEAST_PLANNED, MOST_PLANNED))
     index = F.row_number().over(W.partitionBy("doc_id").orderBy("pos"))
-    return rows.select("doc_id", index.alias("slide_index"), "title", F.coalesce(slide_kind(entry(SLIDE_FIELDS["kind"])), F.lit("outlook")).alias("kind"), F.array_distinct(F.slice(bare, 1, 12)).alias("atom_ids"))
+    return rows.select("doc_id", index.alias("slide_index"), "title", F.coalesce(slide_kind(entry(SLIDE_FIELDS["kind"])), F.lit("outlook")).alias("kind"), F.array_distinct(F.slice(bare, 1, 12)).alias("atom_ids"), F.left(entry(SLIDE_FIELDS["focus"]), F.lit(200)).alias("focus"))
 
 
 def id_lists(atoms: DataFrame, most: int = 80) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lectio.functions.deploy import ship
 from lectio.functions.values import DECK_CRITERIA, QUIZ_CRITERIA
+from lectio.operators.ledger import within
 
 
 def filled(template: str, **values: Column) -> Column:
@@ -89,15 +90,29 @@ def judge_prompt(artifact: str, source: Column, content: Column) -> Column:
     return filled(text, criteria=F.lit(", ".join(criteria)), source=source, skeleton=skeleton(criteria), content=content)
 
 
-def text_function(call: Callable[[str], str], attempts: int = 3, wait: float = 1.0, workers: int = 8, errors: tuple[type[Exception], ...] = (OSError, ValueError)) -> Callable[[Column], Column]:
+class TextFunction:
+    """A column of prompts to a column of answers. cooler: the same at a lower temperature, for second tries; None: there is none."""
+
+    def __init__(self, column: Callable[[Column], Column], cooler: TextFunction | None):
+        self.column, self.cooler = column, cooler
+
+    def __call__(self, c: Column) -> Column:
+        return self.column(c)
+
+
+def text_function(
+    call: Callable[[str], str], attempts: int = 3, wait: float = 1.0, workers: int = 8, errors: tuple[type[Exception], ...] = (OSError, ValueError),
+    timeout: float | None = None, cooler: Callable[[str], str] | None = None,
+) -> TextFunction:
     """A text function from a Python function: so many requests at once, each tried again with growing waits after one of the
-    errors; null where it fails to the end. Other errors are bugs and end the task."""
+    errors or when it takes longer than `timeout` seconds; null where it fails to the end. Other errors are bugs and end the task.
+    cooler: the function for second tries of answers that can't be read."""
     ship()
 
     def one(prompt: str | None) -> str | None:
         for k in range(attempts if prompt is not None else 0):
             try:
-                return call(prompt)
+                return within(timeout, lambda: call(prompt))
             except errors:
                 time.sleep(min(8.0, wait * 2**k) if k + 1 < attempts else 0)
         return None
@@ -107,4 +122,5 @@ def text_function(call: Callable[[str], str], attempts: int = 3, wait: float = 1
         with ThreadPoolExecutor(workers) as pool:
             return pa.array(list(pool.map(one, prompts.to_pylist())), pa.string())
 
-    return lambda c: lectio_text(c)
+    again = text_function(cooler, attempts, wait, workers, errors, timeout) if cooler is not None else None
+    return TextFunction(lectio_text, again)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lectio.functions.tables import named_folder, written
 from lectio.functions.text import typed_id
 from lectio.functions.values import BULLET_STOPWORDS, SIMILAR_BULLET, SIMILAR_SLIDE
-from lectio.operators import deck, extract, planning, quiz
+from lectio.operators import deck, extract, knowledge, planning, quiz
 from lectio.plans import study
 from lectio.plans.corpus import DOC_TERMS, PAGES, SLUG
 from lectio.sources.documents import captions, pages_as_documents, table
@@ -74,7 +74,26 @@ def page_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").alias("page_id"), F.col("image").alias("line"), F.char_length("caption").alias("n_chars"), F.md5("caption").alias("caption_md5"))
 
 
-QUERIES = {f.__name__: f for f in (run_upsert_stream, source_unrepeated, term_ids_resolved, related_by_source, page_captions)}
+def conversation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a model's answers in JSON (user turns as definitions, assistant turns as examples, system turns as data, each
+    under other names, half of them in a wrapper and a fence), read into atoms."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    of = lambda role, *fields: F.transform(F.filter(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: t["role"] == role), lambda t: F.struct(*(f(t) for f in fields)))
+    named = lambda mark, name: lambda t: F.concat(F.lit(mark), t["turn"].cast("string")).alias(name)
+    body = F.struct(
+        of("user", named("T", "termino"), lambda t: F.left(t["text"], F.lit(200)).alias("definicion")).alias("definiciones"),
+        of("assistant", named("E", "name"), lambda t: F.left(t["text"], F.lit(200)).alias("descripcion")).alias("ejemplos"),
+        of("system", lambda t: t["turn"].alias("valor"), lambda t: F.left(t["text"], F.lit(100)).alias("description")).alias("datos"),
+    )
+    bare = F.to_json(F.col("body"))
+    payload = F.when(F.col("conv_id") % 2 == 0, bare).otherwise(F.concat(F.lit("Claro:\n```json\n{\"result\": "), bare, F.lit("}\n```\n")))
+    answers = rows.groupBy("conv_id").agg(body.alias("body")).select(F.col("conv_id").alias("doc_id"), payload.alias("payload"))
+    _, atoms = knowledge.from_answers(answers)
+    head, said = F.coalesce("term", "name", "value"), F.coalesce("definition", "description")
+    return atoms.select(F.col("doc_id").alias("conv_id"), "kind", "atom_id", head.alias("head"), F.md5(said).alias("said_md5"))
+
+
+QUERIES = {f.__name__: f for f in (run_upsert_stream, source_unrepeated, term_ids_resolved, related_by_source, page_captions, conversation_answers)}
 
 _STOP = ", ".join(f"'{w}'" for w in BULLET_STOPWORDS)
 _TOKENS = rf"list_filter(list_distinct(regexp_split_to_array(regexp_replace(lower(strip_accents(bullet)), '[^\p{{L}}\p{{M}}\p{{N}}_\s]+', ' ', 'g'), '\s+')), lambda w: length(w) >= 3 AND NOT list_contains([{_STOP}], w))"
@@ -133,4 +152,8 @@ l AS (SELECT page_id, unnest(string_split(text, chr(10))) AS t, generate_subscri
 b AS (SELECT page_id, y, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM l WHERE t NOT LIKE '#%'),
 m AS (SELECT i.page_id, i.y AS line, arg_min(b.t, (least(abs(b.y - i.y - 1), abs(b.y + 1 - i.y)), b.y)) AS t FROM l i JOIN b USING (page_id) WHERE i.t LIKE '#%' AND b.t <> '' GROUP BY ALL)
 SELECT page_id, line, length(t) AS n_chars, md5(t) AS caption_md5 FROM m WHERE length(t) BETWEEN 10 AND 300""",
+    "conversation_answers": """WITH t AS (SELECT conv_id, turn, role, trim(left(coalesce(text, ''), CASE role WHEN 'system' THEN 100 ELSE 200 END)) AS s FROM conversations WHERE role IN ('user', 'assistant', 'system'))
+SELECT conv_id, CASE role WHEN 'user' THEN 'def' WHEN 'assistant' THEN 'ex' ELSE 'dt' END AS kind,
+       CASE role WHEN 'user' THEN 'def:t' WHEN 'assistant' THEN 'ex:e' ELSE 'dt:' END || turn AS atom_id, CASE role WHEN 'user' THEN 'T' WHEN 'assistant' THEN 'E' ELSE '' END || turn AS head,
+       md5(CASE WHEN length(s) >= CASE role WHEN 'system' THEN 3 ELSE 5 END THEN s ELSE CASE role WHEN 'user' THEN 'Concepto: T' WHEN 'assistant' THEN 'Ejemplo: E' ELSE 'Dato: ' END || turn END) AS said_md5 FROM t""",
 }
