@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectio.functions.answers import entries, parsed, picked, unwrapped
+from lectio.functions.tables import written
 from lectio.functions.text import entity, entity_in, mapped, one_space, stripped, typed_id
 from lectio.functions.values import (
     ANSWER_WRAPPERS, ATOM_BOUNDS, ATOM_FIELDS, ATOM_KINDS, ATOM_LISTS, CONCLUSION_FIELDS, ID_SEEDS, MAX_CONCLUSIONS, MAX_LISTED, MAX_SUBTOPICS, RELATION_PHRASES, SUBTOPIC_FIELDS, TOPIC_FIELDS,
@@ -246,7 +247,7 @@ def from_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     the rest of its answer stays. kb: doc_id, main_topic (null: none that says something), subtopics, conclusions."""
     probes = (*TOPIC_FIELDS, *ATOM_LISTS["def"], *ATOM_LISTS["ex"])
     read = parsed(answers, ["doc_id"])
-    read = read.select("doc_id", F.explode(F.array(unwrapped(F.col("v"), ANSWER_WRAPPERS, probes))).alias("j"))
+    read = written(read.select("doc_id", unwrapped(F.col("v"), ANSWER_WRAPPERS, probes).alias("j")), "read")  # parsed once for all kinds
     j = F.col("j")
     topic = picked(j, TOPIC_FIELDS)
     kb = read.filter("j IS NOT NULL").select(
