@@ -17,7 +17,7 @@ def deployed(spark: SparkSession) -> SparkSession:
     """Adds the package to the session's Python files, once for a context, and makes Arrow batches smaller where the session
     has not set them. The archive is the driver's, Spark sends it on."""
     context = spark.sparkContext
-    if spark.conf.get(BATCH, None) in (None, "10000"):
+    if BATCH not in spark.conf.getAll:  # what is set, whatever it is, stays
         spark.conf.set(BATCH, BATCH_ROWS)
     if not getattr(context, "_lectio_deployed", False):
         root = Path(__file__).resolve().parents[1]
