@@ -90,14 +90,35 @@ def sizes(docs: DataFrame, *more: Column) -> DataFrame:
     return written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), shuffle_key(F.col("doc_id")).alias("mix_key"), *more), "sizes")
 
 
-def shares(docs: DataFrame) -> DataFrame:
+def range_of(time: Column, ranges: int) -> Column:
+    """Equal ranges of virtual time, which are equal shares of the words of a mix."""
+    return F.least(F.floor(time * ranges).cast("int"), F.lit(ranges - 1))
+
+
+def ordered(copies: DataFrame, ranges: int | None = None) -> DataFrame:
+    """copies (number, copy, words, time, mix_key) in the order of the mix with through, the words of the mix up to the end of each:
+    a prefix sum over ranges of time and a window within each range."""
+    if ranges is None:
+        ranges = min(MOST_RANGES, 1 + (copies.agg(F.sum("words")).first()[0] or 0) // RANGE_WORDS)
+    placed = copies.withColumn("range", range_of(F.col("time"), ranges))
+    sums = placed.groupBy("range").agg(F.sum("words").alias("in_range"))
+    sums = sums.select(F.col("range").alias("r_range"), (F.sum("in_range").over(W.partitionBy(F.lit(1)).orderBy("range")) - F.col("in_range")).alias("start"))  # MOST_RANGES rows at most
+    within = F.sum("words").over(W.partitionBy("range").orderBy("time", "mix_key", "copy", "number").rowsBetween(W.unboundedPreceding, 0))
+    return placed.withColumn("within", within).join(sums, F.col("range") == F.col("r_range")).withColumn("through", F.col("start") + F.col("within")).drop("range", "r_range", "start", "within")
+
+
+def shares(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken (words that the mix takes), copies (that it takes words of) and finish (of
-    the first copy; null: the source has no words)."""
-    each = [words_of(e) for e in range(MAX_COPIES)]
-    return plan(sizes(docs)).select(
-        "doc_id", "size", "source_size", "target", sum(each[1:], each[0]).alias("taken"),
-        sum(((w > 0).cast("long") for w in each[1:]), (each[0] > 0).cast("long")).alias("copies"), finish(F.col("sent")).alias("finish"),
-    )
+    the first copy; null: the source has no words): the mix in its order, cut where the total budget is used up. The budget is
+    the sum of all targets in whole words; a copy that its source hasn't sent by time 1 ends there."""
+    planned = written(plan(sizes(docs, F.monotonically_increasing_id().alias("number"))), "planned")
+    each = F.array(*(F.struct(words_of(e).alias("words"), F.lit(e).alias("copy"), F.least(F.lit(1.0), finish(e * F.col("source_size") + F.col("sent"))).alias("time")) for e in range(MAX_COPIES)))
+    copies = planned.select("number", "mix_key", F.inline(each)).filter("words > 0")
+    budget = F.lit(planned.select("source", "target").distinct().agg(F.sum(F.floor("target"))).first()[0] or 0)
+    cut = F.greatest(F.lit(0), F.least(F.col("words"), budget - (F.col("through") - F.col("words"))))
+    taken = ordered(copies, ranges).withColumn("words", cut).filter("words > 0").groupBy("number").agg(F.sum("words").alias("taken"), F.count("*").alias("copies"))
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return planned.join(taken, "number", "left").select("doc_id", "size", "source_size", "target", none("taken"), none("copies"), finish(F.col("sent")).alias("finish"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -123,7 +144,7 @@ def mix(docs: DataFrame) -> DataFrame:
     found = found.withColumn("lectio_copy__", F.explode("lectio_row__.copies"))
     text = F.when(F.col("lectio_copy__.words") < F.col("lectio_row__.size"), first_words(F.col("text"), F.col("lectio_copy__.words"))).otherwise(F.col("text"))
     found = found.withColumn("text", text)
-    time = F.least(F.floor(F.col("lectio_copy__.finish") * ranges).cast("int"), F.lit(ranges - 1))
+    time = range_of(F.col("lectio_copy__.finish"), ranges)
     return found.repartitionById(ranges, time).sortWithinPartitions("lectio_copy__.finish", "lectio_row__.mix_key", "lectio_copy__.copy", *by).select(*columns)
 
 
