@@ -2,8 +2,9 @@
 
 The keys of all lines are hashed (128 bits) and range-partitioned by hash, document and text, with a secondary sort by
 position, so that the lines of one very common key are spread over as many partitions as they need. Streaming through
-that order gives the first occurrence of a key in each document with its positions. Facts of a key (in how many
-documents it is, the largest doc_id that has it) are pre-aggregated in each range and then meet, one row a range. What
+that order, a window that needs no sort of its own, marks the first occurrence of a key in each document. Facts of a key (in
+how many documents it is, the largest doc_id that has it) come from these marks, pre-aggregated in each range, and then meet, one
+row a range. What
 is to go comes back as a sparse bitmap for each document, never as text: 64 lines a word, only words with a dropped line.
 
 Defined results. A null or empty text is one empty line. Each input row counts as a document and gives one row of the
@@ -14,6 +15,7 @@ columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectio.llm.common import table, written
@@ -39,16 +41,17 @@ def text_id(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1, h2, doc_id, text_id, positions, copies: for each key of min_chars code points or more in each document; copies:
-    how many rows have that doc_id and text. The hashes are written first, since ranges are found by a pass over a sample."""
+    """h1, h2, doc_id, text_id, pos, first: every line with a key of min_chars code points or more; first: whether the key is at its
+    first place in the document there. The hashes are written first, since ranges are found by a pass over a sample; a range is
+    sorted by document and position, and streaming through it tells first places."""
     lines = docs.select("doc_id", text_id(F.col("text")).alias("text_id"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
     keyed = lines.select("doc_id", "text_id", "pos", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
     hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "text_id", "pos")
     by = ["h1", "h2", "doc_id", "text_id"]
     hashed = written(hashed, "hashes")
     ranged = hashed.repartitionByRange(*by).sortWithinPartitions(*by, "pos")
-    found = ranged.groupBy(*by).agg(F.collect_set("pos").alias("positions"), F.count("*").alias("lines"))
-    return found.select(*by, "positions", F.expr("lines div size(positions)").alias("copies"))  # each place once a row
+    least = F.first("pos").over(W.partitionBy(*by).orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    return ranged.select(*by, "pos", (F.col("pos") == least).alias("first"))  # rows that are equal have their first place each
 
 
 def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -57,12 +60,10 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     words: array of (word, bits); line p is dropped where bit p % 64 of the word p / 64 is set. All other lines are kept.
     """
     found = written(occurrences(docs, min_chars), "lines")
-    facts = found.groupBy("h1", "h2").agg(F.sum("copies").alias("n"), F.max("doc_id").alias("stays_in")).filter(F.col("n") >= min_docs)
+    facts = found.filter("first").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("stays_in")).filter(F.col("n") >= min_docs)
     facts = written(facts, "facts")  # so that both sides of the join come from a shuffle of their own, which can be split where a key is hot
     goes = found.join(facts, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("stays_in")))
-    bits = goes.select("doc_id", "text_id", F.explode("positions").alias("pos")).select(
-        "doc_id", "text_id", F.shiftright("pos", 6).alias("word"), F.expr("shiftleft(1L, pos & 63)").alias("bit")
-    )
+    bits = goes.select("doc_id", "text_id", F.shiftright("pos", 6).alias("word"), F.expr("shiftleft(1L, pos & 63)").alias("bit"))
     words = bits.repartition("doc_id", "text_id").groupBy("doc_id", "text_id", "word").agg(F.bit_or("bit").alias("bits"))
     return words.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
