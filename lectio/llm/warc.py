@@ -242,15 +242,12 @@ def read(found: DataFrame, with_payload: bool = False) -> DataFrame:
         for batch in batches:
             rows, held = [], 0
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0] if batch.column("segment")[k].is_valid else None
-                if parts and (row is None or row["record_id"] != parts[0]["record_id"]):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if parts and row["record_id"] != parts[0]["record_id"]:
                     rows.append(whole())
                     held += len(rows[-1]["payload"] or b"")
                     parts.clear()
-                if row is not None:
-                    parts.append(row)
-                else:
-                    rows.append(batch.slice(k, 1).to_pylist()[0])
+                parts.append(row)
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_pylist(rows, FOUND)
                     rows, held = [], 0
@@ -258,8 +255,9 @@ def read(found: DataFrame, with_payload: bool = False) -> DataFrame:
         if parts:
             yield pa.RecordBatch.from_pylist([whole()], FOUND)
 
-    parsed = found.select("name", "content").mapInArrow(parse, sql)
-    return parsed.repartition("record_id").sortWithinPartitions("record_id", "segment").mapInArrow(assemble, sql).drop("segment", "total_length", "block")
+    parsed = written(found.select("name", "content").mapInArrow(parse, sql), "parsed")
+    pieces = parsed.filter("segment IS NOT NULL").repartition("record_id").sortWithinPartitions("record_id", "segment")  # only pieces travel
+    return parsed.filter("segment IS NULL").unionByName(pieces.mapInArrow(assemble, sql)).drop("segment", "total_length", "block")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
