@@ -9,14 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _latin() -> tuple[str, str]:
-    """Accented Latin letters and what is left of them without their marks, where that is one letter."""
-    pairs = [(chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) for c in range(0xC0, 0x180)]
+def _accents() -> tuple[str, str]:
+    """Letters with marks, of all alphabets that Unicode has composed ones of up to U+1FFF, and what is left of them where that is
+    one letter; then the marks that stand alone, which translate() drops, having no counterpart."""
+    pairs = [(chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) for c in range(0xC0, 0x2000)]
     pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    return "".join(a for a, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in pairs)
 
 
-ACCENTED, PLAIN = _latin()
+ACCENTED, PLAIN = _accents()
 SPACE = r"(?U)\s+"
 #: The white space of all alphabets but the space itself; as a class of its own it costs a fraction of the property
 OTHER_SPACES = "\t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"

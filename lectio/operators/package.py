@@ -6,10 +6,11 @@ can't be read leaves the deterministic form in its place, row by row. What sever
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,6 +48,7 @@ class Material(NamedTuple):
     deck: DataFrame
     record: DataFrame
     slide_issues: DataFrame
+    stages: DataFrame
 
 
 class Asked(NamedTuple):
@@ -251,18 +253,37 @@ def record_of(docs: DataFrame, atoms: DataFrame, asked: DataFrame, plan: DataFra
     return all_of.select("doc_id", runs.run_status(quiz_error, deck_error).alias("status"), F.coalesce(quiz_error, deck_error).alias("error_kind"), F.coalesce("kb_atoms", F.lit(0)).alias("kb_atoms"), *rest)
 
 
+class Stages:
+    """Stages are written one after the other; of each, how many rows it gave and how long it took."""
+
+    def __init__(self) -> None:
+        self.done: list[tuple[str, int, float]] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        seen, began = Observation(), time.monotonic()
+        found = written(df.observe(seen, F.count(F.lit(1)).alias("n_rows")), name)
+        self.done.append((name, seen.get["n_rows"], round(time.monotonic() - began, 3)))
+        return found
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """stage, n_rows, seconds, in order: a row a stage, whatever the documents are."""
+        return spark.createDataFrame([(k, *x) for k, x in enumerate(self.done)], "n int, stage string, n_rows long, seconds double")
+
+
 def study(docs: DataFrame, models: Models = Models(), pages: str | None = None, cut: bool = False) -> Material:
     """Quiz, deck and record of each of docs (doc_id, text; doc_id is unique). Whole texts are used; with `cut`, what a model with
     a bounded input takes."""
+    stages = Stages()
     taken = admitted(docs.withColumn("lectio_whole", F.col("text")), pages)
-    taken = written(taken if cut else taken.withColumn("text", F.col("lectio_whole")), "taken")
+    taken = stages.written(taken if cut else taken.withColumn("text", F.col("lectio_whole")), "taken")
     good = taken.filter("error_kind IS NULL").select("doc_id", "text")
     kb, atoms = knowledge_base(good, models)
-    atoms = written(atoms, "atoms")
-    kb = written(kb.join(atoms.select("doc_id").distinct(), "doc_id", "left_semi"), "topics")
-    asked = written(quiz_of(kb, atoms, models), "quiz")
+    atoms = stages.written(atoms, "atoms")
+    kb = stages.written(kb.join(atoms.select("doc_id").distinct(), "doc_id", "left_semi"), "topics")
+    asked = stages.written(quiz_of(kb, atoms, models), "quiz")
     subtopics = kb.select("doc_id", F.posexplode("subtopics").alias("p", "subtopic")).select("doc_id", (F.col("p") + 1).alias("n"), "subtopic")
     plan, shown, ended, titles = deck_of(kb, atoms, models, subtopics)
-    shown = written(shown, "deck")
-    issues = written(review.slide_issues(shown, plan, review.vocabulary(atoms, kb)), "slide_issues")
-    return Material(kb, atoms, asked, plan, shown, ended, deck.deck_rows(titles.withColumnRenamed("title", "main_topic"), plan, shown, ended), record_of(taken, atoms, asked, plan, shown, ended), issues)
+    shown = stages.written(shown, "deck")
+    issues = stages.written(review.slide_issues(shown, plan, review.vocabulary(atoms, kb)), "slide_issues")
+    record = record_of(taken, atoms, asked, plan, shown, ended)
+    return Material(kb, atoms, asked, plan, shown, ended, deck.deck_rows(titles.withColumnRenamed("title", "main_topic"), plan, shown, ended), record, issues, stages.table(docs.sparkSession))

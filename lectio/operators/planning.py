@@ -57,9 +57,19 @@ def slide_kind(c: Column) -> Column:
     return F.when(k.isin(*SLIDE_KINDS), k)
 
 
+#: The concept of the question that a document without atoms has
+MAIN_TOPIC = "main_topic"
+
+
+def topic_plan(kb: DataFrame, atoms: DataFrame) -> DataFrame:
+    """A plan as quiz_plan() gives it for the documents of kb that have no atoms: one question, on the topic itself."""
+    bare = kb.select("doc_id").join(atoms.select("doc_id").distinct(), "doc_id", "left_anti")
+    return bare.select("doc_id", F.lit(1).alias("question_id"), F.lit("recordar").alias("bloom"), F.lit(MAIN_TOPIC).alias("concept_id"), F.lit("definicion").alias("kind"))
+
+
 def quiz_plan(atoms: DataFrame, target: Column | None = None) -> DataFrame:
     """doc_id, question_id, bloom, concept_id, kind: atoms in turn, three times round at most, along a cycle of levels. The
-    k-th question is of the atom k mod n."""
+    k-th question is of the atom k mod n. topic_plan() has the documents without atoms."""
     once = first_by_id(atoms)
     numbered = once.select("doc_id", "atom_id", "kind", (F.row_number().over(W.partitionBy("doc_id").orderBy(kind_rank(F.col("kind"), QUIZ_ORDER), "pos")) - 1).alias("at"))
     n = F.count("*").over(W.partitionBy("doc_id"))

@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from lectio.operators import package, planning, prompts
 from lectio.operators.ledger import Ledger
 
 
@@ -71,6 +72,7 @@ RETRY = """
 import sys; sys.path.insert(0, {root!r})
 from pathlib import Path
 from pyspark.sql import SparkSession, functions as F
+from lectio.operators import package, planning, prompts
 from lectio.operators.ledger import Ledger
 spark = SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
 
@@ -98,3 +100,42 @@ def test_a_retried_task_asks_nothing_twice(tmp_path):
     calls = Counter(f.read_text() for f in (tmp_path / "calls").iterdir())
     assert (tmp_path / "failed").exists()
     assert calls.pop("p17") == 2 and set(calls.values()) == {1} and len(calls) == 39
+
+
+ANSWER = json.dumps({"main_topic": "Molinos", "definitions": [{"term": "Turbina", "definition": "máquina que convierte el viento en electricidad"}]})
+PLAN = json.dumps({"presentation_title": "Molinos de hoy", "slides": [{"title": f"Parte {k}", "kind": "definition", "atom_ids": ["def:turbina"], "enfoque": f"idea {k}"} for k in range(4)]})
+TEXT = "# Viento\n**Turbina**: máquina que convierte el viento en electricidad útil."
+
+
+def test_the_engine_with_second_tries(spark, tmp_path):
+    """A model whose first answers can't be read: behind a ledger, and as a text function with a cooler form."""
+    docs = spark.createDataFrame([(1, TEXT)], "doc_id long, text string")
+    call, calls = counted(tmp_path / "calls", lambda p, t: ANSWER if t < 0.5 else "no idea")
+    asked = package.Asked(Ledger(spark, str(tmp_path / "ledger"), "m"), call, accept=lambda x: x.startswith("{"))
+    kb, atoms = package.knowledge_base(docs, package.Models(knowledge=asked))
+    assert kb.first().main_topic == "Molinos" and atoms.filter("definition LIKE '%electricidad'").count() == 1
+    assert sorted(t for _, t in calls()) == ["0.2", "0.7"]
+    package.knowledge_base(docs, package.Models(knowledge=asked))
+    assert sum(calls().values()) == 2
+
+    cooled = prompts.text_function(lambda p: "no idea", wait=0, cooler=lambda p: PLAN)
+    kb, atoms = package.knowledge_base(docs)
+    plan, _, _, titles = package.deck_of(kb, atoms, package.Models(slide_plan=cooled))
+    assert titles.first().title == "Molinos de hoy" and "Parte 0" in [r.title for r in plan.collect()]
+    stubborn = prompts.text_function(lambda p: "no idea", wait=0, cooler=lambda p: "nothing")
+    plan, _, _, titles = package.deck_of(kb, atoms, package.Models(slide_plan=stubborn))
+    assert titles.first().title == "Viento" and plan.count() >= 3
+
+
+def test_titles_and_focus_of_a_models_plan(spark):
+    answers = spark.createDataFrame([(1, PLAN), (2, json.dumps({"plan": {"slides": [{"title": "x y"}]}})), (3, "nothing"), (4, json.dumps({"output": {"titulo": "En español", "diapositivas": []}}))], "doc_id long, payload string")
+    kb = spark.createDataFrame([(d, f"Tema {d}") for d in (1, 2, 3, 4)], "doc_id long, main_topic string")
+    assert {r.doc_id: r.title for r in planning.titles_from_answers(answers, kb).collect()} == {1: "Molinos de hoy", 2: "Tema 2", 3: "Tema 3", 4: "En español"}
+    assert [r.focus for r in planning.slide_plan_from_answers(answers).orderBy("slide_index").collect()] == [f"idea {k}" for k in range(4)]
+
+
+def test_text_functions_give_up_on_time(spark):
+    slow = prompts.text_function(lambda p: time.sleep(20) or p, attempts=1, wait=0, timeout=0.5)
+    began = time.monotonic()
+    assert spark.createDataFrame([("a",)], "p string").select(slow(F.col("p")).alias("x")).first().x is None
+    assert time.monotonic() - began < 15

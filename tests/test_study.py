@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lectio.functions.text import TOKEN3, entity, entity_in, humanized, slug, tokens, truncated
+from lectio.functions.text import TOKEN3, entity, entity_in, humanized, slug, tokens, truncated, unaccented
 from lectio.operators import chunking, deck, extract, knowledge, metrics, package, planning, prompts, quiz, review, runs, simjoin
 from lectio.plans import registry
 from lectio.sources import documents, records, reports
@@ -261,7 +261,14 @@ def test_study_without_a_model(spark):
     assert review.quiz_issues(m.quiz, review.vocabulary(m.atoms, m.kb)).filter("severity = 'high'").count() == 0
     assert record[0]["num_questions"] == 3 and record[0]["duplicate_pairs"] == 0 and record[0]["num_content_slides"] == m.deck.filter("section = 'content' AND line_no = 0").count() > 0
     assert m.plan.orderBy("slide_index").first()["kind"] == "intro" and m.conclusions.count() == 0
+    assert [(r.stage, r.n_rows) for r in m.stages.orderBy("n").collect()][:4] == [("taken", 4), ("atoms", 3), ("topics", 1), ("quiz", 3)] and m.stages.filter("seconds <= 0").count() == 0
     assert package.study(docs.limit(0)).record.count() == 0
+    bare = planning.topic_plan(docs.selectExpr("doc_id", "'x' AS main_topic"), m.atoms).collect()
+    assert sorted(r.doc_id for r in bare) == [1, 2, 3] and {(r.question_id, r.concept_id) for r in bare} == {(1, "main_topic")}
+
+
+def test_accents_of_all_alphabets(spark):
+    assert one(spark, unaccented(F.col("c")), "Ελληνικά", "йод", "cafe\u0301", "ñandú", "Việt", "plain", "日本") == ["Ελληνικα", "иод", "cafe", "nandu", "Viet", "plain", "日本"]
 
 
 def test_study_with_a_model(spark):
