@@ -53,12 +53,12 @@ def accepted(rows: DataFrame, by: list[str], order: list[str], tokens: Column, t
         full = pairs.join(undecided, "id").join(undecided.select(F.col("id").alias("lead"), F.col("tokens").alias("other")), "lead")
         goes = written(full.filter(jaccard(F.col("tokens"), F.col("other")) >= threshold - 1e-9).select("id").distinct(), "goes")
         gone = goes if gone is None else gone.unionByName(goes)
+        if not goes.take(1):
+            break  # nothing is like what is sure; who is left is settled by pairs
         settled = written(goes.unionByName(sure.withColumnRenamed("lead", "id")), "settled")
         # an accepted row has been compared with those that it leads; with others under its keys too, since it is the first of all of them
         undecided = written(undecided.join(settled, "id", "left_anti"), "undecided")
         open_keys = written(open_keys.join(settled, "id", "left_anti"), "open")
-        if not goes.take(1):
-            break
     edges = distinct_pairs(undecided, threshold, open_keys)
     rest = independent(edges)
     gone = rest if gone is None else gone.unionByName(rest)

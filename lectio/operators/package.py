@@ -179,14 +179,14 @@ def quiz_of(kb: DataFrame, atoms: DataFrame, models: Models = Models()) -> DataF
 def deck_of(kb: DataFrame, atoms: DataFrame, models: Models = Models(), subtopics: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(plan, bullets, conclusions, titles) of each document: slides planned and put right, their bullets without repetition, what a
     model calls the deck, or its topic."""
-    own = planning.sanitized_slide_plan(planning.slide_plan(kb, atoms, subtopics), atoms)
+    own = written(planning.sanitized_slide_plan(planning.slide_plan(kb, atoms, subtopics), atoms), "own")
     answers = planned_by(models.slide_plan, kb, atoms, prompts.slide_plan_prompt, planning.slide_plan_from_answers)
     titles = kb.select("doc_id", F.col("main_topic").alias("title")) if answers is None else written(planning.titles_from_answers(answers, kb), "titles")
     if answers is not None:
         given = written(planning.sanitized_slide_plan(planning.slide_plan_from_answers(answers), atoms), "planned")
-        short = given.groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set(F.lower("title")).alias("titles")).filter(F.col("n") < MIN_SLIDES)
+        short = written(given.groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set(F.lower("title")).alias("titles")).filter(F.col("n") < MIN_SLIDES), "short")
         more = own.join(short, "doc_id").filter(~F.array_contains("titles", F.lower("title"))).select("doc_id", (F.col("slide_index") + F.col("n")).cast("int").alias("slide_index"), "title", "kind", "atom_ids")
-        merged = planning.sanitized_slide_plan(given.join(short, "doc_id", "left_semi").unionByName(more), atoms)
+        merged = written(planning.sanitized_slide_plan(written(given.join(short, "doc_id", "left_semi").unionByName(more), "both"), atoms), "merged")
         own = or_else(given.join(short, "doc_id", "left_anti").unionByName(merged), own)
     plan = planning.intro_first(own).withColumn("title", truncated(F.col("title"), MAX_TITLE_CHARS))
     plan = written(plan, "slides")

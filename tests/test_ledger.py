@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from lectio.functions.tables import written
 from lectio.operators import package, planning, prompts
 from lectio.operators.ledger import Ledger
 
@@ -72,6 +73,7 @@ RETRY = """
 import sys; sys.path.insert(0, {root!r})
 from pathlib import Path
 from pyspark.sql import SparkSession, functions as F
+from lectio.functions.tables import written
 from lectio.operators import package, planning, prompts
 from lectio.operators.ledger import Ledger
 spark = SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
@@ -119,7 +121,7 @@ def test_the_engine_with_second_tries(spark, tmp_path):
     assert sum(calls().values()) == 2
 
     cooled = prompts.text_function(lambda p: "no idea", wait=0, cooler=lambda p: PLAN)
-    kb, atoms = package.knowledge_base(docs)
+    kb, atoms = (written(x, "x") for x in package.knowledge_base(docs))  # as study() has them
     plan, _, _, titles = package.deck_of(kb, atoms, package.Models(slide_plan=cooled))
     assert titles.first().title == "Molinos de hoy" and "Parte 0" in [r.title for r in plan.collect()]
     stubborn = prompts.text_function(lambda p: "no idea", wait=0, cooler=lambda p: "nothing")
