@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lectio.functions import phrases
 from lectio.functions.files import Files
 from lectio.operators import acceptance, deck, planning, quiz, simjoin
 from lectio.plans import registry, scaled
@@ -227,3 +228,19 @@ def test_captions_against_all_pairs(spark):
     a = spark.createDataFrame(images, "doc_id long, page int, image int, share double, y0 int, y1 int")
     b = spark.createDataFrame(blocks, "doc_id long, page int, block int, y0 int, y1 int, text string")
     assert sorted(tuple(r) for r in captions(a, b).collect()) == want
+
+
+@pytest.mark.parametrize("most", [0, phrases.MOST])
+def test_passages_in_texts(spark, monkeypatch, most):
+    """By the index in the plan, and by a join where it would be too large."""
+    monkeypatch.setattr(phrases, "MOST", most)
+    rnd = random.Random(3)
+    words = ["uno", "dos", "tres", "cuatro", "Cinco", "séis"]
+    texts = [" ".join(rnd.choices(words, k=rnd.randrange(0, 40))) for _ in range(60)] + [None, "", "uno", "UNO,  dos!"]
+    passages = [" ".join(rnd.choices(words, k=rnd.randrange(1, 8))) for _ in range(25)] + ["", None, "uno", "nada de esto está", "uno"]
+    bare = lambda t: " ".join("".join(c if c.isalnum() else " " for c in (t or "").lower().replace("é", "e").replace("á", "a")).split())
+    want = sorted((i, d) for i, p in enumerate(passages) for d, t in enumerate(texts) if bare(p) and f" {bare(p)} " in f" {bare(t)} ")
+    got = simjoin.containing(spark.createDataFrame(list(enumerate(passages)), "item_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(map(tuple, got.select("item_id", "doc_id").collect())) == want and len(want) > 20
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert simjoin.containing(none, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 0
