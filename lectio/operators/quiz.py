@@ -73,11 +73,12 @@ def from_answers(answers: DataFrame, plan: DataFrame, atoms: DataFrame) -> DataF
 
 
 def filled(asked: DataFrame, atoms: DataFrame, least: int = MIN_QUESTIONS) -> DataFrame:
-    """asked, topped up to `least` questions a document with deterministic ones whose stem is new."""
+    """asked, topped up to `least` questions a document with deterministic ones whose stem is new; so are documents of atoms that
+    asked has no question of."""
     n = asked.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("question_id").alias("last"))
     a = first_by_id(atoms).withColumn("question", stem()).withColumn("key", folded(F.col("question")))
     a = a.withColumn("r", F.row_number().over(W.partitionBy("doc_id", "key").orderBy(kind_rank(F.col("kind"), QUIZ_ORDER), "pos"))).filter("r = 1")
-    fresh = a.join(asked.select("doc_id", folded(F.col("question")).alias("key")), ["doc_id", "key"], "left_anti").join(n, "doc_id")
+    fresh = a.join(asked.select("doc_id", folded(F.col("question")).alias("key")), ["doc_id", "key"], "left_anti").join(n, "doc_id", "left").fillna(0, ["n", "last"])
     fresh = fresh.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy(kind_rank(F.col("kind"), QUIZ_ORDER), "pos"))).filter(F.col("n") + F.col("r") <= least)
     more = fresh.select("doc_id", (F.col("last") + F.col("r")).cast("int").alias("question_id"), F.lit("recordar").alias("bloom"), F.col("atom_id").alias("concept_id"), "kind", "question", options().alias("options"), F.lit("A").alias("correct"), F.lit(JUSTIFICATION).alias("justification"))
     return asked.unionByName(more)

@@ -2,6 +2,7 @@
 
 import duckdb
 
+from lectio.operators import package
 from lectio.plans import registry
 
 FOUR = "**Rotor**: parte que gira con el viento.\n**Torre**: cuerpo que sostiene el eje.\n**Pala**: hoja que recibe el aire.\n**Freno**: pieza que para el giro."
@@ -23,3 +24,10 @@ def test_a_plan_is_cut_by_its_own_numbers(spark, tmp_path):
     """Of four atoms' seven questions the fifth and sixth repeat; the seventh does not move up."""
     got, want = both(spark, tmp_path, "quiz_plan_sanitized", [FOUR, BANNED, None])
     assert got == want and [r[1] for r in got if r[0] == 0] == [1, 2, 3, 4]
+
+
+def test_a_document_whose_questions_are_all_dropped_is_topped_up(spark, tmp_path):
+    got, want = both(spark, tmp_path, "study_record", [FOUR, BANNED, "nada"])
+    assert got == want and got[1] == (1, "ok", None, 1)
+    quiz = package.study(spark.createDataFrame([(1, BANNED)], "doc_id long, text string")).quiz.collect()
+    assert [(q["question_id"], q["concept_id"], q["correct"]) for q in quiz] == [(1, "def:mezcla", "A")]
