@@ -59,7 +59,7 @@ def accepted(rows: DataFrame, by: list[str], order: list[str], tokens: Column, t
         # an accepted row has been compared with those that it leads; with others under its keys too, since it is the first of all of them
         undecided = written(undecided.join(settled, "id", "left_anti"), "undecided")
         open_keys = written(open_keys.join(settled, "id", "left_anti"), "open")
-    edges = distinct_pairs(undecided, threshold, open_keys)
+    edges = distinct_pairs(undecided, threshold)
     rest = independent(edges)
     gone = rest if gone is None else gone.unionByName(rest)
     stays = sets.select("id").join(gone, "id", "left_anti")

@@ -1,8 +1,10 @@
 """Cases that a review found: queries against their SQL on documents that show the difference."""
 
+import random
+
 import duckdb
 
-from lectio.operators import package
+from lectio.operators import package, simjoin
 from lectio.plans import registry
 
 FOUR = "**Rotor**: parte que gira con el viento.\n**Torre**: cuerpo que sostiene el eje.\n**Pala**: hoja que recibe el aire.\n**Freno**: pieza que para el giro."
@@ -31,3 +33,24 @@ def test_a_document_whose_questions_are_all_dropped_is_topped_up(spark, tmp_path
     assert got == want and got[1] == (1, "ok", None, 1)
     quiz = package.study(spark.createDataFrame([(1, BANNED)], "doc_id long, text string")).quiz.collect()
     assert [(q["question_id"], q["concept_id"], q["correct"]) for q in quiz] == [(1, "def:mezcla", "A")]
+
+
+def test_similar_sets_in_blocks(spark, monkeypatch):
+    """Blocks of any size and few buckets give all pairs; a set is compared with all sizes that can be like it, and a pair that shares
+    too few keys is ruled out before its tokens are read."""
+    r = random.Random(4)
+    made = []
+    for _ in range(60):
+        own = r.sample(range(400), r.choice([1, 2, 5, 12, 40, 90]))
+        made += [own] + [own[: max(1, round(len(own) * r.uniform(0.7, 1)))] + r.sample(range(400, 900), r.choice([0, 1, 2, 9])) for _ in range(3)]
+    made = sorted({tuple(sorted(m)) for m in made})
+    sets = simjoin.set_classes(spark.createDataFrame([(i, [f"t{x}" for x in m]) for i, m in enumerate(made)], "id long, tokens array<string>"))
+    share = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {(i, j): share(made[i], made[j]) for j in range(len(made)) for i in range(j) if share(made[i], made[j]) >= 0.7 - 1e-9}
+    for size, few in ((2_000_000, 1 << 22), (150, 64)):
+        monkeypatch.setattr(simjoin, "BLOCK_KEYS", size)
+        monkeypatch.setattr(simjoin, "COUNT_BUCKETS", few)
+        met = simjoin.met_by_keys(sets, 0.7).collect()
+        assert len(met) == len(set(met)) and {(x.x, x.y) for x in met} >= set(want)
+        assert len(met) < 20 * len(want)
+        assert {(x.x, x.y): x.similarity for x in simjoin.distinct_pairs(sets, 0.7).collect()} == want
