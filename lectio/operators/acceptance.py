@@ -32,12 +32,13 @@ def independent(edges: DataFrame) -> DataFrame:
     return out
 
 
-def accepted(rows: DataFrame, by: list[str], order: list[str], tokens: Column, threshold: float, rounds: int = LEADER_ROUNDS) -> DataFrame:
+def accepted(rows: DataFrame, by: list[str], order: list[str], tokens: Column, threshold: float, rounds: int = LEADER_ROUNDS, drop: tuple[str, ...] = ()) -> DataFrame:
     """The rows that stay, within each group of `by` in the order of `order`. tokens: an array without repeats; rows without
-    tokens are like nothing and stay. Rows of a group with the same place and the same tokens are one: all of them stay or none."""
+    tokens are like nothing and stay. Rows of a group with the same place and the same tokens are one: all of them stay or none. Columns
+    in `drop` go once the tokens are taken."""
     # a token counts within its group only
     ids = token_ids(F.transform(tokens, lambda t: F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in by), t)))
-    rows = rows.withColumn("lectio_tokens", ids)
+    rows = rows.withColumn("lectio_tokens", ids).drop(*drop)
     rows = written(rows.withColumn("lectio_id", F.struct(*order, *by, F.xxhash64("lectio_tokens").alias("lectio_hash"))), "rows")
     some = rows.filter("size(lectio_tokens) > 0")
     sets = written(some.groupBy(F.col("lectio_tokens").alias("tokens")).agg(F.min("lectio_id").alias("id")), "sets")

@@ -33,8 +33,9 @@ def run_upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_unrepeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of all documents of a source, without those that are much like one before them."""
-    rows = study.bullet_clean(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    return deck.unrepeated_by_source(rows).select("source", "doc_id", "slide_index", "bullet_index", F.md5("bullet").alias("bullet_md5"))
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select("doc_id", "text", "source")
+    rows = study.bullets_of(docs, "source").withColumn("bullet_md5", F.md5("bullet"))
+    return deck.unrepeated_by_source(rows, drop=("bullet",)).select("source", "doc_id", "slide_index", "bullet_index", "bullet_md5")
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:

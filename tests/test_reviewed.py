@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from lectio.operators import package, simjoin
+from lectio.operators import deck, package, simjoin
 from lectio.plans import registry
 
 FOUR = "**Rotor**: parte que gira con el viento.\n**Torre**: cuerpo que sostiene el eje.\n**Pala**: hoja que recibe el aire.\n**Freno**: pieza que para el giro."
@@ -54,3 +54,10 @@ def test_similar_sets_in_blocks(spark, monkeypatch):
         assert len(met) == len(set(met)) and {(x.x, x.y) for x in met} >= set(want)
         assert len(met) < 20 * len(want)
         assert {(x.x, x.y): x.similarity for x in simjoin.distinct_pairs(sets, 0.7).collect()} == want
+
+
+def test_rows_of_acceptance_leave_texts_behind(spark):
+    """What tokens are taken from is not written with each row."""
+    rows = spark.createDataFrame([("s", k, 0, 0, t) for k, t in enumerate(["la turbina gira con fuerza", "La turbina gira con fuerza.", "otra cosa distinta"])], "source string, doc_id long, slide_index int, bullet_index int, bullet string")
+    found = deck.unrepeated_by_source(rows, drop=("bullet",))
+    assert "bullet" not in found.columns and sorted(x.doc_id for x in found.collect()) == [0, 2]
