@@ -8,7 +8,8 @@ classes meet under these keys and no pair is missed; the counts decide only how
 bit that one of two has alone is a shingle that it has alone, which rules out nearly all that is left without any text. The
 sets of the remaining pairs decide.
 
-Only what is linked is of interest, not all its pairs. In each round every class is compared with some of those that lead a key
+Only what is linked is of interest, not all its pairs. Pairs that a caller already has (those of near fingerprints,
+simhash.py) are decided first. In each round every class is compared with some of those that lead a key
 of it and are in another component, more of them in later rounds, and what is found joins components; at the end all pairs
 that meet and are not yet in one component are compared. A dense group thus costs a few comparisons a class, also where only
 half of its pairs are similar: a class that has few shingles rarer than the key leads it, since most of these are in no other
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ AT_ONCE = 1 << 19
 SIMILARITY, WORDS = 0.8, 5
 #: So many leaders a class, round by round (powers of two); keys are dealt to as many hashes, each of which chooses its own among equals
 LEADERS = (2, 8)
+#: The turn before these: pairs that come from elsewhere
+FIRST = -1
 #: The order of shingles: those of all classes are counted in so many buckets, in parts that are summed by a task each
 BUCKETS, COUNT_PARTS = 1 << 22, 64
 #: With so many classes to compare they are sent to all executors; with more of them the join is a shuffle.
@@ -321,15 +324,16 @@ def only(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
 
 
-def links(texts: DataFrame, t: float, words: int) -> DataFrame:
-    """u, v: nodes whose sets are similar, enough of them to connect all that are (texts: node, text)."""
+def links(texts: DataFrame, t: float, words: int, first: DataFrame | None = None) -> DataFrame:
+    """u, v: nodes whose sets are similar, enough of them to connect all that are (texts: node, text). Pairs that something
+    else has found (first: u, v) are decided before any others are looked for."""
     signed = written(signatures(texts, frequencies(texts, words), t, words), "signatures")
     keys = signed.select("node", "n", F.posexplode("keys").alias("pos", "key")).select("key", "node", "n", "pos")
     met = written(shared(keys, t), "met")
     bits = signed.select("node", "n", "bits")
     edges, rows = None, met.withColumn("component", F.col("node"))
-    for turn in [*range(len(LEADERS)), None]:
-        found = written(plausible(pairs(rows, t, turn), bits, t), "pairs")
+    for turn in [*([] if first is None else [FIRST]), *range(len(LEADERS)), None]:
+        found = written(plausible(first if turn == FIRST else pairs(rows, t, turn), bits, t), "pairs")
         new = written(similar(found, texts, t, words), "links")
         edges = new if edges is None else edges.union(new)
         if turn is not None:
@@ -338,13 +342,15 @@ def links(texts: DataFrame, t: float, words: int) -> DataFrame:
     return edges
 
 
-def grouped(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id reachable), a row for each row of docs."""
+def grouped(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id reachable), a row for each row of docs. first finds pairs (u, v) of
+    texts (node, text) that are decided before all others."""
     found = docs.select("doc_id", "text", words_digest().alias("digest"), F.monotonically_increasing_id().alias("node"))
     found = written(found, "texts")
     classes = found.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").cast("bigint").alias("doc"), F.min("node").alias("node"))
     classes = written(classes, "classes")
-    linked = links(only(found.select("node", "text"), classes.select("node")), similarity, words)
+    texts = only(found.select("node", "text"), classes.select("node"))
+    linked = links(texts, similarity, words, first and first(texts))
     a, b = (classes.select(F.col("node").alias(n), F.col("doc").alias(d)) for n, d in (("u", "a"), ("v", "b")))
     reached = components(linked.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.select("digest", F.col("doc").alias("node")).join(reached, "node", "left")

@@ -11,8 +11,9 @@ Under a key, links are followed from one class to all others that are not yet re
 spanning tree and never all its pairs. Keys with more than BLOCK classes are cut into blocks, and each pair of blocks is
 a group of its own, so that no group grows with the data.
 
-dedup(), the near-dedup of the pipeline, does not use fingerprints: no bound on their bits finds all pairs of a Jaccard
-similarity and only these. It compares the sets of shingles (jaccard.py).
+dedup(), the near-dedup of the pipeline, links texts by their fingerprints in this way, then checks each link exactly, by
+the Jaccard similarity of the sets of shingles. No bound on bits finds all pairs of a similarity, so what is similar and
+still in different groups after that is found by the sets (jaccard.py); no pair is left to the bits alone.
 
 Defined results. A null text has no words, as an empty one; no words give fingerprint zero. Rows that repeat a doc_id
 are compared each. A null doc_id gets its fingerprint, links with nothing and has a null component. Other columns are
@@ -258,10 +259,20 @@ def grouped(docs: DataFrame, ring: Ring, words: int = 4) -> DataFrame:
 #: 64 bits, links within 4
 NARROW = Ring(64, 4, 5)
 
+
+def near(texts: DataFrame, ring: Ring = NARROW, words: int = jaccard.WORDS) -> DataFrame:
+    """u, v: texts (node, text) whose fingerprints the ring links, enough of them to connect all that it does. Those with
+    the same fingerprint are tied to the smallest node of their class."""
+    found = written(texts.select("node", fingerprint_of(words, ring.bits // 64).alias("fp")), "fingerprints")
+    classes = written(found.groupBy("fp").agg(F.min("node").alias("node")), "classes")
+    same = found.join(classes.select("fp", F.col("node").alias("u")), "fp").filter("node <> u").select("u", F.col("node").alias("v"))
+    return same.union(links(classes, ring).select(F.least("u", "v"), F.greatest("u", "v"))).distinct()
+
+
 def dedup(docs: DataFrame, similarity: float = jaccard.SIMILARITY, words: int = jaccard.WORDS) -> DataFrame:
     """One document of each group of near duplicates (the smallest doc_id), with the columns that docs has. Rows of one
     doc_id stay or go together; rows without a doc_id stay."""
-    ids = jaccard.grouped(docs, similarity, words)
+    ids = jaccard.grouped(docs, similarity, words, lambda texts: near(texts, NARROW, words))
     drops = written(ids.filter("component_id <> doc_id").select(F.col("doc_id").alias("lectio_drop__")).distinct(), "drops")
     few = drops.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(drops) if few else drops, docs["doc_id"] == drops["lectio_drop__"], "left_anti")

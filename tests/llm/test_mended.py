@@ -1,5 +1,6 @@
 """Repeated ids and wholly equal rows, and templates that go wrong or lack a value."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lectio.llm import chat, embeddings, mixing, packing, quality_rules, simhash, suffix_dedup
+from lectio.llm import chat, components, embeddings, jaccard, mixing, packing, quality_rules, simhash, suffix_dedup
 from lectio.llm.tokens import Encoder, default_path
 
 
@@ -87,6 +88,58 @@ def test_equal_rows_are_mixed_and_judged_each(equal):
     assert all(r.doc_id in (7, 8) for r in taken) and sum(len(r.text.split()) for r in taken) == 12 * 180 + 3
 
 
+# --- near-dedup of the pipeline ----------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    """Pairs of texts: near by fingerprint and by set, by set alone, by fingerprint alone; their sets and fingerprints."""
+    r = random.Random(4)
+    word = lambda: f"w{r.randrange(10**6)}"
+    made = []
+    for n in [600] * 12 + [50] * 12:  # one changed word is less than the fingerprint tells, or more
+        w = [word() for _ in range(n)]
+        made += [w, [*w[: n // 2], word(), *w[n // 2 + 1 :]]]
+    for _ in range(6):  # nearly all shingles are repeats of a few
+        line = [word() for _ in range(11)]
+        made += [line * 60 + [word() for _ in range(15)] for _ in range(2)]
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in made]
+    fps = [int.from_bytes(simhash.fingerprint(" ".join(w), 5), "little") for w in made]
+    pairs = [(i, j) for j in range(len(made)) for i in range(j)]
+    alike = {(i, j) for i, j in pairs if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    near = {(i, j) for i, j in pairs if (fps[i] ^ fps[j]).bit_count() <= 4}
+    assert min(len(alike & near), len(alike - near), len(near - alike)) >= 3
+    return spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string").repartition(3), alike, near
+
+
+def firsts(n, linked):
+    """The nodes that stay: no smaller one is linked (links are pairs here)."""
+    return set(range(n)) - {j for _, j in linked}
+
+
+def test_near_fingerprints_against_all_pairs(copies):
+    docs, _, near = copies
+    found = simhash.near(docs.selectExpr("doc_id AS node", "text"))
+    assert {(x.u, x.v) for x in found.collect()} == near
+    assert components.components(found).filter("node = component").count() == len(near)
+
+
+def test_dedup_links_by_fingerprints_first(copies, monkeypatch):
+    """The stage finds near copies by their fingerprints, with the search by sets switched off, and checks them exactly."""
+    docs, alike, near = copies
+    monkeypatch.setattr(jaccard, "pairs", lambda rows, t, turn: rows.sparkSession.createDataFrame([], "u bigint, v bigint"))
+    assert {x.doc_id for x in simhash.dedup(docs).collect()} == firsts(docs.count(), alike & near)
+
+
+def test_dedup_loses_nothing_to_fingerprints(copies, monkeypatch):
+    """Similar texts whose fingerprints are apart are found by their sets, which are asked for them alone."""
+    docs, alike, near = copies
+    asked, pairs = [], jaccard.pairs
+    monkeypatch.setattr(jaccard, "pairs", lambda *a: asked.append(pairs(*a)) or asked[-1])
+    assert {x.doc_id for x in simhash.dedup(docs).collect()} == firsts(docs.count(), alike)
+    assert asked[0].count() == len(alike - near)  # by node, not by doc_id
+
+
 # --- templates ---------------------------------------------------------------------------------------------------------
 
 
