@@ -56,7 +56,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8) stays."""
+    """One document of each group of near duplicates (five words, similarity 0.8) stays: linked by SimHash fingerprints and
+    checked, then what these can't tell by the sets of shingles."""
     return simhash.dedup(docs)
 
 
