@@ -21,6 +21,8 @@ ACCENTED, PLAIN = _accents()
 SPACE = r"(?U)\s+"
 #: The white space of all alphabets but the space itself; as a class of its own it costs a fraction of the property
 OTHER_SPACES = "\t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Of a run, its first space decides where a match starts; ranges cost a fraction of single characters
+RUNS = r"[\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000][ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*| [ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 TOKEN3 = "[a-z0-9áéíóúüñ]{3,}"
 TOKEN4 = "[a-záéíóúñü0-9]{4,}"
 
@@ -47,7 +49,13 @@ def stripped(c: Column) -> Column:
 
 def one_space(c: Column) -> Column:
     """Runs of white space as one space each, none at the ends. Single spaces, nearly all there are, aren't touched."""
-    return F.trim(F.regexp_replace(c, f"[ {OTHER_SPACES}]{{2,}}|[{OTHER_SPACES}]", " "))
+    return F.trim(F.regexp_replace(c, RUNS, " "))
+
+
+def one_space_of(c: Column) -> Column:
+    """one_space() of a plain column, which is looked at several times: a text of ASCII that holds no run gets no regex."""
+    ascii = F.octet_length(c) == F.char_length(c)
+    return F.trim(F.when(ascii & ~contains_any(c, ("  ", *"\t\n\x0b\x0c\r")), c).otherwise(F.regexp_replace(c, RUNS, " ")))
 
 
 def without_chars(c: Column, chars: str) -> Column:

@@ -3,8 +3,11 @@
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
-from lectio.operators import deck, package, simjoin
+from lectio.functions import tables
+from lectio.functions.text import one_space, one_space_of
+from lectio.operators import acceptance, deck, package, simjoin
 from lectio.plans import registry
 
 FOUR = "**Rotor**: parte que gira con el viento.\n**Torre**: cuerpo que sostiene el eje.\n**Pala**: hoja que recibe el aire.\n**Freno**: pieza que para el giro."
@@ -61,3 +64,64 @@ def test_rows_of_acceptance_leave_texts_behind(spark):
     rows = spark.createDataFrame([("s", k, 0, 0, t) for k, t in enumerate(["la turbina gira con fuerza", "La turbina gira con fuerza.", "otra cosa distinta"])], "source string, doc_id long, slide_index int, bullet_index int, bullet string")
     found = deck.unrepeated_by_source(rows, drop=("bullet",))
     assert "bullet" not in found.columns and sorted(x.doc_id for x in found.collect()) == [0, 2]
+
+
+def test_similar_sets_share_keys(spark, monkeypatch):
+    """Of sets of any size, below and above what is found by two tokens at a time, each similar pair shares a key."""
+    monkeypatch.setattr(simjoin, "LONG", 12)
+    monkeypatch.setattr(simjoin, "PART_KEYS", 500)
+    rng = random.Random(7)
+    found = set()
+    for k in range(60):
+        base = rng.sample(range(150), rng.randint(1, 20))
+        for _ in range(4):
+            found.add(frozenset([x for x in base if rng.random() > 0.1] + rng.sample(range(150), rng.randint(0, 2))))
+    tokens = {k: x for k, x in enumerate(sorted(map(sorted, found))) if x}
+    rows = spark.createDataFrame([(k, [str(t) for t in x]) for k, x in tokens.items()], "id long, tokens array<string>")
+    sets = rows.select("id", simjoin.token_ids(F.col("tokens")).alias("tokens"))
+    for threshold in (0.4, 0.72, 0.9):
+        keys: dict[int, set] = {}
+        for r in simjoin.shared_keys(sets, threshold).collect():
+            keys.setdefault(r.id, set()).add(r.token)
+        alike = [(a, b) for a in tokens for b in tokens if a < b and len(set(tokens[a]) & set(tokens[b])) / len(set(tokens[a]) | set(tokens[b])) >= threshold]
+        assert alike and all(keys.get(a, set()) & keys.get(b, set()) for a, b in alike)
+
+
+def test_acceptance_leaves_out_what_shares_one_word(spark, monkeypatch):
+    """Sets that have one rare token in common and no other are like nothing, and are not looked at again."""
+    seen: dict[str, int] = {}
+
+    def written(df, name, *more):
+        out = tables.written(df, name, *more)
+        seen[name] = max(seen.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(acceptance, "written", written)
+    rows = [("s", k, [f"r{k // 2}", *(f"{x}{k}" for x in "abcdefg")]) for k in range(400)] + [("s", 1000 + k, [*"abcdefgh", f"n{k}"]) for k in range(30)]
+    got = acceptance.accepted(spark.createDataFrame(rows, "g string, at int, tokens array<string>"), ["g"], ["at"], F.col("tokens"), 0.72)
+    assert sorted(r["at"] for r in got.collect()) == [*range(400), 1000]
+    assert seen["met"] <= 60
+
+
+def test_last_pairs_by_join_and_by_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [("s", k, sorted(rng.sample("abcdefghijk", rng.randint(4, 8)))) for k in range(120)]
+    df = spark.createDataFrame(rows, "g string, at int, tokens array<string>")
+    kept: list[tuple[int, set]] = []
+    for _, k, t in rows:
+        if all(len(set(t) & o) / len(set(t) | o) < 0.72 for _, o in kept):
+            kept.append((k, set(t)))
+    for most in (64, 0):
+        monkeypatch.setattr(acceptance, "MOST_PAIRS", most)
+        got = acceptance.accepted(df, ["g"], ["at"], F.col("tokens"), 0.72, 1)
+        assert sorted(r["at"] for r in got.collect()) == [k for k, _ in kept]
+
+
+def test_bullets_without_needless_regexes(spark):
+    """Quick ways around regexes give what these give."""
+    base = "una frase que tiene bastantes letras."
+    texts = [None, "", base, f"  {base}\t", "una  frase con dos blancos y bastantes letras.", "una\u3000frase\u00a0con\r\nblancos y bastantes letras. ,", f"{base} -—·,", f"{base} ,\u2028", f"é{base}\x0b ", f"{base} -\u200b"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    assert [r for r in df.select(one_space("t"), one_space_of(F.col("t"))).collect() if r[0] != r[1]] == []
+    want = {r.k: r.b for r in df.select("k", deck.clean_bullet(F.col("t")).alias("b")).collect() if r.b is not None}
+    assert len(want) > 5 and {r.k: r.bullet for r in deck.cleaned(df, F.col("t")).collect()} == want
